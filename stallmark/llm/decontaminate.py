@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark import map_arrow
 from .text import Words, text_chunks
 
 SPAN, GRAM = 10, 5
@@ -167,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     for b in range(blocks):
         part = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
         index = ItemIndex([r.id for r in part], [r.text for r in part], span, k)
-        one = source.mapInArrow(_mapper(index, id_type), f"_id {kind}, {_OUT}")
+        one = map_arrow(source, _mapper(index, id_type), f"_id {kind}, {_OUT}")
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = spark.createDataFrame([], f"_id {kind}, {_OUT}")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_texts
+from .spark import map_arrow
 from .text import text_chunks
 
 SIZES = (2, 3, 4)
@@ -198,4 +199,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
             names = [model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
             yield pa.RecordBatch.from_arrays([chunk.column("_id"), pa.array(names, pa.string()), pa.array(np.where(has, top, 0.0)), pa.array(has & (top >= model.floor))], names=["_id", "lang_pred", "score", "accepted"])
 
-    return source.mapInArrow(run, f"_id {kind}, lang_pred string, score double, accepted boolean").withColumnRenamed("_id", doc_id)
+    return map_arrow(source, run, f"_id {kind}, lang_pred string, score double, accepted boolean").withColumnRenamed("_id", doc_id)

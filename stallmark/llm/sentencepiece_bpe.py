@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark import map_arrow
 from .text import text_chunks
 
 SPACE = "▁"
@@ -335,7 +336,7 @@ def encode(df: DataFrame, model: BpeModel, *, text: str = "text", out: str = "id
 
     source = df.toDF(*names).withColumn("_text", F.col(names[df.columns.index(text)]).cast("string"))
     schema = ", ".join([f"{c} {k}" for c, k in source.drop("_text").dtypes] + ["_ids array<int>"])
-    return source.mapInArrow(run, schema).toDF(*df.columns, out)
+    return map_arrow(source, run, schema).toDF(*df.columns, out)
 
 
 def decode(df: DataFrame, model: BpeModel, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -358,4 +359,4 @@ def decode(df: DataFrame, model: BpeModel, *, ids: str = "ids", out: str = "deco
     source = df.toDF(*names)
     source = source.withColumn("_ids", F.coalesce(F.filter(F.col(names[df.columns.index(ids)]).cast("array<int>"), lambda x: x.isNotNull()), F.array().cast("array<int>")))
     schema = ", ".join([f"{c} {k}" for c, k in source.drop("_ids").dtypes] + ["_text string"])
-    return source.mapInArrow(run, schema).toDF(*df.columns, out)
+    return map_arrow(source, run, schema).toDF(*df.columns, out)
