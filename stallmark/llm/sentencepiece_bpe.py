@@ -14,7 +14,6 @@ characters) end by the same rule with a heap, in n log n.
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import map_arrow
-from .text import text_chunks
+from .text import mix, powers, string_buffers, text_chunks
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -32,7 +31,6 @@ MAX_ROUNDS = 64
 #: Distinct words whose ids a task remembers before it starts anew.
 MEMORY_WORDS = 250_000
 _NONE = np.iinfo(np.int64).max
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -61,6 +59,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 class BpeModel:
     """Tables of a model file, as numpy arrays that can be sent to tasks."""
 
@@ -109,6 +111,9 @@ class BpeModel:
                             lowest[ranks[half]] = min(int(ranks[i]), lowest.get(ranks[half], _NONE))
         order = np.argsort(np.array(keys))
         self.keys, self.rank, self.merged = (np.array(x, np.int64)[order] for x in (keys, rank, merged))
+        where = _bucket(self.keys)
+        self.buckets, self.crowded = np.zeros(1 << 20, np.int64), np.bincount(where, minlength=1 << 20) > 1
+        self.buckets[where] = np.arange(len(self.keys))
         self.alone = np.array([lowest.get(r, _NONE) <= r for r in range(int(ranks.max()) + 1)])  # merged one place at a time
         shown = [b"" if k == CONTROL else self.unk_surface if k == UNKNOWN else bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
@@ -118,15 +123,16 @@ class BpeModel:
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or _NONE) and place in the tables of each pair."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = self.buckets[_bucket(key)]
+        far = (self.keys[at] != key) & self.crowded[_bucket(key)]
+        if far.any():
+            at[far] = np.minimum(np.searchsorted(self.keys, key[far]), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], _NONE), at
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and where each word begins (n + 1)."""
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        seen, back = np.unique(code, return_inverse=True)
-        sym = np.array([self.symbols.get(chr(c), self.size + c) for c in seen.tolist()], np.int64)[back] if len(code) else code
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    def encode_words(self, code: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words as code points and the number in each: ids of all words in one array, and where each word begins (n + 1)."""
+        sym = self._symbols()[code]
+        word = np.repeat(np.arange(len(chars)), chars)
         done_sym, done_word = [], []
         rank, at = self._pairs(sym, word)
         rounds = 0
@@ -160,18 +166,29 @@ class BpeModel:
             moved = np.cumsum(keep) - 1
             sym, word, rank, at = (x[keep] for x in (sym, word, rank, at))
             touched = moved[place]
-            touched = np.unique(np.concatenate([touched, touched[touched > 0] - 1]))
+            mark = np.zeros(len(sym) + 1, bool)
+            mark[touched] = mark[touched - 1] = True  # a -1 is the spare place at the end
+            touched = np.flatnonzero(mark[:-1])
             inside = touched[touched + 1 < len(sym)]
             rank[touched] = _NONE
             inside = inside[word[inside] == word[inside + 1]]
             rank[inside], at[inside] = self.look_up(sym[inside], sym[inside + 1])
         if not done_sym:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(chars) + 1, np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
         sym, word = self._fall_back(sym, word)
-        return sym.astype(np.int32), np.searchsorted(word, np.arange(len(words) + 1))
+        return sym.astype(np.int32), np.searchsorted(word, np.arange(len(chars) + 1))
+
+    def _symbols(self) -> np.ndarray:
+        """The symbol of each code point: its piece, or ``size`` plus itself."""
+        if (table := self.__dict__.get("_symbol_table")) is None:
+            table = self.size + np.arange(0x110000)
+            for c, i in self.symbols.items():
+                table[ord(c)] = i
+            self._symbol_table = table
+        return table
 
     def _pairs(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, at = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
@@ -224,7 +241,7 @@ class BpeModel:
         return [s for s in sym if s >= 0]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_symbol_table")}
 
     def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """A text for each id list; ``ends`` are where the lists end in ``ids``."""
@@ -273,40 +290,65 @@ def load_model(path: str) -> BpeModel:
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of up to ``MEMORY_WORDS`` words."""
+    """Encodes batches of texts, remembering the ids of up to ``MEMORY_WORDS`` words by a 64-bit hash."""
 
     def __init__(self, model: BpeModel):
         self.model = model
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        text = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-        return _WORD.findall(text) if self.model.cuts else [text]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the number of ids of each text. Null counts as empty."""
-        split = [self.words(t) if t else [] for t in texts]
+        offsets, raw = string_buffers(texts)
+        if SPACE.encode() in raw[offsets[0] : offsets[-1]].tobytes():  # the sign itself means a space
+            offsets, raw = string_buffers(pa.array([(t or "").replace(SPACE, " ") for t in texts.to_pylist()], pa.string()))
+        buf, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        full = np.diff(offsets) > 0
+        if self.model.prefix:
+            buf = np.insert(buf, offsets[:-1][full], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(full), np.int64)
+        begins = np.zeros(len(buf), bool)
+        if self.model.cuts:
+            space = buf == 32
+            begins[1:] = space[1:] & ~space[:-1]
+        begins[offsets[:-1][full]] = True
+        starts = np.flatnonzero(begins)
+        length = np.diff(np.append(starts, len(buf)))
+        pos = np.arange(len(buf)) - np.repeat(starts, length)
+        part = (buf.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[pos]
+        hashes = mix(np.add.reduceat(part, starts) + length.astype(np.uint64))
+        words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY_WORDS:
             self._reset()
-        new = list({w: None for ws in split for w in ws if w not in self.known})
-        if new:
-            ids, at = self.model.encode_words(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.begin = np.concatenate([self.begin, at[:-1] + len(self.ids)])
-            self.count = np.concatenate([self.count, np.diff(at)])
+        at = np.minimum(np.searchsorted(self.known, words), max(len(self.known) - 1, 0))
+        new = self.known[at] != words if len(self.known) else np.ones(len(words), bool)
+        slot = np.zeros(len(words), np.int64)
+        slot[~new] = self.slot[at[~new]]
+        if new.any():
+            i, n = starts[first[new]], length[first[new]]
+            inside = np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            got = buf[inside]
+            code = np.frombuffer(got.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+            chars = np.add.reduceat((got & 0xC0) != 0x80, np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.int64)
+            code[code == 32] = ord(SPACE)
+            ids, cut = self.model.encode_words(code, chars)
+            slot[new] = len(self.count) + np.arange(len(n))
+            self.begin = np.concatenate([self.begin, cut[:-1] + len(self.ids)])
+            self.count = np.concatenate([self.count, np.diff(cut)])
             self.ids = np.concatenate([self.ids, ids])
-        slot = np.fromiter((self.known[w] for ws in split for w in ws), np.int64)
+            self.known, self.slot = np.concatenate([self.known, words[new]]), np.concatenate([self.slot, slot[new]])
+            order = np.argsort(self.known)
+            self.known, self.slot = self.known[order], self.slot[order]
+        slot = slot[back.reshape(-1)]
         n = self.count[slot]
         total = np.concatenate([[0], np.cumsum(n)])
         flat = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[slot], n)]
-        per_text = np.diff(total[np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)])
-        return flat, per_text
+        return flat, np.diff(total[np.searchsorted(starts, offsets)])
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -327,7 +369,7 @@ def encode(df: DataFrame, model: BpeModel, *, text: str = "text", out: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for chunk in text_chunks(batches, "_text"):
-            ids, n = encoder.encode(chunk.column("_text").to_pylist())
+            ids, n = encoder.encode(chunk.column("_text"))
             ends = np.cumsum(n)
             ids = np.insert(ids, np.repeat(ends - n, len(head)), np.tile(head, len(n)).astype(np.int32)) if head else ids
             n = n + len(head)
