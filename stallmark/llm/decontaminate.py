@@ -147,6 +147,18 @@ def _mapper(index: ItemIndex, id_type: pa.DataType):
     return run
 
 
+def _tests(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items as strings, and in how many blocks they are held against the texts."""
+    tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    size = tests.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return tests, int(size // block_bytes) + 1
+
+
+def _index(tests: DataFrame, block: int, blocks: int, span: int, k: int) -> ItemIndex:
+    part = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)).collect()
+    return ItemIndex([r.id for r in part], [r.text for r in part], span, k)
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: ``doc_id, n_words, spans, items, n_hit, n_items, contaminated``.
 
@@ -157,21 +169,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     Rows of docs stay apart even with the same id as long as the items fit one
     block; beyond that, ids must be unique. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
+    tests, blocks = _tests(items, item_id, item_text, block_bytes)
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["_id"].dataType.simpleString()
     id_type = source.select("_id").limit(0).toArrow().schema.field("_id").type
     out = None
     for b in range(blocks):
-        part = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
-        index = ItemIndex([r.id for r in part], [r.text for r in part], span, k)
-        one = map_arrow(source, _mapper(index, id_type), f"_id {kind}, {_OUT}")
+        one = map_arrow(source, _mapper(_index(tests, b, blocks, span, k), id_type), f"_id {kind}, {_OUT}")
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = spark.createDataFrame([], f"_id {kind}, {_OUT}")
     if blocks > 1:
         out = out.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         joined = F.aggregate(
@@ -187,7 +192,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return out.select(F.col("_id").alias(doc_id), "n_words", "spans", "items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose text shares no window with an item."""
-    bad = contamination(docs, items, doc_id=doc_id, **options).where("contaminated").select(F.col(doc_id).alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, whose text shares no window with an item. Nothing is shuffled; null texts stay."""
+    tests, blocks = _tests(items, item_id, item_text, block_bytes)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    out = docs.toDF(*names)
+    plain = ", ".join(f"{c} {t}" for c, t in out.dtypes)
+
+    def clean(index: ItemIndex):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in text_chunks(batches, "_text"):
+                words = Words(chunk.column("_text"))
+                bad = np.zeros(words.n_docs, bool)
+                bad[words.doc_of(index.hits(words)[0])] = True
+                yield chunk.filter(pa.array(~bad)).select(names)
+
+        return run
+
+    for b in range(blocks):
+        out = map_arrow(out.withColumn("_text", F.col(names[docs.columns.index(text)]).cast("string")), clean(_index(tests, b, blocks, span, k)), plain)
+    return out.toDF(*docs.columns)
