@@ -46,6 +46,15 @@ def strip_outliers(df: DataFrame, keys: list[str], config: PricingConfig | None
     return fenced.where(kept).drop("q1", "q3")
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that does not depend on the order of the rows: of decimals with six places."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
+
+
+def exact_mean(x: Column) -> Column:
+    return F.try_divide(exact_sum(x), F.count(x))
+
+
 def strategy_column(config: PricingConfig, price: Column, weight: Column) -> Column:
     """The aggregate of a strategy; a trimmed mean needs the columns ``place`` and ``kept``."""
     if callable(config.strategy):
@@ -53,10 +62,10 @@ def strategy_column(config: PricingConfig, price: Column, weight: Column) -> Col
     if config.strategy == "median":
         return F.median(price)
     if config.strategy == "weighted_average":
-        return F.when(F.sum(weight) <= 0, F.avg(price)).otherwise(F.try_divide(F.sum(price * weight), F.sum(weight)))
+        return F.when(exact_sum(weight) <= 0, exact_mean(price)).otherwise(F.try_divide(exact_sum(price * weight), exact_sum(weight)))
     k = F.floor(F.col("kept") * config.trim_fraction)
     middle = F.col("place").between(k + 1, F.col("kept") - k)
-    return F.avg(F.when(middle, price))
+    return exact_mean(F.when(middle, price))
 
 
 def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None = None) -> DataFrame:
@@ -78,7 +87,7 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
         F.min(price).alias("lo"),
         F.max(price).alias("hi"),
         F.median(price).alias("md"),
-        F.avg(price).alias("mean"),
+        exact_mean(price).alias("mean"),
         F.count("*").alias("comparable_count"),
         F.first("n").alias("n"),
     )

@@ -32,7 +32,7 @@ class SyntheticSource:
             pick(("new", "used", "refurbished")).alias("condition"),
             F.lit(None).cast("timestamp").alias("posted_at"),
             F.current_timestamp().alias("scanned_at"),
-            F.create_map(F.lit("mock"), F.lit("true"), F.lit("rank"), (i + 1).cast("string")).alias("extra"),
+            F.create_map(F.lit("mock"), F.lit("true"), F.lit("rank"), i.cast("string")).alias("extra"),
         )
 
 
