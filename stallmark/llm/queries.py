@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lattice, near_duplicates, pii, quotations, sentencepiece_bpe, toxicity, unigram, url_reputation
+from . import decontaminate, language, lattice, near_duplicates, pii, quotations, sentencepiece_bpe, sql, toxicity, unigram, url_reputation
 from .sampling import remainder
 from .spark import sha256_of, table
 
@@ -78,4 +78,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_embedding_dedup, op5_pii, op6_jaccard_join, op7_url_filters, op8_quotations, op9_language_id, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = sql.SQL
