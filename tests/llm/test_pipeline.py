@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_similar import brute_jaccard
-from tests.llm.test_texts import brute_contamination
+from tests.llm.test_texts import brute_contamination, luhn
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +36,8 @@ def test_stages(spark, sf_dir, stages):
     old, new = ({r.doc_id: r for r in d.collect()} for d in stages[3:5])
     private = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b")
     for i, r in new.items():
-        values = private.findall(old[i].text)
-        assert not any(v in r.text for v in values) and len(private.findall(r.text)) == len(values) and r.n_chars == len(r.text)
+        values = [v for v in private.findall(old[i].text) if not v.isdigit() or luhn(v)]  # other 16 digits are no cards
+        assert not any(v in r.text for v in values) and len(private.findall(r.text)) == len(private.findall(old[i].text)) and r.n_chars == len(r.text)
         assert values or "token" in old[i].text or "password" in old[i].text or "AKIA" in old[i].text or old[i].text == r.text
     sentencepiece = pytest.importorskip("sentencepiece")
     from stallmark.llm.queries import model_path
