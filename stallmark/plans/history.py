@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -15,7 +16,8 @@ SCHEMA_VERSION = 1
 
 
 class History:
-    """Runs under a folder that Spark can write; without one, in a temporary folder.
+    """Runs under a folder that Spark can write; without one, in a new folder
+    beside the checkpoints (of our own only where no shared folder is set, as in tests).
 
     One writer at a time: the next id is the largest so far, plus one. A run
     whose row is missing was not finished and is not shown.
@@ -23,7 +25,8 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or tempfile.mkdtemp(prefix="stallmark-history-")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self.path = path or (f"{shared}/history-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stallmark-history-"))
 
     def _read(self, name: str, schema) -> DataFrame:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
