@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import map_arrow
+from .spark import map_arrow, with_text
 from .text import Words, text_chunks
 
 SPAN, GRAM = 10, 5
@@ -195,20 +195,20 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, whose text shares no window with an item. Nothing is shuffled; null texts stay."""
     tests, blocks = _tests(items, item_id, item_text, block_bytes)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    out = docs.toDF(*names)
-    plain = ", ".join(f"{c} {t}" for c, t in out.dtypes)
+    out, names, own = with_text(docs, text)
+    plain = ", ".join(f"{c} {t}" for c, t in out.dtypes if c in names)
 
-    def clean(index: ItemIndex):
+    def clean(index: ItemIndex, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk in text_chunks(batches, "_text"):
-                words = Words(chunk.column("_text"))
+            for chunk in text_chunks(batches, own):
+                words = Words(chunk.column(own))
                 bad = np.zeros(words.n_docs, bool)
                 bad[words.doc_of(index.hits(words)[0])] = True
-                yield chunk.filter(pa.array(~bad)).select(names)
+                yield chunk.filter(pa.array(~bad)).select(names if last else chunk.schema.names)
 
         return run
 
+    wide = ", ".join(f"{c} {t}" for c, t in out.dtypes)
     for b in range(blocks):
-        out = map_arrow(out.withColumn("_text", F.col(names[docs.columns.index(text)]).cast("string")), clean(_index(tests, b, blocks, span, k)), plain)
+        out = map_arrow(out, clean(_index(tests, b, blocks, span, k), b == blocks - 1), plain if b == blocks - 1 else wide)
     return out.toDF(*docs.columns)

@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
     kind = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text", 1 << 20):
+        for chunk in text_chunks(batches, "text", 1 << 19):
             n = chunk.num_rows
             has, best, top = np.zeros(n, bool), np.zeros(n, int), np.zeros(n)
             if model.languages:

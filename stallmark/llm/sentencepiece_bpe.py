@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import map_arrow
+from .spark import map_arrow, with_text
 from .text import mix, powers, string_buffers, text_chunks
 
 SPACE = "▁"
@@ -366,13 +366,13 @@ def encode(df: DataFrame, model: BpeModel, *, text: str = "text", out: str = "id
     """
     if clash := {out, decoded} & set(df.columns):
         raise ValueError(f"input already has a column {', '.join(clash)}")
-    names = [f"c{i}" for i in range(len(df.columns))]
+    source, names, own = with_text(df, text)
     head, tail = [model.bos] * bos, [model.eos] * eos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for chunk in text_chunks(batches, "_text", CHUNK_BYTES):
-            ids, n = encoder.encode(chunk.column("_text"))
+        for chunk in text_chunks(batches, own, CHUNK_BYTES):
+            ids, n = encoder.encode(chunk.column(own))
             ends = np.cumsum(n)
             ids = np.insert(ids, np.repeat(ends - n, len(head)), np.tile(head, len(n)).astype(np.int32)) if head else ids
             n = n + len(head)
@@ -381,8 +381,7 @@ def encode(df: DataFrame, model: BpeModel, *, text: str = "text", out: str = "id
             again = [pa.array(model.decode_flat(ids.astype(np.int64), np.cumsum(n)), pa.string())] * (decoded is not None)
             yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), _lists(ids, n), *again], names=[*names, "_ids", *(["_again"] * len(again))])
 
-    source = df.toDF(*names).withColumn("_text", F.col(names[df.columns.index(text)]).cast("string"))
-    schema = ", ".join([f"{c} {k}" for c, k in source.drop("_text").dtypes] + ["_ids array<int>"] + ["_again string"] * (decoded is not None))
+    schema = ", ".join([f"{c} {k}" for c, k in source.dtypes if c in names] + ["_ids array<int>"] + ["_again string"] * (decoded is not None))
     return map_arrow(source, run, schema).toDF(*df.columns, out, *([decoded] * (decoded is not None)))
 
 

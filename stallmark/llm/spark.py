@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,9 +48,28 @@ def add_column_names(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input has columns that this operator adds: {', '.join(clash)}")
 
 
+def with_text(df: DataFrame, text: str) -> tuple[DataFrame, list[str], str]:
+    """df with positional column names (so that none clashes), these names, and the name of its text column.
+
+    A text that is no string is cast in a column of its own, behind the others.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    out, own = df.toDF(*names), names[df.columns.index(text)]
+    if dict(out.dtypes)[own] == "string":
+        return out, names, own
+    return out.withColumn("_text", F.col(own).cast("string")), names, "_text"
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, after sending this package to the executors (once for each Spark context)."""
-    sc = df.sparkSession.sparkContext
+    """df.mapInArrow, after sending this package to the executors (once for each Spark context).
+
+    Batches are held to ``BATCH_BYTES``: both the JVM and the Python worker hold
+    one at a time for each task, whatever the length of the texts.
+    """
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     if not getattr(sc, "_stallmark_sent", False):
         root = Path(__file__).resolve().parents[1]
         out = Path(tempfile.mkdtemp(prefix="stallmark-")) / "stallmark_package.zip"
