@@ -53,7 +53,8 @@ def assign_groups(df: DataFrame, config: DeduplicationConfig | None = None, batc
     while not todo.isEmpty():
         rank = F.row_number().over(Window.partitionBy("query").orderBy("k"))
         first = todo.withColumn("r", rank).where(F.col("r") <= batch).drop("r")
-        offered = todo.join(_leaders(first, c), "query")
+        # Written first, so that AQE can split the rows of a large query in the join.
+        offered = todo.join(cut(_leaders(first, c)), "query")
         taken = F.get(F.filter("leaders", lambda x: (x["k"] <= F.col("k")) & ((x["k"] == F.col("k")) | qualifies(x["f"], F.col("f"), c))), F.lit(0))["k"]
         step = cut(offered.select("query", "s", "k", "f", taken.alias("leader")))
         part = step.where("leader is not null").select("query", "s", "leader")

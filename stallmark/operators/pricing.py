@@ -18,28 +18,38 @@ def comparables(listings: DataFrame) -> DataFrame:
     return listings.where("price is not null").withColumn("currency", currency).withColumn("weight", F.lit(1.0))
 
 
-def dominant_currency(df: DataFrame, keys: list[str]) -> DataFrame:
+def by_price(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, currency, price, c, weight): one row for each price of a group, with its count and total weight.
+
+    All statistics follow from these; rows are added up before they are
+    shuffled, so that a group with a large share of all rows is no larger than its number of prices.
+    """
+    return df.where("price is not null").groupBy(*keys, "currency", "price").agg(F.count("*").alias("c"), exact_sum(F.col("weight")).alias("weight"))
+
+
+def dominant_currency(df: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
     """(keys, currency): the most frequent currency of each group, of equally frequent ones the first by name."""
-    counts = df.groupBy(*keys, "currency").agg(F.count("*").alias("n"))
+    counts = df.groupBy(*keys, "currency").agg(F.sum(F.lit(1) if count is None else count).alias("n"))
     return counts.groupBy(*keys).agg(F.min_by("currency", F.struct(-F.col("n"), "currency")).alias("currency"))
 
 
-def select_currency(df: DataFrame, keys: list[str], currency: str | None = None) -> DataFrame:
+def select_currency(df: DataFrame, keys: list[str], currency: str | None = None, count: Column | None = None) -> DataFrame:
     if currency is not None:
         return df.where(F.col("currency") == currency)
-    return df.join(dominant_currency(df, keys), [*keys, "currency"], "left_semi")
+    return df.join(dominant_currency(df, keys, count), [*keys, "currency"], "left_semi")
 
 
-def quartiles(df: DataFrame, keys: list[str]) -> DataFrame:
+def quartiles(df: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
     """(keys, n, q1, q3), exact, with linear interpolation between the values."""
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    count = F.lit(1) if count is None else count
+    out = df.groupBy(*keys).agg(F.sum(count).cast("long").alias("n"), F.percentile("price", F.array(F.lit(0.25), F.lit(0.75)), count).alias("q"))
     return out.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
 
 
-def strip_outliers(df: DataFrame, keys: list[str], config: PricingConfig | None = None) -> DataFrame:
+def strip_outliers(df: DataFrame, keys: list[str], config: PricingConfig | None = None, count: Column | None = None) -> DataFrame:
     """df without prices outside the fences of groups of four or more; adds ``n``, the size before."""
     c = config or PricingConfig()
-    fenced = df.join(quartiles(df, keys), keys)
+    fenced = df.join(quartiles(df, keys, count), keys)
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("price").between(F.col("q1") - c.iqr_multiplier * iqr, F.col("q3") + c.iqr_multiplier * iqr)
     kept = inside | (F.col("n") < 4) if c.remove_outliers else F.lit(True)
@@ -51,21 +61,17 @@ def exact_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 
-def exact_mean(x: Column) -> Column:
-    return F.try_divide(exact_sum(x), F.count(x))
-
-
-def strategy_column(config: PricingConfig, price: Column, weight: Column) -> Column:
-    """The aggregate of a strategy; a trimmed mean needs the columns ``place`` and ``kept``."""
-    if callable(config.strategy):
-        return config.strategy(price, weight)
+def strategy_column(config: PricingConfig) -> Column:
+    """The aggregate of a named strategy over ``by_price`` rows; a trimmed mean needs ``upto`` and ``kept``, the running and the whole count."""
+    price, c, weight = F.col("price"), F.col("c"), F.col("weight")
+    mean = F.try_divide(exact_sum(price * c), F.sum(c))
     if config.strategy == "median":
-        return F.median(price)
+        return F.percentile(price, F.lit(0.5), c)
     if config.strategy == "weighted_average":
-        return F.when(exact_sum(weight) <= 0, exact_mean(price)).otherwise(F.try_divide(exact_sum(price * weight), exact_sum(weight)))
+        return F.when(exact_sum(weight) <= 0, mean).otherwise(F.try_divide(exact_sum(price * weight), exact_sum(weight)))
     k = F.floor(F.col("kept") * config.trim_fraction)
-    middle = F.col("place").between(k + 1, F.col("kept") - k)
-    return exact_mean(F.when(middle, price))
+    inside = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("kept") - k) - F.greatest(F.col("upto") - c, k))
+    return F.try_divide(exact_sum(price * inside), F.sum(inside))
 
 
 def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None = None) -> DataFrame:
@@ -76,21 +82,26 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
     confidence_score, reliable, strategy. ``df`` has keys, price, currency, weight.
     """
     c = config or PricingConfig()
-    kept = strip_outliers(select_currency(df.where("price is not null"), keys, c.currency), keys, c)
+    count = F.col("c")
+    kept = strip_outliers(select_currency(by_price(df, keys), keys, c.currency, count), keys, c, count)
     if c.strategy == "trimmed_mean":
         group = Window.partitionBy(*keys)
-        kept = kept.withColumn("place", F.row_number().over(group.orderBy("price"))).withColumn("kept", F.count("*").over(group))
+        kept = kept.withColumn("upto", F.sum("c").over(group.orderBy("price"))).withColumn("kept", F.sum("c").over(group))
     price = F.col("price")
+    own = callable(c.strategy)
     stats = kept.groupBy(*keys).agg(
         F.first("currency").alias("currency"),
-        strategy_column(c, price, F.col("weight")).alias("e"),
+        (F.lit(None) if own else strategy_column(c)).alias("e"),
         F.min(price).alias("lo"),
         F.max(price).alias("hi"),
-        F.median(price).alias("md"),
-        exact_mean(price).alias("mean"),
-        F.count("*").alias("comparable_count"),
+        F.percentile(price, F.lit(0.5), count).alias("md"),
+        F.try_divide(exact_sum(price * count), F.sum("c")).alias("mean"),
+        F.sum("c").alias("comparable_count"),
         F.first("n").alias("n"),
     )
+    if own:  # an aggregate of one's own sees the listings themselves
+        rows = df.join(kept.select(*keys, "currency", "price"), [*keys, "currency", "price"], "left_semi")
+        stats = stats.drop("e").join(rows.groupBy(*keys).agg(c.strategy(price, F.col("weight")).alias("e")), keys)
     spread = F.when((F.col("comparable_count") > 1) & (F.col("mean") > 0), 1 / (1 + F.try_divide(F.col("hi") - F.col("lo"), F.col("mean")))).otherwise(1.0)
     confidence = money(F.least(F.lit(1.0), F.col("comparable_count") / c.confidence_full_count) * spread, 4)
     shown = {"estimated_market_price": "e", "min_price": "lo", "max_price": "hi", "median_price": "md", "mean_price": "mean"}
