@@ -1,6 +1,7 @@
 """Market prices: one currency for each group, outliers removed, robust statistics.
 
-All steps group by the same keys; aggregates are partial before each shuffle.
+Rows are first added up by price, before the shuffle; all further steps are
+windows and aggregates over the same keys, which share one more exchange.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ def dominant_currency(df: DataFrame, keys: list[str], count: Column | None = Non
 
 
 def select_currency(df: DataFrame, keys: list[str], currency: str | None = None, count: Column | None = None) -> DataFrame:
+    """df in one currency for each group: the given one, else the dominant one."""
     if currency is not None:
         return df.where(F.col("currency") == currency)
-    return df.join(dominant_currency(df, keys, count), [*keys, "currency"], "left_semi")
+    often = F.sum(F.lit(1) if count is None else count).over(Window.partitionBy(*keys, "currency"))
+    first = F.min(F.struct(-F.col("_often"), "currency")).over(Window.partitionBy(*keys))
+    return df.withColumn("_often", often).withColumn("_first", first).where("currency = _first.currency").drop("_often", "_first")
 
 
 def quartiles(df: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
@@ -49,11 +53,14 @@ def quartiles(df: DataFrame, keys: list[str], count: Column | None = None) -> Da
 def strip_outliers(df: DataFrame, keys: list[str], config: PricingConfig | None = None, count: Column | None = None) -> DataFrame:
     """df without prices outside the fences of groups of four or more; adds ``n``, the size before."""
     c = config or PricingConfig()
-    fenced = df.join(quartiles(df, keys, count), keys)
-    iqr = F.col("q3") - F.col("q1")
-    inside = F.col("price").between(F.col("q1") - c.iqr_multiplier * iqr, F.col("q3") + c.iqr_multiplier * iqr)
-    kept = inside | (F.col("n") < 4) if c.remove_outliers else F.lit(True)
-    return fenced.where(kept).drop("q1", "q3")
+    count, group = F.lit(1) if count is None else count, Window.partitionBy(*keys)
+    sized = df.withColumn("n", F.sum(count).over(group))
+    if not c.remove_outliers:
+        return sized
+    fenced = sized.withColumn("_q", F.percentile("price", F.array(F.lit(0.25), F.lit(0.75)), count).over(group))
+    low, high = F.col("_q")[0], F.col("_q")[1]
+    inside = F.col("price").between(low - c.iqr_multiplier * (high - low), high + c.iqr_multiplier * (high - low))
+    return fenced.where(inside | (F.col("n") < 4)).drop("_q")
 
 
 def exact_sum(x: Column) -> Column:
@@ -83,7 +90,8 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
     """
     c = config or PricingConfig()
     count = F.col("c")
-    kept = strip_outliers(select_currency(by_price(df, keys), keys, c.currency, count), keys, c, count)
+    priced = by_price(df, keys).repartition(*keys)  # serves all windows and the aggregate below
+    kept = strip_outliers(select_currency(priced, keys, c.currency, count), keys, c, count)
     if c.strategy == "trimmed_mean":
         group = Window.partitionBy(*keys)
         kept = kept.withColumn("upto", F.sum("c").over(group.orderBy("price"))).withColumn("kept", F.sum("c").over(group))
