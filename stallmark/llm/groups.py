@@ -139,7 +139,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes: a few rounds,
     each written to the shared checkpoint folder. Minima are aggregated before
-    they are shuffled, and joined back, so that a node of many edges needs no task for itself.
+    they are shuffled and written before they are joined back: both sides of a
+    join are then plain exchanges, and AQE can split a node of very many edges.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
@@ -149,11 +150,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = mark(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: each larger neighbour of a node is tied to the node's minimum.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # Small star: a node and its smaller neighbours are tied to their minimum.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(small)
         now = mark(edges)
