@@ -29,7 +29,7 @@ DEMO_KEY = "stallmark-demo-key"
 
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _E
-SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-f]{16})(?<=(?i:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-f]{16,64}" + _E
+SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{16})(?<=(?i:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-fA-F]{16,}+" + _E
 IBAN = _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E
 DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _E
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
@@ -80,7 +80,10 @@ def permute_digits(d: Column, tag: Column, key: Column) -> Column:
 
 
 def permute_characters(s: Column, tag: Column, key: Column, letters: int = 26) -> Column:
-    """A keyed permutation of strings that keeps the class (digit, capital, small letter, other) of each character; at most 64 characters."""
+    """A keyed permutation of strings that keeps the class (digit, capital, small letter, other) of each character.
+
+    A half of more than 32 characters, which one hash does not move, is moved in pieces with a hash each.
+    """
     n = F.length(s)
     u = F.floor(n / 2).cast("int")
 
@@ -93,9 +96,15 @@ def permute_characters(s: Column, tag: Column, key: Column, letters: int = 26) -
 
         return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), ""))
 
+    def moved(half: Column, i: Column, other: Column) -> Column:
+        piece = lambda h, j: shift(F.substr(half, 32 * j + 1, F.lit(32)), _hash(key, F.concat(tag, F.lit("+"), j.cast("string")), i, h))
+        pieces = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(half) - 1) / 32).cast("int")), lambda j: piece(h, j)), "")
+        one = _hash(key, tag, i, other)
+        return F.when(F.length(half) <= 32, shift(half, one)).otherwise(_with(one, pieces))
+
     def step(pair: Column, i: Column) -> Column:
-        left = F.struct(shift(pair["a"], _hash(key, tag, i, pair["b"])).alias("a"), pair["b"].alias("b"))
-        right = F.struct(pair["a"].alias("a"), shift(pair["b"], _hash(key, tag, i, pair["a"])).alias("b"))
+        left = F.struct(moved(pair["a"], i, pair["b"]).alias("a"), pair["b"].alias("b"))
+        right = F.struct(pair["a"].alias("a"), moved(pair["b"], i, pair["a"]).alias("b"))
         return F.when(i % 2 == 0, left).otherwise(right)
 
     start = F.struct(F.substr(s, F.lit(1), u).alias("a"), F.substr(s, u + 1, n - u).alias("b"))
@@ -224,7 +233,7 @@ _NEW = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip":
 def _whole(kind: str) -> str:
     """The form of one kind alone, without what must stand around it."""
     if kind == "secret":
-        return r"^(?:AKIA[0-9A-Z]{16}|(?=.*[a-f])[0-9a-f]{16,64})$"
+        return r"^(?:AKIA[0-9A-Z]{16}|(?=.*[a-fA-F])[0-9a-fA-F]{16,}+)$"
     inner = KINDS[kind]
     return f"^(?:{inner})$"
 

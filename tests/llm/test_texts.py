@@ -224,3 +224,20 @@ def test_pseudonyms_are_permutations(spark):
     assert len(set(out)) == 600 and all(luhn(x) and len(x) == 16 for x in out[:300]) and all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x) for x in out[300:])
     plan = pii.pseudonymise(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_secrets_in_any_case_and_of_any_length(spark):
+    rng = random.Random(6)
+    hexes = lambda n, signs="0123456789abcdef": "".join(rng.choice(signs) for _ in range(n - 1)) + signs[-1]
+    upper, mixed = "9233A8EC0641917EA4E9FEB9CDA83477B57AC265", "9233a8EC0641917ea4E9FEB9"
+    long = [hexes(n, signs) for n in (64, 65, 66, 96, 129, 500, 5000) for signs in ("0123456789abcdef", "0123456789ABCDEF")]
+    near = [long[8][:-1] + c for c in "abcde"]
+    texts = [f'TOKEN = "{upper}" PASSWORD: {mixed}', f"X {upper}", *(f"api_key={v}. Secret: '{v}'" for v in long + near), f"token={upper}G", f"token={long[1]}g"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), key=KEY).collect()]
+    assert out[0] == f'TOKEN = "{new_characters(upper, "hex", 6)}" PASSWORD: {new_characters(mixed, "hex", 6)}' and upper not in out[0]
+    assert out[1] == texts[1] and out[-2:] == texts[-2:]
+    new = [re.fullmatch(r"api_key=(\w+)\. Secret: '\1'", t).group(1) for t in out[2:-2]]
+    kinds = lambda s: re.sub("[0-9]", "0", re.sub("[a-f]", "a", re.sub("[A-F]", "A", s)))
+    assert [kinds(n) for n in new] == [kinds(v) for v in long + near] and len(set(new)) == len(set(long + near))
+    assert all(sum(a == b for a, b in zip(n, v, strict=True)) < len(v) / 2 for n, v in zip(new, long + near, strict=True))
+    assert new[0] == new_characters(long[0], "hex", 6)
