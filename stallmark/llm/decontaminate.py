@@ -11,8 +11,9 @@ Items of fewer words than ``span``, but not none, are one window of their own
 length; these are looked up length by length.
 
 The texts are never shuffled: the item index (of checked size) goes to them. An
-item table over ``block_bytes`` is dealt into blocks by id, each of which is
-held against all texts, and the results are merged by text.
+item table over ``block_bytes`` is dealt into blocks by id and text, each of which is
+held against all texts; these are written once, with a key for each row, by
+which the results are merged.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import map_arrow, with_text
+from .spark import cut, map_arrow, with_text
 from .text import Words, text_chunks
 
 SPAN, GRAM = 10, 5
@@ -166,19 +167,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     ``items`` the sorted ids (as strings) of the items with an occurring window.
     Null or empty texts have no words and no hits; null or empty items match
     nothing; a null item id is the string ``null``. Equal items are all named.
-    Rows of docs stay apart even with the same id as long as the items fit one
-    block; beyond that, ids must be unique. Other columns are ignored.
+    Rows of docs stay apart even with the same id or a null one. Other columns are ignored.
     """
     tests, blocks = _tests(items, item_id, item_text, block_bytes)
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
+    if blocks > 1:
+        # The key stands for the row in all blocks, so it is written before they are read.
+        source = cut(source.select(F.struct(F.col("_id").alias("id"), F.monotonically_increasing_id().alias("row")).alias("_id"), "text"))
     kind = source.schema["_id"].dataType.simpleString()
     id_type = source.select("_id").limit(0).toArrow().schema.field("_id").type
     out = None
     for b in range(blocks):
         one = map_arrow(source, _mapper(_index(tests, b, blocks, span, k), id_type), f"_id {kind}, {_OUT}")
+        if b:  # the first block has a row for each text
+            one = one.where(F.size("items") > 0)
         out = one if out is None else out.unionByName(one)
     if blocks > 1:
-        out = out.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.groupBy("_id.row").agg(F.first("_id.id").alias("_id"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         joined = F.aggregate(
             "spans",
             F.expr("cast(array() as array<struct<start:int,end:int>>)"),
