@@ -77,6 +77,17 @@ def test_near_duplicates_of_odd_tables(spark):
         near_duplicates.near_duplicates(df.withColumn("doc_id", F.lit("x")))
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(4, a, 1), (4, a, 2), (4, b, 3), (2, b, 4), (4, c, 5), (None, a, 6), (None, a, 7), (9, None, 8), (9, None, 9), (7, "A b c d e, f", 10), (3, a, 11), (3, a, 12)]
+    left = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3))
+    assert left.columns == ["doc_id", "text", "n"]
+    got = left.collect()
+    assert sorted(r.n for r in got if r.n not in (11, 12)) == [4, 5, 6, 7, 8, 9] and len(got) == 7
+    again = spark.createDataFrame([(1, a), (1, a), (1, a)], "doc_id long, text string")
+    assert [tuple(r) for r in near_duplicates.drop_near_duplicates(again).collect()] == [(1, a)]
+
+
 def test_forest_depth():
     d = near_duplicates.forest_depth(0.8, 0.999, 20, 8)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
