@@ -29,7 +29,8 @@ DEMO_KEY = "stallmark-demo-key"
 
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _E
-SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{16})(?<=(?i:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-fA-F]{16,}+" + _E
+KEYWORDS = "token|password|passwd|secret|api_key|apikey"
+SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{16})(?<=(?i:" + KEYWORDS + r")\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-fA-F]{16,}+" + _E
 IBAN = _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E
 DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _E
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
@@ -39,6 +40,9 @@ PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE}
 PATTERN = "|".join(KINDS.values())
 
+#: What every text with a value of some kind has.
+GATE = f"[0-9@]|AKIA|(?i:{KEYWORDS})"
+
 #: Days from 1800-01-01 to 2199-12-31: 400 years of the calendar, 189 x 773.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
@@ -251,14 +255,14 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | Column = DEM
 
     With ``found``, a column of that name (it may not exist yet) lists the kind
     and the pseudonym of each replaced value in order of the text. A null text stays null
-    (and has no values), an empty one empty. Texts without a digit and without
-    ``@`` are passed over.
+    (and has no values), an empty one empty. Texts without a digit, ``@``,
+    ``AKIA`` and the words that stand before secrets are passed over.
     """
     if found is not None and found in docs.columns:
         raise ValueError(f"input already has a column {found}")
     secret = F.lit(key) if isinstance(key, str) else key
     source = F.col(text).cast("string")
-    values = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
+    values = F.when(source.rlike(GATE), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
     rest = "__" + "_".join(docs.columns)  # a name that no column has
     made = F.transform(F.col(rest), lambda m: F.struct(m.alias("old"), pseudonym(m, secret).alias("p")))
     step = docs.withColumn(rest, F.coalesce(values, F.array().cast("array<string>"))).withColumn(rest, made)
