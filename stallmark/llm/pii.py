@@ -15,6 +15,10 @@ date     calendar date, years 1800-2199   over all days of these 400 years
 email    form                             letters and digits of the local part and of the domain but its last label
 secret   known prefix or assignment       letters and digits of the value, which has a letter
 
+Dates are found as 2024-03-05 (a time may follow, as in 2024-03-05T10:00:00Z), 2024/3/5, 5-3-2024 and 5.3.2024
+(day first) and 3/5/2024 (month first if it can be), with or without leading zeros but in the first form.
+Left in clear: dashes with the month first (03-25-2024), 2024-3-5, 2024.03.05, 20240305, years of two digits, names of months.
+
 What does not validate stays as it is, as do signs, separators and the case of letters.
 """
 
@@ -32,7 +36,7 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\
 KEYWORDS = "token|password|passwd|secret|api_key|apikey"
 SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{16})(?<=(?i:" + KEYWORDS + r")\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-fA-F]{16,}+" + _E
 IBAN = _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E
-DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _E
+DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _E + ")"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
 SSN = _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
 CARD = _B + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})" + _E
@@ -197,11 +201,12 @@ def _ip(m: Column, key: Column) -> Column:
 
 def _date(m: Column, key: Column) -> Column:
     part = lambda sep, i: F.split_part(m, F.lit(sep), F.lit(i))
-    iso, dots = m.contains("-"), m.contains(".")
+    year_first, dashes, dots = m.rlike("^[0-9]{4}"), m.contains("-"), m.contains(".")
     made = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     month_first = made(part("/", 3), part("/", 1), part("/", 2))
     day_first = made(part("/", 3), part("/", 2), part("/", 1))
-    date = F.when(iso, made(part("-", 1), part("-", 2), part("-", 3))).when(dots, made(part(".", 3), part(".", 2), part(".", 1))).otherwise(F.coalesce(month_first, day_first))
+    date = F.when(year_first & dashes, made(part("-", 1), part("-", 2), part("-", 3))).when(year_first, made(part("/", 1), part("/", 2), part("/", 3)))
+    date = date.when(dashes, made(part("-", 3), part("-", 2), part("-", 1))).when(dots, made(part(".", 3), part(".", 2), part(".", 1))).otherwise(F.coalesce(month_first, day_first))
 
     def new(d: Column) -> Column:
         day = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
@@ -212,7 +217,9 @@ def _date(m: Column, key: Column) -> Column:
             t = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int"))
             y, mo, dd = F.lpad(F.year(t).cast("string"), 4, "0"), F.month(t), F.dayofmonth(t)
             slashes = F.when(month_first.isNotNull(), F.concat_ws("/", two(part("/", 1), mo), two(part("/", 2), dd), y)).otherwise(F.concat_ws("/", two(part("/", 1), dd), two(part("/", 2), mo), y))
-            return F.when(iso, F.date_format(t, "yyyy-MM-dd")).when(dots, F.concat_ws(".", two(part(".", 1), dd), two(part(".", 2), mo), y)).otherwise(slashes)
+            dmy = lambda sep: F.concat_ws(sep, two(part(sep, 1), dd), two(part(sep, 2), mo), y)
+            shown = F.when(year_first & dashes, F.date_format(t, "yyyy-MM-dd")).when(year_first, F.concat_ws("/", y, two(part("/", 2), mo), two(part("/", 3), dd)))
+            return shown.when(dashes, dmy("-")).when(dots, dmy(".")).otherwise(slashes)
 
         return F.when(day.between(0, DAYS_A * DAYS_B - 1), _with(pair, show))
 

@@ -261,3 +261,15 @@ def test_secrets_in_texts_without_digits(spark):
     out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), key=KEY).collect()]
     assert out[0] == f"key AKIA{new_characters(access[4:], 'access')} end" and out[1] == f"Token={new_characters(value, 'hex', 6)} end"
     assert out[2:] == [f"{out[0]} 7", f"{out[1]} 7", texts[4]]
+
+
+def test_forms_of_dates(spark):
+    texts = ["1987-02-28", "at 1987-02-28T10:00:00Z.", "1987-02-28T10:00+02:00", "1987/02/28", "1987/2/28", "28-02-1987", "28-2-1987", "1987-02-28", "28.02.1987", "02/28/1987"]
+    bad = ["1987/02/30", "31-02-1987", "02-28-1987", "1987-02-28X", "1987-02-28Today", "078-05-1120x", "1987/02/281"]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "text string")
+    out = [r.text for r in pii.pseudonymise(df, key=KEY).collect()]
+    assert out[len(texts) :] == bad
+    y, m, d = out[0].split("-")
+    assert out[1] == f"at {y}-{m}-{d}T10:00:00Z." and out[2] == f"{y}-{m}-{d}T10:00+02:00" and out[0] != texts[0]
+    assert [list(map(int, re.split("[-/.]", t))) for t in out[3:9]] == [[int(y), int(m), int(d)]] * 2 + [[int(d), int(m), int(y)]] * 2 + [[int(y), int(m), int(d)]] + [[int(d), int(m), int(y)]]
+    assert out[3] == f"{y}/{m}/{d}" and out[5] == f"{d}-{m}-{y}" and out[9] == f"{m}/{d}/{y}"
