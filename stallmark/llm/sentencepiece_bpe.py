@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import map_arrow, with_text
-from .text import mix, powers, string_buffers, text_chunks
+from .text import run_hashes, string_buffers, text_chunks
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -292,7 +292,10 @@ def load_model(path: str) -> BpeModel:
 
 
 class Encoder:
-    """Encodes batches of texts, remembering the ids of up to ``MEMORY_WORDS`` words by a 64-bit hash."""
+    """Encodes batches of texts, remembering the ids of up to ``MEMORY_WORDS`` words.
+
+    Words are looked up by a 64-bit hash, and each is compared with the remembered bytes.
+    """
 
     def __init__(self, model: BpeModel):
         self.model = model
@@ -301,6 +304,31 @@ class Encoder:
     def _reset(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Encode these words; their slots."""
+        total = np.cumsum(length) - length
+        got = buf[np.repeat(start - total, length) + np.arange(length.sum())]
+        code = np.frombuffer(got.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.add.reduceat((got & 0xC0) != 0x80, total, dtype=np.int64)
+        code[code == 32] = ord(SPACE)
+        ids, cut = self.model.encode_words(code, chars)
+        slots = len(self.count) + np.arange(len(length))
+        self.begin = np.concatenate([self.begin, cut[:-1] + len(self.ids)])
+        self.count = np.concatenate([self.count, np.diff(cut)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, total + len(self.bytes)])
+        self.size = np.concatenate([self.size, length])
+        self.bytes = np.concatenate([self.bytes, got])
+        return slots
+
+    def _mistaken(self, buf: np.ndarray, starts: np.ndarray, length: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which words differ from the remembered word with their hash."""
+        alike = self.size[slot] == length
+        shift = np.where(alike, self.at[slot], 0) - starts
+        same = self.bytes[np.minimum(np.repeat(shift, length) + np.arange(len(buf)), len(self.bytes) - 1)] == buf
+        return np.flatnonzero(~(alike & np.logical_and.reduceat(same, starts)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the number of ids of each text. Null counts as empty."""
@@ -321,10 +349,7 @@ class Encoder:
         begins[offsets[:-1][full]] = True
         starts = np.flatnonzero(begins)
         length = np.diff(np.append(starts, len(buf)))
-        pos = np.arange(len(buf)) - np.repeat(starts, length)
-        part = (buf.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[pos]
-        hashes = mix(np.add.reduceat(part, starts) + length.astype(np.uint64))
-        words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        words, first, back = np.unique(run_hashes(buf, length), return_index=True, return_inverse=True)
         if len(self.known) > MEMORY_WORDS:
             self._reset()
         at = np.minimum(np.searchsorted(self.known, words), max(len(self.known) - 1, 0))
@@ -332,21 +357,13 @@ class Encoder:
         slot = np.zeros(len(words), np.int64)
         slot[~new] = self.slot[at[~new]]
         if new.any():
-            i, n = starts[first[new]], length[first[new]]
-            inside = np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            got = buf[inside]
-            code = np.frombuffer(got.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-            chars = np.add.reduceat((got & 0xC0) != 0x80, np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.int64)
-            code[code == 32] = ord(SPACE)
-            ids, cut = self.model.encode_words(code, chars)
-            slot[new] = len(self.count) + np.arange(len(n))
-            self.begin = np.concatenate([self.begin, cut[:-1] + len(self.ids)])
-            self.count = np.concatenate([self.count, np.diff(cut)])
-            self.ids = np.concatenate([self.ids, ids])
+            slot[new] = self._learn(buf, starts[first[new]], length[first[new]])
             self.known, self.slot = np.concatenate([self.known, words[new]]), np.concatenate([self.slot, slot[new]])
             order = np.argsort(self.known)
             self.known, self.slot = self.known[order], self.slot[order]
         slot = slot[back.reshape(-1)]
+        if len(wrong := self._mistaken(buf, starts, length, slot)):  # encoded apart, without a place under their hash
+            slot[wrong] = self._learn(buf, starts[wrong], length[wrong])
         n = self.count[slot]
         total = np.concatenate([[0], np.cumsum(n)])
         flat = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[slot], n)]

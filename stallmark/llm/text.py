@@ -35,17 +35,33 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 
 
 _GRAM = odd_constants(64, 7)
-_POWERS = np.array([1], np.uint64)
+_SEEDS = odd_constants(64, 31)
 
 
-def powers(n: int) -> np.ndarray:
-    """1, m, m^2, ... modulo 2^64 for an odd m."""
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 256), 0x9E3779B97F4A7C15, np.uint64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS[:n]
+def block_seeds(n: int) -> np.ndarray:
+    """A constant for each of the first n blocks of eight bytes."""
+    global _SEEDS
+    if len(_SEEDS) < n:
+        _SEEDS = odd_constants(2 * n, 31)
+    return _SEEDS[:n]
+
+
+def run_hashes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64 bits for each run of bytes; the runs of these lengths (none is 0) lie one behind the other in ``data``.
+
+    Blocks of eight bytes are mixed with a constant of their place before they are
+    added up, so that no structure of a long run (as of a word and its complement) cancels out.
+    """
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    start = np.cumsum(length) - length
+    place = np.arange(len(data)) - np.repeat(start, length)
+    part = data.astype(np.uint64) << ((place & 7) << 3).astype(np.uint64)
+    first = np.flatnonzero((place & 7) == 0)
+    block = place[first] >> 3
+    mixed = mix(np.add.reduceat(part, first) ^ block_seeds(int(block.max()) + 1)[block])
+    total = np.add.reduceat(mixed, np.flatnonzero(block == 0))
+    return mix(total + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -96,14 +112,7 @@ class Words:
         self.length = np.diff(np.append(rank, len(index)))
         self._buf, self.start = buf, starts
         self.first = np.searchsorted(starts, offsets)
-        n = len(starts)
-        if n:
-            pos = np.arange(len(index)) - np.repeat(rank, self.length)
-            part = (buf[index].astype(np.uint64) + np.uint64(1)) * powers(int(self.length.max()))[pos]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
-            self.hash = mix(total[rank + self.length] - total[rank] + self.length.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = run_hashes(buf[index], self.length)
 
     def __len__(self) -> int:
         return len(self.start)

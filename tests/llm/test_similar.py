@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallmark.llm import groups, lattice, near_duplicates
-from tests.llm.test_texts import WORD
+from tests.llm.test_texts import STRUCTURED, WORD
 
 
 def classes(n, links):
@@ -88,6 +88,11 @@ def test_one_row_of_each_class_stays(spark):
     assert [tuple(r) for r in near_duplicates.drop_near_duplicates(again).collect()] == [(1, a)]
 
 
+def test_structured_words_do_not_link(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(STRUCTURED)], "doc_id long, text string")
+    assert {r.n_links for r in near_duplicates.near_duplicates(df).collect()} == {0}
+
+
 def test_forest_depth():
     d = near_duplicates.forest_depth(0.8, 0.999, 20, 8)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stallmark.llm import decontaminate, pii, sentencepiece_bpe, unigram
+from stallmark.llm import decontaminate, pii, sentencepiece_bpe, text, unigram
 from stallmark.llm.queries import model_path
 from stallmark.llm.text import Words
 
@@ -31,6 +32,25 @@ def test_words_of_any_text():
         assert same.setdefault(h, x) == x
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+#: Words that collide under polynomial hashes modulo 2^64, each with its complement.
+STRUCTURED = [t for n in (1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n).translate({97: 98, 98: 97}))]
+
+
+def test_hashes_of_structured_words():
+    texts = [*STRUCTURED, "ab", "ba", "aab" * 500, "aba" * 500]
+    assert len(set(Words(pa.array(texts)).hash.tolist())) == len(texts)
+    data = np.frombuffer(b"abc\x00abcabc", np.uint8)
+    h = text.run_hashes(data, np.array([3, 1, 3, 3]))
+    assert h[0] == h[2] == h[3] != h[1] and text.run_hashes(data[:4], np.array([4])) != h[0]
+
+
 def brute_contamination(docs, items):
     windows = {}
     for i, text in items:
@@ -119,6 +139,26 @@ def test_encoding_is_the_librarys(spark, library):
         sentencepiece_bpe.encode(df, model, out="text")
 
 
+def test_words_with_one_hash_are_told_apart(library, monkeypatch):
+    """Ids are right even where different words share a hash, in the memory and inside a batch."""
+    model, texts = sentencepiece_bpe.load_model(model_path()), odd_texts() + STRUCTURED
+    whole = text.run_hashes
+    for bits in (0, 15, (1 << 64) - 1):
+        monkeypatch.setattr(sentencepiece_bpe, "run_hashes", lambda data, length, bits=bits: whole(data, length) & np.uint64(bits))
+        encoder = sentencepiece_bpe.Encoder(model)
+        for part in (texts[:200], texts[200:], texts[-9:], texts[:50]):
+            ids, n = encoder.encode(pa.array(part, pa.string()))
+            ends = n.cumsum()
+            assert all(ids[a:b].tolist() == library.encode(t or "") for t, a, b in zip(part, ends - n, ends, strict=True))
+
+
+def test_encoding_of_empty_tables_and_repeated_rows(spark, library):
+    model = sentencepiece_bpe.load_model(model_path())
+    df = spark.createDataFrame([(1, "Hello  world"), (1, "Hello  world"), (None, "x")], "doc_id long, text string")
+    assert sentencepiece_bpe.encode(df.where("false"), model, decoded="d").count() == 0
+    assert [(r.doc_id, r.ids) for r in sentencepiece_bpe.encode(df, model).orderBy("text").collect()] == [(1, library.encode("Hello  world"))] * 2 + [(None, library.encode("x"))]
+
+
 def test_decoding_of_any_ids(spark, library):
     model, rng = sentencepiece_bpe.load_model(model_path()), random.Random(4)
     lists = [[rng.randrange(700) for _ in range(rng.randrange(8))] for _ in range(500)] + [[], None]
