@@ -1,166 +1,168 @@
 """Benchmark decontamination by winnowing.
 
-Training texts and test items are split into words (see ``text``). Of each run
-of ``span`` words (10) the smallest hash of its ``k``-word grams is kept as
+Training texts and test items are split into words (see ``text``). Of each window
+of ``span`` words (10) the smallest hash of its ``k``-word grams is the
 fingerprint, on both sides. Two texts that share ``span`` words share all grams
 in them, and therefore the smallest: every shared span of that length is found.
-Fingerprints of the texts are joined with those of the items; a hit is extended
-to all ``span``-word windows around it, whose words are compared as bytes.
-
-Items of fewer words than ``span``, but not none, are one window of their own
-length; these are looked up length by length.
-
-The texts are never shuffled: the item index (of checked size) goes to them. An
-item table over ``block_bytes`` is dealt into blocks by id and text, each of which is
-held against all texts; these are written once, with a key for each row, by
-which the results are merged.
+Fingerprints of the texts are joined with those of the items, together with the words of
+their windows, compared as bytes; overlapping and adjoining windows are then extended
+to spans. An item of fewer words than ``span``, but not none, is one window of its own
+length and its own fingerprint.
+
+Texts are never shuffled. A Bloom filter of the item fingerprints goes to them,
+of at most ``FILTER_BITS`` bits however many items there are; only the windows whose
+fingerprint passes it are carried on, and join the items' windows by a join
+of Spark's choice. A filter that many items fill lets more windows through; the rows stay the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spark import cut, map_arrow, with_text
-from .text import Words, text_chunks
+from .text import Words, mix, text_chunks
 
 SPAN, GRAM = 10, 5
-#: Bytes of item text that one index covers; the index takes about 20 times as much memory.
-BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 21
+#: Bits of the filter: at least, and at most (8 MB); between them 8 for each window of an item.
+LEAST_BITS, FILTER_BITS = 1 << 16, 1 << 26
+_PROBES = 6
+_KEY = ["print", "n", "window"]
+_FOUND = "found array<struct<start:int,n:int,print:long,window:string>>"
+_STRUCT = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("print", pa.int64()), ("window", pa.string())])
 
 
-class HashSet:
-    """Sorted 64-bit hashes behind a bit table that rejects most others."""
+def filter_bits(prints: np.ndarray, bits: int) -> np.ndarray:
+    """The bits (``_PROBES`` x n) that a filter of this size (a power of two) has for these fingerprints."""
+    step = mix(prints) | np.uint64(1)
+    return ((prints + np.arange(_PROBES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)).astype(np.int64)
 
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
-        self.mask = np.uint64((1 << _FILTER_BITS) - 1)
-        self.table = np.zeros(1 << _FILTER_BITS, bool)
-        self.table[(self.values & self.mask).astype(np.int64)] = True
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` that are members, and where among ``values``."""
-        at = np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
-        if not len(at) or not len(self.values):
-            return at[:0], at[:0]
-        slot = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
-        good = self.values[slot] == hashes[at]
-        return at[good], slot[good]
+def passing(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Places in ``prints`` of those that the filter (bytes) may hold: all that it holds and few others."""
+    mask, step, at = np.uint64(len(packed) * 8 - 1), mix(prints) | np.uint64(1), np.arange(len(prints))
+    for i in range(_PROBES):
+        bit = ((prints[at] + np.uint64(i) * step[at]) & mask).astype(np.int64)
+        at = at[(packed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+    return at
 
 
-def fingerprints(words: Words, span: int, k: int) -> np.ndarray:
-    """Places of the k-grams that are the smallest of some ``span``-word window of one text (all of equal ones)."""
+def window_prints(words: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place, the smallest k-gram of its window and whether the window lies in one text; and the places of the grams that are smallest somewhere."""
     w = span - k + 1
     grams, fits = words.grams(k), words.room(span)
     if not len(fits):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), fits, np.zeros(0, np.int64)
     low = grams[: len(fits)].copy()
     for j in range(1, w):
         np.minimum(low, grams[j : j + len(fits)], out=low)
     picked = np.zeros(len(grams), bool)
     for j in range(w):
         picked[j : j + len(fits)] |= fits & (grams[j : j + len(fits)] == low)
-    return np.flatnonzero(picked)
+    return low, fits, np.flatnonzero(picked)
 
 
-class ItemIndex:
-    """Windows of the test items: fingerprints, window hashes, their bytes and the items that have them."""
-
-    def __init__(self, ids: list[str], texts: list[str], span: int = SPAN, k: int = GRAM):
-        self.span, self.k = span, k
-        self.ids = np.array(ids, dtype=object)
-        words = Words(pa.array(texts, pa.string()))
-        self.prints = HashSet(words.grams(k)[fingerprints(words, span, k)])
-        self.windows: dict[int, tuple[HashSet, list[list[tuple[bytes, np.ndarray]]]]] = {}
-        counts = words.counts
-        for n in sorted({int(min(c, span)) for c in counts if c}):
-            grams, fits = words.grams(n), words.room(n)
-            own = words.doc_of(np.arange(len(fits)))
-            at = np.flatnonzero(fits & ((counts[own] >= span) if n == span else (counts[own] == n)))
-            hashes = HashSet(grams[at])
-            found: list[dict[bytes, set[int]]] = [{} for _ in hashes.values]
-            for i, slot in zip(at, np.searchsorted(hashes.values, grams[at]), strict=True):
-                found[slot].setdefault(words.span(int(i), n), set()).add(int(own[i]))
-            self.windows[n] = hashes, [[(b, np.array(sorted(s))) for b, s in f.items()] for f in found]
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length of the words that are hit, and (text, item) pairs as two arrays."""
-        starts, lengths, docs, items = [], [], [], []
-        for n, (hashes, listed) in self.windows.items():
-            grams, fits = words.grams(n), words.room(n)
-            if not len(fits):
-                continue
-            if n == self.span:
-                short = words.grams(self.k)
-                at = fingerprints(words, self.span, self.k)
-                at = at[self.prints.find(short[at])[0]]
-                near = np.zeros(len(fits), bool)
-                for j in range(self.span - self.k + 1):  # the windows that hold the gram
-                    near[(at - j)[(at >= j) & (at - j < len(fits))]] = True
-                at = np.flatnonzero(near & fits)
-            else:
-                at = np.flatnonzero(fits)
-            which, slot = hashes.find(grams[at])
-            at = at[which]
-            own = words.doc_of(at)
-            for i, s, d in zip(at.tolist(), slot.tolist(), own.tolist(), strict=True):
-                text = words.span(i, n)
-                for same, who in listed[s]:
-                    if same == text:
-                        starts.append(i)
-                        lengths.append(n)
-                        docs.append(np.full(len(who), d))
-                        items.append(who)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return np.array(starts, np.int64), np.array(lengths, np.int64), cat(docs), cat(items)
-
-
-_OUT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-_ARROW = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))]
-
-
-def _mapper(index: ItemIndex, id_type: pa.DataType):
+def _item_windows(span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches, "text", 1 << 20):
             words = Words(chunk.column("text"))
-            start, length, docs, items = index.hits(words)
-            cover = np.zeros(len(words) + 1, np.int64)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + length, -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]) | (hit & np.isin(np.arange(len(hit)), words.first)))
-            stop = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | np.isin(np.arange(len(hit)) + 1, words.first))) + 1
-            spans: list[list[dict]] = [[] for _ in range(words.n_docs)]
-            for a, b, d in zip(edge.tolist(), stop.tolist(), words.doc_of(edge).tolist(), strict=True):
-                base = int(words.first[d])
-                spans[d].append({"start": a - base, "end": b - base})
-            names: list[list[str]] = [[] for _ in range(words.n_docs)]
-            if len(docs):
-                for d, i in np.unique(np.stack([docs, items], 1), axis=0):
-                    names[d].append(index.ids[i])
-            yield pa.RecordBatch.from_arrays([chunk.column("_id").cast(id_type), pa.array(words.counts.astype(np.int64)), pa.array(spans, _ARROW[1][1]), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))], names=["_id", *(n for n, _ in _ARROW)])
+            own = np.repeat(np.arange(words.n_docs), words.counts)
+            for n in sorted({int(min(c, span)) for c in words.counts if c}):
+                prints, fits = window_prints(words, span, k)[:2] if n == span else (words.grams(n), words.room(n))
+                own_n = own[: len(fits)]
+                at = np.flatnonzero(fits & ((words.counts[own_n] >= span) if n == span else (words.counts[own_n] == n)))
+                text = pa.array([words.span(i, n).decode() for i in at.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), text, chunk.column("id").take(pa.array(own_n[at]))], names=[*_KEY, "item"])
 
     return run
 
 
-def _tests(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The items as strings, and in how many blocks they are held against the texts."""
-    tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
-    size = tests.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return tests, int(size // block_bytes) + 1
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(filter_bits(batch.column("print").to_numpy().view(np.uint64), bits))
+            if len(bit):
+                first = np.flatnonzero(np.concatenate([[True], np.diff(bit >> 6) > 0]))
+                held = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(bit[first] >> 6), pa.array(held.view(np.int64))], names=["place", "held"])
 
+    return run
 
-def _index(tests: DataFrame, block: int, blocks: int, span: int, k: int) -> ItemIndex:
-    part = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)).collect()
-    return ItemIndex([r.id for r in part], [r.text for r in part], span, k)
 
+class _Tests:
+    """The windows of the items, written once, their lengths, and the filter of their fingerprints."""
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def __init__(self, items: DataFrame, item_id: str, item_text: str, span: int, k: int, filter_limit: int):
+        tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+        self.span, self.k = span, k
+        self.windows = cut(map_arrow(tests, _item_windows(span, k), "print long, n int, window string, item string").distinct())
+        lengths = {r.n: r["count"] for r in self.windows.groupBy("n").count().collect()}
+        bits = LEAST_BITS
+        while bits < min(filter_limit, 8 * sum(lengths.values())):
+            bits *= 2
+        self.lengths = sorted(lengths)
+        words = np.zeros(bits // 64, np.int64)
+        if lengths:  # one row for each 64 bits of the filter, at most
+            got = map_arrow(self.windows.select("print").distinct(), _bits(bits), "place long, held long").groupBy("place").agg(F.bit_or("held").alias("held")).toArrow()
+            words[got.column("place").to_numpy()] = got.column("held").to_numpy()
+        self.filter = words.view(np.uint8)
+
+    def finder(self) -> Callable[[Words], pa.Array]:
+        """Gives, for each text, its windows whose fingerprint passes the filter."""
+        span, k, lengths, packed = self.span, self.k, self.lengths, self.filter
+
+        def find(words: Words) -> pa.Array:
+            starts, sizes, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for n in lengths:
+                if n == span:
+                    grams = words.grams(k)
+                    low, fits, at = window_prints(words, span, k)
+                    at = at[passing(packed, grams[at])]
+                    near = np.zeros(len(fits), bool)
+                    for j in range(span - k + 1):  # the windows that have the gram as fingerprint
+                        s = at - j
+                        p = at[(s >= 0) & (s < len(fits))]
+                        s = p - j
+                        near[s[fits[s] & (low[s] == grams[p])]] = True
+                    at, own = np.flatnonzero(near), low
+                else:
+                    own = words.grams(n)
+                    at = np.flatnonzero(words.room(n))
+                    at = at[passing(packed, own[at])]
+                starts.append(at)
+                sizes.append(np.full(len(at), n, np.int32))
+                prints.append(own[at])
+            start, size, print_ = (np.concatenate(x) for x in (starts, sizes, prints))
+            doc = words.doc_of(start)
+            order = np.argsort(doc, kind="stable")
+            start, size, print_, doc = start[order], size[order], print_[order], doc[order]
+            text = pa.array([words.span(i, n).decode() for i, n in zip(start.tolist(), size.tolist(), strict=True)], pa.string())
+            found = pa.StructArray.from_arrays([pa.array((start - words.first[doc]).astype(np.int32)), pa.array(size), pa.array(print_.view(np.int64)), text], fields=list(_STRUCT))
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(words.n_docs + 1)).astype(np.int32)), found)
+
+        return find
+
+    def meet(self, rows: DataFrame) -> DataFrame:
+        """(_row, start, n, item) of the windows of the rows that an item has too."""
+        windows = rows.select("_row", F.explode("found").alias("w")).select("_row", "w.*")
+        return windows.join(self.windows, _KEY)
+
+
+def _spans(met: DataFrame) -> DataFrame:
+    """(_row, spans): overlapping and adjoining windows as one range of words each, in order."""
+    w = Window.partitionBy("_row").orderBy("start", "end")
+    ends = met.select("_row", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    ends = ends.withColumn("_top", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_span", F.sum(F.coalesce((F.col("_top") < F.col("start")).cast("long"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranges = ends.groupBy("_row", "_span").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("range"))
+    return ranges.groupBy("_row").agg(F.sort_array(F.collect_list("range")).alias("spans"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, filter_limit: int = FILTER_BITS) -> DataFrame:
     """A row for each row of docs: ``doc_id, n_words, spans, items, n_hit, n_items, contaminated``.
 
     ``spans`` are word ranges [start, end) inside the text that occur in an item,
@@ -168,52 +170,54 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     Null or empty texts have no words and no hits; null or empty items match
     nothing; a null item id is the string ``null``. Equal items are all named.
     Rows of docs stay apart even with the same id or a null one. Other columns are ignored.
+    An empty docs gives no row, without items every row is clean. docs is read once;
+    what is written of it is the id, the number of words and the windows that may be an item's.
     """
-    tests, blocks = _tests(items, item_id, item_text, block_bytes)
+    tests = _Tests(items, item_id, item_text, span, k, filter_limit)
+    find = tests.finder()
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    if blocks > 1:
-        # The key stands for the row in all blocks, so it is written before they are read.
-        source = cut(source.select(F.struct(F.col("_id").alias("id"), F.monotonically_increasing_id().alias("row")).alias("_id"), "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, "text"):
+            words = Words(chunk.column("text"))
+            yield pa.RecordBatch.from_arrays([chunk.column("_id"), pa.array(words.counts.astype(np.int64)), find(words)], names=["_id", "n_words", "found"])
+
     kind = source.schema["_id"].dataType.simpleString()
-    id_type = source.select("_id").limit(0).toArrow().schema.field("_id").type
-    out = None
-    for b in range(blocks):
-        one = map_arrow(source, _mapper(_index(tests, b, blocks, span, k), id_type), f"_id {kind}, {_OUT}")
-        if b:  # the first block has a row for each text
-            one = one.where(F.size("items") > 0)
-        out = one if out is None else out.unionByName(one)
-    if blocks > 1:
-        out = out.groupBy("_id.row").agg(F.first("_id.id").alias("_id"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = F.aggregate(
-            "spans",
-            F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
-                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-        out = out.withColumn("spans", joined)
+    rows = cut(map_arrow(source, run, f"_id {kind}, n_words long, {_FOUND}").withColumn("_row", F.monotonically_increasing_id()))
+    some = rows.where(F.size("found") > 0)
+    met = cut(tests.meet(some).select("_row", "start", "n", "item"))
+    names = met.select("_row", "item").distinct().groupBy("_row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    hit = some.select("_row", "_id", "n_words").join(_spans(met).join(names, "_row"), "_row", "left").drop("_row")
+    clean = rows.where(F.size("found") == 0).select("_id", "n_words", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = hit.unionByName(clean)
+    out = out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]).cast("long"))
     return out.select(F.col("_id").alias(doc_id), "n_words", "spans", "items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, whose text shares no window with an item. Nothing is shuffled; null texts stay."""
-    tests, blocks = _tests(items, item_id, item_text, block_bytes)
-    out, names, own = with_text(docs, text)
-    plain = ", ".join(f"{c} {t}" for c, t in out.dtypes if c in names)
+def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, filter_limit: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text shares no window with an item; null texts stay.
+
+    docs is read twice and must be the same both times: once for the rows without
+    a window that passes the filter, which stay as they are, and once for the others, the only
+    ones that are written and joined.
+    """
+    tests = _Tests(items, item_id, item_text, span, k, filter_limit)
+    find = tests.finder()
+    source, names, own = with_text(docs, text)
+    plain = ", ".join(f"{c} {t}" for c, t in source.dtypes if c in names)
 
-    def clean(index: ItemIndex, last: bool):
+    def part(clean: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in text_chunks(batches, own):
-                words = Words(chunk.column(own))
-                bad = np.zeros(words.n_docs, bool)
-                bad[words.doc_of(index.hits(words)[0])] = True
-                yield chunk.filter(pa.array(~bad)).select(names if last else chunk.schema.names)
+                found = find(Words(chunk.column(own)))
+                here = pa.array((np.diff(found.offsets.to_numpy()) == 0) == clean)
+                out = chunk.filter(here).select(names)
+                yield out if clean else pa.RecordBatch.from_arrays([*out.columns, found.filter(here)], names=[*names, "found"])
 
         return run
 
-    wide = ", ".join(f"{c} {t}" for c, t in out.dtypes)
-    for b in range(blocks):
-        out = map_arrow(out, clean(_index(tests, b, blocks, span, k), b == blocks - 1), plain if b == blocks - 1 else wide)
-    return out.toDF(*docs.columns)
+    some = cut(map_arrow(source, part(False), f"{plain}, {_FOUND}").withColumn("_row", F.monotonically_increasing_id()))
+    bad = tests.meet(some).select("_row").distinct()
+    kept = some.join(bad, "_row", "left_anti").select(names)
+    return map_arrow(source, part(True), plain).unionByName(kept).toDF(*docs.columns)

@@ -80,31 +80,39 @@ def contaminated():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination(spark, contaminated, block_bytes):
+@pytest.mark.parametrize("filter_limit", [1 << 26, 1])
+def test_contamination(spark, contaminated, filter_limit):
     docs, items = contaminated
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
     t = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(d, t, block_bytes=block_bytes).collect()
+    got = decontaminate.contamination(d, t, filter_limit=filter_limit).collect()
     want = brute_contamination(docs, [("null" if i is None else i, x) for i, x in items])
     assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in got) == want
     assert all(r.contaminated == (r.n_hit > 0) and sum(s.end - s.start for s in r.spans) == r.n_hit for r in got)
-    clean = decontaminate.remove_contaminated(d, t, block_bytes=block_bytes)
+    clean = decontaminate.remove_contaminated(d, t, filter_limit=filter_limit)
     assert clean.columns == d.columns and sorted(r.doc_id for r in clean.collect()) == [w[0] for w in want if not w[2]]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination_of_repeated_and_null_ids(spark, contaminated, block_bytes):
+@pytest.mark.parametrize("filter_limit", [1 << 26, 1])
+def test_contamination_of_repeated_and_null_ids(spark, contaminated, filter_limit):
     docs, items = contaminated
     docs = [(None if i % 3 == 0 else i % 7, x) for i, x in docs] + [(5, docs[65][1])] * 3 + [(None, None)] * 2
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"), filter_limit=filter_limit)
     want = brute_contamination([(-1 if i is None else i, x) for i, x in docs], [("null" if i is None else i, x) for i, x in items])
     rows = got.collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in rows) == want
     assert got.schema["doc_id"].dataType == d.schema["doc_id"].dataType and all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in rows)
 
 
+def test_a_filter_that_lets_everything_through_changes_no_row(spark, contaminated, monkeypatch):
+    docs, items = contaminated
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(d, t, filter_limit=64).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in got) == brute_contamination(docs, [("null" if i is None else i, x) for i, x in items])
+
+
 def test_contamination_of_empty_tables(spark, contaminated):
     d = spark.createDataFrame(contaminated[0][:3], "doc_id long, text string")
     none = d.where("false")
