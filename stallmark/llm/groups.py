@@ -1,17 +1,20 @@
 """From hashed buckets to exact links and groups, without emitting pairs.
 
-Two steps, shared by the near-duplicate operators:
+Steps that the near-duplicate operators share:
 
 1. ``candidate_edges``: rows (key, id, sketch) are dealt by key; rows of one key
    are compared by their sketches, and a spanning forest of the pairs that may be
    similar is emitted - fewer edges than rows, however large the bucket.
-2. ``verified_links``: the connected rows meet with their whole payload; every
-   pair inside is compared exactly. A row for each member comes out: the weight
-   of its links and its root in a spanning forest of the exact links.
-
-A key with more than ``BLOCK`` rows is dealt in blocks by a hash of the id; each
-pair of blocks is a group of its own. So no group in a task exceeds two blocks,
-and all pairs are still met. ``connected_components`` joins the forests.
+   ``trie_edges`` does it for the nodes of prefix tries: a node of more than a block is
+   met at its longest prefix first, and only representatives at the shorter one.
+2. ``connected_components`` joins the forests.
+3. ``verified_links`` or ``linked_groups``: the connected rows meet with their whole
+   payload and are compared exactly. The first compares every pair and counts the
+   links; the second finds the groups only, mostly through representatives.
+
+A key with more than ``BLOCK`` rows is dealt in blocks by a hash of the id, and where
+all pairs must meet, each pair of blocks is a group of its own. So no group in a task
+exceeds two blocks.
 """
 
 from __future__ import annotations
@@ -20,29 +23,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import cut, map_arrow
+from .spark import cut, cut_seen, map_arrow, small
 
 #: Rows of one key that are compared in one task; two blocks at most meet.
 BLOCK = 512
+#: Bytes of payload in a block.
+BLOCK_BYTES = 8 << 20
+
+Alike = Callable[[np.ndarray, np.ndarray, bool], np.ndarray]
+
 
+def _share(member: Column, parts: Column, salt: int = 17) -> Column:
+    return F.pmod(F.xxhash64(member, F.lit(salt)), parts).cast("int")
 
-def in_blocks(df: DataFrame, key: str, member: Column, block: int = BLOCK) -> DataFrame:
+
+def in_blocks(df: DataFrame, key: str, member: Column, block: int = BLOCK, size: Column | None = None) -> DataFrame:
     """df dealt by key, large keys in pairs of blocks; adds ``_i, _j`` (the pair) and ``_b`` (the row's block).
 
-    Only the keys with more than ``block`` rows are listed, and joined by AQE's
-    choice: at most rows / block of them exist.
+    Only the keys with more than ``block`` rows (or ``BLOCK_BYTES``, with a ``size`` of each row) are listed and joined.
     """
-    large = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    parts = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
-    out = df.join(large, key, "left").withColumn("_m", parts).withColumn("_b", F.pmod(F.xxhash64(member, F.lit(17)), F.col("_m")).cast("int"))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    out = out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_m", "_o")
+    large, n = _large(df, key, block, size)
+    parts = F.coalesce("_m", F.lit(1)) if n else F.lit(1)
+    out = (df.join(small(large, n), key, "left") if n else df).withColumn("_p", parts.cast("int")).withColumn("_b", _share(member, F.col("_p")))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    out = out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_m", "_p", "_o")
     return out.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
 
+def _large(df: DataFrame, key: str, block: int, size: Column | None = None) -> tuple[DataFrame, int]:
+    """The keys of more than a block with the number of blocks they make (``_m``), and how many keys these are."""
+    parts = F.ceil(F.count("*") / block)
+    if size is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(size.cast("long")) / BLOCK_BYTES))
+    large, seen = cut_seen(df.groupBy(key).agg(parts.cast("int").alias("_m")).where("_m > 1"))
+    return large, seen["n"]
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of sorted rows and where the groups begin (n + 1); about ``limit`` rows or one group each."""
     held: list[pa.RecordBatch] = []
@@ -88,76 +107,122 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def candidate_edges(rows: DataFrame, alike: Callable[[np.ndarray, np.ndarray, bool], np.ndarray], width: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b), a > b, that connect all pairs of one key which ``alike`` lets through.
+def _sketches(column: pa.ChunkedArray, n: int, width: int) -> np.ndarray:
+    part = column.combine_chunks()
+    part = part.chunk(0) if isinstance(part, pa.ChunkedArray) else part
+    start = np.frombuffer(part.buffers()[1], np.int32)[part.offset]
+    return np.frombuffer(part.buffers()[2], np.uint8)[start : start + n * width].reshape(n, width)
 
-    ``rows`` has key, id (longs) and sketch (binary of ``width`` bytes). ``alike``
-    takes two uint8 arrays (n x width) and tells whether rows may be similar: row by
-    row, or with a true third argument each with each. The same edge may come from several keys; it is emitted once.
+
+def _forests(alike: Alike, width: int, keys: list[str], roots: str | None = None):
+    """Arrow function: edges of a spanning forest of the alike rows of each group.
+
+    If ``_i`` and ``_j`` are keys and differ, only rows of different blocks are compared. With
+    ``roots`` (a column of 0 and 1), rows of 1 that are roots of their group come out too, with key and sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in runs(batches, ["key", "_i", "_j"], 20_000):
+        for table, at in runs(batches, keys, 20_000):
             ids = table.column("id").to_numpy()
-            part = table.column("sketch").combine_chunks()
-            part = part.chunk(0) if isinstance(part, pa.ChunkedArray) else part
-            start = np.frombuffer(part.buffers()[1], np.int32)[part.offset]
-            sketch = np.frombuffer(part.buffers()[2], np.uint8)[start : start + len(ids) * width].reshape(len(ids), width)
+            sketch = _sketches(table.column("sketch"), len(ids), width)
             side = table.column("_b").to_numpy()
-            mixed = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+            mixed = table.column("_i").to_numpy() != table.column("_j").to_numpy() if "_i" in keys else np.zeros(len(ids), bool)
+            root_of = np.ones(len(ids), bool)
             size = np.diff(at)
             a, b = [], []
-            small = np.repeat(np.where(size <= 8, size, 0), size)
+            up = table.column(roots).to_numpy()[at[:-1]] > 0 if roots else np.zeros(len(size), bool)
+            whole = (size > 8) | (up & (size > 1))
+            tiny = np.repeat(np.where(whole, 0, size), size)
             group = np.repeat(np.arange(len(size)), size)
             for o in range(1, 8):  # small groups: all pairs at a distance of o, of all groups at once
-                left = np.flatnonzero((small[:-o] > o) & (group[o:] == group[:-o])) if len(ids) > o else np.zeros(0, int)
+                left = np.flatnonzero((tiny[:-o] > o) & (group[o:] == group[:-o]) & ~(mixed[o:] & (side[o:] == side[:-o]))) if len(ids) > o else np.zeros(0, int)
                 left = left[ids[left] != ids[left + o]]
                 left = left[alike(sketch[left], sketch[left + o], False)] if len(left) else left
                 a.append(ids[left])
                 b.append(ids[left + o])
-            for g in np.flatnonzero(size > 8):
+            for g in np.flatnonzero(whole):
                 own = np.arange(at[g], at[g + 1])
-                n = len(own)
                 linked = alike(sketch[own], sketch[own], True)
                 if mixed[own[0]]:
                     linked &= side[own][:, None] != side[own][None]
                 order = np.argsort(ids[own], kind="stable")
                 root = forest(linked[np.ix_(order, order)])
-                move = np.flatnonzero(root != np.arange(n))
+                move = np.flatnonzero(root != np.arange(len(own)))
+                root_of[own[order[move]]] = False
                 a.append(ids[own[order[move]]])
                 b.append(ids[own[order[root[move]]]])
-            a_, b_ = np.concatenate(a), np.concatenate(b)
+            a_, b_ = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
             keep = a_ != b_
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a_, b_)[keep]), pa.array(np.minimum(a_, b_)[keep])], names=["a", "b"])
+            columns = [np.maximum(a_, b_)[keep], np.minimum(a_, b_)[keep]]
+            if roots is None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b"])
+                continue
+            if len(columns[0]):
+                none = pa.nulls(len(columns[0]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), none.cast(pa.int64()), none.cast(pa.binary())], names=["a", "b", "key", "sketch"])
+            if len(apart := np.flatnonzero(root_of & np.repeat(up, size))):
+                top = table.take(pa.array(apart))
+                yield pa.RecordBatch.from_arrays([top.column(c).combine_chunks() for c in ("id", "id", "key", "sketch")], names=["a", "b", "key", "sketch"])
+
+    return run
+
 
+def candidate_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b), a > b, that connect all pairs of one key which ``alike`` lets through.
+
+    ``rows`` has key, id (longs) and sketch (binary of ``width`` bytes). ``alike``
+    takes two uint8 arrays (n x width) and tells whether rows may be similar: row by
+    row, or with a true third argument each with each. The same edge may come from several keys; it is emitted once.
+    """
     dealt = in_blocks(rows.select("key", "id", "sketch"), "key", F.col("id"), block)
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(dealt, _forests(alike, width, ["key", "_i", "_j"]), "a long, b long").distinct()
+
+
+def trie_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b), a > b, that connect the alike rows of the nodes of prefix tries.
+
+    ``rows`` has key (the node of the shortest prefix), tail (the labels below it), id
+    and sketch. A node of at most a block is compared whole. A larger one is dealt at its
+    longest prefix (key and tail), and a leaf that is still larger in blocks; the rows
+    found alike there are one group, and only its representative is met at the shorter
+    prefix, where all pairs of representatives are compared (in pairs of blocks, if need be).
+    """
+    rows = rows.select("key", "tail", "id", "sketch")
+    large, n = _large(rows, "key", block)
+    if not n:
+        dealt = rows.withColumns({"_b": F.lit(0)}).repartition("key").sortWithinPartitions("key", "tail")
+        return map_arrow(dealt, _forests(alike, width, ["key"]), "a long, b long").distinct()
+    leaves, seen = cut_seen(rows.join(small(large, n), "key").groupBy("key", "tail").agg(F.ceil(F.count("*") / block).cast("int").alias("_l")).where("_l > 1"))
+    dealt = rows.join(small(large, n), "key", "left").withColumn("_up", F.col("_m").isNotNull().cast("int")).withColumn("_t", F.when(F.col("_up") == 1, F.col("tail")).otherwise(-1))
+    if seen["n"]:
+        dealt = dealt.join(small(leaves, seen["n"]), ["key", "tail"], "left").withColumn("_b", _share(F.col("id"), F.coalesce("_l", F.lit(1))))
+    else:
+        dealt = dealt.withColumn("_b", F.lit(0))
+    dealt = dealt.select("key", "_t", "_b", "_up", "id", "sketch").repartition("key", "_t", "_b").sortWithinPartitions("key", "_t", "_b")
+    out = cut(map_arrow(dealt, _forests(alike, width, ["key", "_t", "_b"], "_up"), "a long, b long, key long, sketch binary"))
+    tops = out.where("sketch is not null").select("key", F.col("a").alias("id"), "sketch")
+    return out.where("sketch is null").select("a", "b").unionByName(candidate_edges(tops, alike, width, block)).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of an edge; the component is the smallest id that edges reach.
 
     Alternates large-star and small-star steps until nothing changes: a few rounds,
-    each written to the shared checkpoint folder. Minima are aggregated before
-    they are shuffled and written before they are joined back: both sides of a
+    each written to the shared checkpoint folder. The large star's minima are aggregated before
+    they are shuffled and written before they are joined back: both sides of the
     join are then plain exchanges, and AQE can split a node of very many edges.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    state = mark(edges)
-    while state[0]:
+    check = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    edges, state = cut_seen(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), check)
+    while state["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: each larger neighbour of a node is tied to the node's minimum.
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours are tied to their minimum.
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = cut(small)
-        now = mark(edges)
+        tied = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        tied = tied.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges, now = cut_seen(tied.where("a <> b").distinct(), check)
         if now == state:
             break
         state = now
@@ -165,14 +230,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
 
 
-def verified_links(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: str, limit_bytes: int = 32 << 20, block: int = BLOCK) -> DataFrame:
-    """(id, links, root) for each member, from the exact comparison of all pairs of a component.
-
-    ``members`` has component, id, weight (longs) and the payload column.
-    ``compare`` takes a table of one group and returns its symmetric boolean
-    matrix of links. ``links`` is the weight of the linked members, ``root`` the
-    smallest id that links reach inside one pair of blocks; an id has a row for each.
-    """
+def _verify(dealt: DataFrame, compare: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """(component, id, links, root) of the rows of each group (component, _i, _j); if _i and _j differ only rows of different ``_b`` are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in runs(batches, ["component", "_i", "_j"], 256):
@@ -183,9 +242,56 @@ def verified_links(members: DataFrame, compare: Callable[[pa.Table], np.ndarray]
                 ids, weight, side = (group.column(c).to_numpy() for c in ("id", "weight", "_b"))
                 if group.column("_i")[0].as_py() != group.column("_j")[0].as_py():
                     linked &= side[:, None] != side[None]
-                order = np.argsort(ids)
+                order = np.argsort(ids, kind="stable")
                 root = forest(linked[np.ix_(order, order)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array((linked @ weight)[order].astype(np.int64)), pa.array(ids[order][root])], names=["id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([group.column("component").combine_chunks(), pa.array(ids[order]), pa.array((linked @ weight)[order].astype(np.int64)), pa.array(ids[order][root])], names=["component", "id", "links", "root"])
+
+    return map_arrow(dealt, run, "component long, id long, links long, root long")
 
-    dealt = in_blocks(members.select("component", "id", "weight", payload), "component", F.col("id"), block)
-    return map_arrow(dealt, run, "id long, links long, root long")
+
+def verified_links(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: str, size: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, links, root) for each member, from the exact comparison of all pairs of a component.
+
+    ``members`` has component, id, weight (longs) and the payload column, with ``size`` bytes.
+    ``compare`` takes a table of one group and returns its symmetric boolean
+    matrix of links. ``links`` is the weight of the linked members, ``root`` the
+    smallest id that links reach inside one pair of blocks; an id has a row for each.
+    """
+    dealt = in_blocks(members.select("component", "id", "weight", payload), "component", F.col("id"), block, size)
+    return _verify(dealt, compare).drop("component")
+
+
+def linked_groups(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: str, size: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between members whose components are those of all links inside the components of ``members``.
+
+    A component of at most a block is compared whole. A larger one is dealt in blocks, and the
+    representatives of the groups found there are compared with each other. What then is
+    still apart is made sure of: the rows outside of the largest group meet all rows of their
+    component. Near copies of one text, however many, so cost a comparison with one block each.
+    """
+    members = members.select("component", "id", F.lit(0).cast("long").alias("weight"), payload)
+    large, n = _large(members, "component", block, size)
+    whole = members.join(small(large, n), "component", "left") if n else members.withColumn("_m", F.lit(None).cast("int"))
+    whole = whole.withColumn("_b", _share(F.col("id"), F.coalesce("_m", F.lit(1)))).withColumns({"_i": F.col("_b"), "_j": F.col("_b")}).drop("_m")
+    first = cut(_verify(whole.repartition("component", "_i").sortWithinPartitions("component", "_i"), compare).drop("links"))
+    edges = first.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if not n:
+        return edges
+    hot = first.join(small(large.select("component"), n), "component")
+    tops = members.join(hot.where("id = root").select("component", "id"), ["component", "id"])
+    more = cut(_verify(in_blocks(tops, "component", F.col("id"), block, size), compare).select(F.col("id").alias("a"), F.col("root").alias("b")))
+    labels = connected_components(hot.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("component", "label")
+    known = cut(hot.select("component", "id").join(labels, "id", "left").select("component", "id", F.coalesce("label", "id").alias("label")))
+    by_label = known.groupBy("component", "label").agg(F.count("*").alias("c"))
+    split, seen = cut_seen(by_label.groupBy("component").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where(F.col("all") > F.col("most")))
+    edges = edges.unionByName(more)
+    if not seen["n"]:
+        return edges
+    parts = small(large, n).join(split, "component").select("component", "top", "_m", F.least("_m", F.ceil((F.col("all") - F.col("most")) * F.col("_m") / F.col("all"))).cast("int").alias("_r"))
+    rows = members.join(known, ["component", "id"]).join(small(parts, seen["n"]), "component")
+    # A group for each block of the rest (_i) and each block of all rows (_j, below 0 so that it differs).
+    rest = rows.where("label <> top").withColumns({"_i": _share(F.col("id"), F.col("_r"), 18), "_b": F.lit(0)}).withColumn("_j", F.explode(F.sequence(-F.col("_m"), F.lit(-1))))
+    all_rows = rows.withColumns({"_j": -1 - _share(F.col("id"), F.col("_m")), "_b": F.lit(1)}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
+    columns = ["component", "id", "weight", payload, "_i", "_j", "_b"]
+    dealt = rest.select(columns).unionByName(all_rows.select(columns)).repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j")
+    return edges.unionByName(_verify(dealt, compare).select(F.col("id").alias("a"), F.col("root").alias("b")))

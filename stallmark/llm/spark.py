@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 8 << 20
+#: Rows of a few numbers each that are broadcast at most (about 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,10 @@ def shared_checkpoints(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stallmark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stallmark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,8 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def letters(text: Column | str) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+def cut_seen(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """``cut`` and, from the same run, the number of rows (``n``) and other aggregates."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *measures)), seen.get
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if its rows, counted before, are at most ``BROADCAST_ROWS``; else joined as Spark decides."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def sha256_of(items: Column) -> Column:
@@ -41,13 +53,6 @@ def sha256_of(items: Column) -> Column:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
-def add_column_names(df: DataFrame, *names: str) -> None:
-    """Refuse input columns that the operator itself adds, with a clear error."""
-    clash = sorted(set(df.columns) & set(names))
-    if clash:
-        raise ValueError(f"input has columns that this operator adds: {', '.join(clash)}")
-
-
 def with_text(df: DataFrame, text: str) -> tuple[DataFrame, list[str], str]:
     """df with positional column names (so that none clashes), these names, and the name of its text column.
 
@@ -60,6 +65,13 @@ def with_text(df: DataFrame, text: str) -> tuple[DataFrame, list[str], str]:
     return out.withColumn("_text", F.col(own).cast("string")), names, "_text"
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: a number, with a unit (b, k, kb, m, ...) or without."""
+    digits = size.strip().lower().rstrip("kmgtpb")
+    unit = size.strip().lower()[len(digits) :].removesuffix("b")
+    return int(digits) << 10 * ("kmgtp".index(unit) + 1 if unit else 0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow, after sending this package to the executors (once for each Spark context).
 
@@ -68,7 +80,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
     sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if not 0 < _bytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     if not getattr(sc, "_stallmark_sent", False):
         root = Path(__file__).resolve().parents[1]

@@ -93,8 +93,8 @@ def test_structured_words_do_not_link(spark):
     assert {r.n_links for r in near_duplicates.near_duplicates(df).collect()} == {0}
 
 
-def test_forest_depth():
-    d = near_duplicates.forest_depth(0.8, 0.999, 20, 8)
+def test_shortest_prefix():
+    d = near_duplicates.shortest_prefix(0.8, 0.999, 20, 8)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
     k = near_duplicates.sketch_floor(0.8)
     assert sum(math.comb(32, i) * 0.8**i * 0.2 ** (32 - i) for i in range(k)) <= 2e-5
