@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import labelled_texts
+from .sampling import fitted, labelled_texts
 from .spark import map_arrow
 from .text import text_chunks
 
@@ -174,7 +174,7 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6,
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, **options) -> LanguageModel:
     """Train on a bounded sample of the rows of docs whose lang is known."""
     got = labelled_texts(docs, docs, doc_id=doc_id, text=text, label=lang, per_label=per_language, max_bytes=max_bytes)
-    return train(got.text.tolist(), got.label.astype(str).tolist(), **options)
+    return fitted(got, lambda texts, langs: train(texts, [str(x) for x in langs], **options))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
