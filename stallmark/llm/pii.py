@@ -11,12 +11,17 @@ iban     remainder modulo 97              letters and digits of the account; new
 ssn      area, group and serial ranges    over all valid numbers
 phone    7 to 15 digits in phone form     the digits behind the country code
 ip       four octets up to 255            over all addresses
-date     calendar date, years 1800-2199   over all days of these 400 years
+date     calendar date, years 1800-2199   over the days of these 400 years that are up to the 12th, or those after it
 email    form                             letters and digits of the local part and of the domain but its last label
-secret   known prefix or assignment       letters and digits of the value, which has a letter
+secret   known prefix, or keyword before   letters and digits of the value
+
+A value behind ``token``, ``password``, ``secret``, ``api_key`` and the like is a secret if it has 16
+characters or more and is hexadecimal, or of the base64 alphabets with a letter and a digit.
 
 Dates are found as 2024-03-05 (a time may follow, as in 2024-03-05T10:00:00Z), 2024/3/5, 5-3-2024 and 5.3.2024
 (day first) and 3/5/2024 (month first if it can be), with or without leading zeros but in the first form.
+As 3/5/2024 is read as the month first and 27/5/2024 cannot be, days up to the 12th and later ones are permuted
+apart: the pseudonym is read as its value was, in every form, and no two values get one.
 Left in clear: dashes with the month first (03-25-2024), 2024-3-5, 2024.03.05, 20240305, years of two digits, names of months.
 
 What does not validate stays as it is, as do signs, separators and the case of letters.
@@ -28,27 +33,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Key used if none is given; a deployment passes its own.
-DEMO_KEY = "stallmark-demo-key"
 
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _E
 KEYWORDS = "token|password|passwd|secret|api_key|apikey"
-SECRET = _B + r"AKIA[0-9A-Z]{16}" + _E + r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{16})(?<=(?i:" + KEYWORDS + r")\s{0,2}[=:]\s{0,2}[\"']?)[0-9a-fA-F]{16,}+" + _E
+ACCESS = _B + r"AKIA[0-9A-Z]{16}" + _E
+SECRET = (
+    r"(?<![0-9A-Za-z+/_\-])(?=[A-Za-z0-9+/_\-]{16})(?<=(?i:" + KEYWORDS + r")\s{0,2}[=:]\s{0,2}[\"']?)"
+    r"(?:[0-9a-fA-F]{16,}+" + _E + r"|(?=[A-Za-z+/_\-]{0,256}[0-9])(?=[0-9+/_\-]{0,256}[A-Za-z])[A-Za-z0-9+/_\-]{16,}+={0,2}(?![0-9A-Za-z=]))"
+)
 IBAN = _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E
 DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _E + ")"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
 SSN = _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
 CARD = _B + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})" + _E
 PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9A-Za-z]|\.[0-9])"
-KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE}
+KINDS = {"email": EMAIL, "access": ACCESS, "secret": SECRET, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE}
 PATTERN = "|".join(KINDS.values())
+#: The same, with a group for what stands behind a keyword.
+_MARKED = "|".join(f"({p})" if k == "secret" else p for k, p in KINDS.items())
 
 #: What every text with a value of some kind has.
 GATE = f"[0-9@]|AKIA|(?i:{KEYWORDS})"
 
-#: Days from 1800-01-01 to 2199-12-31: 400 years of the calendar, 189 x 773.
-FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+FIRST_YEAR, YEARS = 1800, 400
+#: Days up to the 12th of a month in these years, and the other days (of the Gregorian cycle of 146,097).
+EARLY, LATE = (240, 240), (9, 9833)
+#: Days after the 12th in front of each month of a year, in February's place and later one more in a leap year.
+LATE_BEFORE = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
 
 
 def _long(c: Column | int) -> Column:
@@ -199,6 +211,47 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when((o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255), _with(pair, show))
 
 
+def _permuted(i: Column, size: tuple[int, int], tag: str, key: Column) -> Column:
+    """A keyed permutation of the numbers below the product of the two sizes."""
+    pair = feistel(F.floor(i / size[1]), i % size[1], size[0], size[1], F.lit(tag), key)
+    return _with(pair, lambda p: p["a"] * size[1] + p["b"])
+
+
+def _early_number(d: Column) -> Column:
+    """The place of a day up to the 12th among all of these."""
+    return (F.year(d) - FIRST_YEAR) * 144 + (F.month(d) - 1) * 12 + F.dayofmonth(d) - 1
+
+
+def _early_date(number: Column) -> Column:
+    return _with(number, lambda i: F.make_date((F.floor(i / 144) + FIRST_YEAR).cast("int"), (F.floor(i / 12) % 12 + 1).cast("int"), (i % 12 + 1).cast("int")))
+
+
+def _late_before(year: Column) -> Column:
+    """How many days after a 12th lie in front of a year."""
+    return F.datediff(F.make_date(year, F.lit(1), F.lit(1)), F.lit(f"{FIRST_YEAR}-01-01").cast("date")) - 144 * (year - FIRST_YEAR)
+
+
+def _late_number(d: Column) -> Column:
+    """The place of a day after the 12th among all of these."""
+    return F.datediff(d, F.lit(f"{FIRST_YEAR}-01-01").cast("date")) - 12 * ((F.year(d) - FIRST_YEAR) * 12 + F.month(d))
+
+
+def _late_date(number: Column) -> Column:
+    def date(i: Column) -> Column:
+        near = (F.floor(i * YEARS / (LATE[0] * LATE[1])) + FIRST_YEAR).cast("int")  # the year, or one beside it
+        year = near + (_late_before(near + 1) <= i).cast("int") - (_late_before(near) > i).cast("int")
+        return _with(F.struct(year.alias("y"), i.alias("i")), day)
+
+    def day(at: Column) -> Column:
+        leap = F.dayofmonth(F.last_day(F.make_date(at["y"], F.lit(2), F.lit(1)))) - 28
+        inside = (at["i"] - _late_before(at["y"])).cast("int")
+        before = F.array(*(F.lit(n) + (leap if k > 1 else 0) for k, n in enumerate(LATE_BEFORE)))
+        month = lambda b: F.size(F.filter(b, lambda n: n <= inside))
+        return _with(before, lambda b: F.make_date(at["y"], month(b), inside - F.element_at(b, month(b)) + 13))
+
+    return _with(number, date)
+
+
 def _date(m: Column, key: Column) -> Column:
     part = lambda sep, i: F.split_part(m, F.lit(sep), F.lit(i))
     year_first, dashes, dots = m.rlike("^[0-9]{4}"), m.contains("-"), m.contains(".")
@@ -209,19 +262,18 @@ def _date(m: Column, key: Column) -> Column:
     date = date.when(dashes, made(part("-", 3), part("-", 2), part("-", 1))).when(dots, made(part(".", 3), part(".", 2), part(".", 1))).otherwise(F.coalesce(month_first, day_first))
 
     def new(d: Column) -> Column:
-        day = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
-        pair = feistel(F.floor(day / DAYS_B), day % DAYS_B, DAYS_A, DAYS_B, F.lit("date"), key)
+        early = F.dayofmonth(d) <= 12
+        other = F.when(early, _with(_early_number(d), lambda i: _early_date(_permuted(i, EARLY, "date", key)))).otherwise(_with(_late_number(d), lambda i: _late_date(_permuted(i, LATE, "date+", key))))
         two = lambda form, x: F.lpad(x.cast("string"), F.greatest(F.length(form), F.length(x.cast("string"))), F.lit("0"))
 
-        def show(p: Column) -> Column:
-            t = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int"))
+        def show(t: Column) -> Column:
             y, mo, dd = F.lpad(F.year(t).cast("string"), 4, "0"), F.month(t), F.dayofmonth(t)
             slashes = F.when(month_first.isNotNull(), F.concat_ws("/", two(part("/", 1), mo), two(part("/", 2), dd), y)).otherwise(F.concat_ws("/", two(part("/", 1), dd), two(part("/", 2), mo), y))
             dmy = lambda sep: F.concat_ws(sep, two(part(sep, 1), dd), two(part(sep, 2), mo), y)
             shown = F.when(year_first & dashes, F.date_format(t, "yyyy-MM-dd")).when(year_first, F.concat_ws("/", y, two(part("/", 2), mo), two(part("/", 3), dd)))
             return shown.when(dashes, dmy("-")).when(dots, dmy(".")).otherwise(slashes)
 
-        return F.when(day.between(0, DAYS_A * DAYS_B - 1), _with(pair, show))
+        return F.when(F.year(d).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), _with(other, show))
 
     return _with(date, lambda d: F.when(d.isNotNull(), new(d)))
 
@@ -233,33 +285,33 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(permute_characters(local, F.lit("local"), key), F.lit("@"), F.array_join(F.transform(labels, lambda s: permute_characters(s, F.lit("domain"), key)), "."), last)
 
 
-def _secret(m: Column, key: Column) -> Column:
-    access = m.startswith("AKIA")
-    return F.when(access, F.concat(F.lit("AKIA"), permute_characters(F.substr(m, F.lit(5), F.length(m)), F.lit("access"), key))).otherwise(permute_characters(m, F.lit("hex"), key, 6))
+def _access(m: Column, key: Column) -> Column:
+    return F.concat(F.lit("AKIA"), permute_characters(F.substr(m, F.lit(5), F.length(m)), F.lit("access"), key))
+
 
+def _secret(m: Column, key: Column) -> Column:
+    return F.when(m.rlike("^[0-9a-fA-F]+$"), permute_characters(m, F.lit("hex"), key, 6)).otherwise(permute_characters(m, F.lit("secret"), key))
 
-_NEW = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
+_NEW = {"email": _email, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
-def _whole(kind: str) -> str:
-    """The form of one kind alone, without what must stand around it."""
-    if kind == "secret":
-        return r"^(?:AKIA[0-9A-Z]{16}|(?=.*[a-fA-F])[0-9a-fA-F]{16,}+)$"
-    inner = KINDS[kind]
-    return f"^(?:{inner})$"
 
+def pseudonym(value: Column, key: Column, keyed: Column | None = None) -> Column:
+    """A struct (kind, new) for a string that PATTERN found; new is null where it does not validate as any kind.
 
-def pseudonym(value: Column, key: Column) -> Column:
-    """A struct (kind, new) for a string that PATTERN found; new is null where it does not validate as any kind."""
-    # Hex values and card numbers share a form: a secret has been found by what stands before it, which the value does not show.
-    order = ["email", "iban", "date", "ip", "ssn", "card", "phone", "secret"]
-    made = [F.when(value.rlike(_whole(k)), F.struct(F.lit(k).alias("kind"), _NEW[k](value, key).alias("new"))) for k in order]
+    ``keyed`` tells that it has been found behind a keyword, which the value itself does not show.
+    """
+    made = [F.when(value.rlike(f"^(?:{KINDS[k]})$"), F.struct(F.lit("secret" if k == "access" else k).alias("kind"), _NEW[k](value, key).alias("new"))) for k in _NEW]
+    if keyed is not None:
+        made.append(F.when(keyed, F.struct(F.lit("secret").alias("kind"), _secret(value, key).alias("new"))))
     return F.coalesce(*(F.when(x["new"].isNotNull(), x) for x in made))
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | Column = DEMO_KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str | Column, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with the personal data in ``text`` replaced; all rows and other columns stay as they are.
 
+    ``key`` is the secret of the permutations: who has it can undo them. As text it is a literal of the plan, as a
+    column it comes from the data.
     With ``found``, a column of that name (it may not exist yet) lists the kind
     and the pseudonym of each replaced value in order of the text. A null text stays null
     (and has no values), an empty one empty. Texts without a digit, ``@``,
@@ -271,8 +323,10 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | Column = DEM
     source = F.col(text).cast("string")
     values = F.when(source.rlike(GATE), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
     rest = "__" + "_".join(docs.columns)  # a name that no column has
-    made = F.transform(F.col(rest), lambda m: F.struct(m.alias("old"), pseudonym(m, secret).alias("p")))
-    step = docs.withColumn(rest, F.coalesce(values, F.array().cast("array<string>"))).withColumn(rest, made)
+    marks = F.when(source.rlike(f"(?i:{KEYWORDS})"), F.regexp_extract_all(source, F.lit(_MARKED), F.lit(1)))
+    keyed = lambda i: F.coalesce(F.try_element_at(F.col(f"{rest}_"), i + 1) != "", F.lit(False))
+    made = F.transform(F.col(rest), lambda m, i: F.struct(m.alias("old"), pseudonym(m, secret, keyed(i)).alias("p")))
+    step = docs.withColumns({rest: F.coalesce(values, F.array().cast("array<string>")), f"{rest}_": marks}).withColumn(rest, made).drop(f"{rest}_")
     parts = F.split(source, PATTERN, -1)
     shown = F.transform(F.col(rest), lambda v: F.coalesce(v["p"]["new"], v["old"]))
     joined = F.array_join(F.zip_with(parts, shown, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
