@@ -118,7 +118,8 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     it is the row's own. Vectors that are null, empty, zero, or hold null or
     non-finite numbers, and rows with a null id, link with nothing and are kept;
     vectors of different lengths do not link with each other. Equal vectors all
-    link; repeated rows count as such. Ids are integers. Other columns are ignored.
+    link; repeated rows count as such, and rows with one id and different vectors are told apart.
+    Ids are integers. Other columns are ignored. An empty table gives no row.
     """
     if not isinstance(vectors.schema[vec_id].dataType, T.IntegralType):
         raise TypeError(f"{vec_id} must be an integer column")
@@ -126,7 +127,8 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     good = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("k1", F.when(F.col("good"), F.xxhash64("v"))).withColumn("k2", F.when(F.col("good"), F.xxhash64(F.lit(3), "v")))
-    classes = cut(rows.where("good").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")))
+    # Classes of equal vectors have a number of their own, as ids may repeat.
+    classes = cut(rows.where("good").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("id", F.monotonically_increasing_id()))
     dim = classes.agg(F.max(F.size("v"))).first()[0] or 1
     bound = byte_bound(threshold, dim)
 
@@ -157,8 +159,9 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     linked = cut(groups.verified_links(members, compare, "v", block=block))
     reached = groups.connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.select("k1", "k2", "id", "weight").join(links, "id", "left").join(reached, "id", "left")
-    known = known.select("k1", "k2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = classes.select("k1", "k2", "id", "least", "weight").join(links, "id", "left").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = cut(known.select("k1", "k2", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    known = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("k1", "k2", "component_id", "n_links")
     out = rows.select("id", "good", "k1", "k2").join(known, ["k1", "k2"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(vec_id), F.when(F.col("good"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -151,6 +151,81 @@ def test_embedding_links(spark, block):
     assert lattice.embedding_links(df.where("false")).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.0, 0.21]), (3, [0.01, 1.0, 0.0]), (3, [0.01, 1.0, 0.0]), (None, a), (5, c), (5, None)]
+    out = lattice.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in out if r.vec_id is not None)
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (5, 0, 5), (5, 0, 5)] and len(out) == 8
+
+
+def near_copies(n, length, edits, seed):
+    """n different texts of about this similarity: one text with some words changed in each."""
+    rng = random.Random(seed)
+    base = [f"{rng.randrange(10**6):06d}" for _ in range(length)]
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for j in range(edits):
+            copy[rng.randrange(length)] = f"edit{seed}x{k}x{j}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs with a Jaccard index just over 0.8: all but one in a hundred at least are linked."""
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for i in range(600):
+        a = [f"{rng.randrange(10**7):07d}" for _ in range(300)]
+        b = list(a)
+        for at in range(0, 300, 50):
+            b[at + 5 + rng.randrange(40)] = "changed"
+        x, y = " ".join(a), " ".join(b)
+        sets = shingle_set(x), shingle_set(y)
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
+        rows += [(2 * i, x), (2 * i + 1, y)]
+        pairs.append((2 * i, 2 * i + 1))
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[b].class_id == a and got[a].n_links == 1 for a, b in pairs)
+    assert found >= 0.99 * len(pairs), found
+
+
+def test_large_groups_by_representatives(spark):
+    """Groups of many blocks, loose and tight, with and without counting links, against brute force."""
+    tight, loose = near_copies(150, 120, 1, 1), near_copies(60, 60, 2, 2)
+    chain = near_copies(1, 80, 0, 3)
+    for k in range(40):  # each like the one before, the last unlike the first
+        words = chain[-1].split()
+        words[2 * k % 80] = f"link{k}"
+        chain.append(" ".join(words))
+    texts = tight + loose + chain
+    random.Random(4).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root, n = brute_jaccard(texts)
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(df, block=16).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == root and [got[i].n_links for i in range(len(texts))] == n
+    left = near_duplicates.drop_near_duplicates(df, block=16)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+
+
+def test_linked_groups_make_sure_of_the_rest(spark):
+    """A component whose blocks' representatives do not link falls into the groups of all its links."""
+    rng = random.Random(2)
+    place = [(i, i % 3, rng.randrange(10**6)) for i in range(300)]  # three groups in one candidate component
+    df = spark.createDataFrame([(7, i, float(g * 1000 + k)) for k, (i, g, _) in enumerate(place)], "component long, id long, v double")
+
+    def compare(table):
+        v = table.column("v").to_numpy()
+        return np.abs(v[:, None] - v[None]) <= 7.5
+
+    edges = groups.linked_groups(df, compare, "v", block=16)
+    got = {r.id: r.component for r in groups.connected_components(edges).collect()}
+    values = [float(g * 1000 + k) for k, (_, g, _) in enumerate(place)]
+    root = classes(300, [(i, j) for i in range(300) for j in range(i) if abs(values[i] - values[j]) <= 7.5])
+    assert [got.get(i, i) for i in range(300)] == root
+
+
 def test_lattice_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     for dim in (16, 64, 256):
