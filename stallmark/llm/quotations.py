@@ -1,20 +1,29 @@
 """Chat formatting: quoted passages linked to the messages that they come from.
 
 A line that starts with ``>`` signs is quoted, at the level of their number; a
-line ``On ... wrote:`` in front belongs to the quotation. Each quoted line is a
-passage; normalised (lower case, single spaces) and hashed it meets the first message
-of the conversation that has the same passage in its own words. A message
-replies to the earlier one of which it quotes most passages at the lowest level.
-Without quotation it follows the message before. Everything is exploded lines,
-aggregated before each join: a passage that a million messages share is one row.
+line ``On ... wrote:`` in front belongs to the quotation. Neighbouring lines of one
+level are one paragraph, however they are wrapped (an empty line ends it), and
+each sentence of a quoted paragraph is a passage; normalised (lower case, single spaces) and
+hashed it meets the first message of the conversation that has the same sentence, or the same
+line, in its own words. A message replies to the earlier one of which it
+quotes most passages at the lowest level. Without quotation it follows the message before.
+
+Passages are aggregated before each join: one that a million messages share is one
+row. The place of a message in its conversation is counted over ranges of the sorted rows,
+so that no task has a whole conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark import cut
+
 _MARK = r"^[ \t]*(?:>[ \t]*)+"
+_ANNOUNCED = r"^On .*wrote:\s*$"
 
 
 def level_of(line: Column) -> Column:
@@ -22,43 +31,97 @@ def level_of(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARK, 0), "[^>]", ""))
 
 
-def passage_of(line: Column) -> Column:
-    """A line without its quotation marks, in lower case with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARK, "")), r"\s+", " "))
+def normal(passage: Column) -> Column:
+    """In lower case with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(passage), r"\s+", " "))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(_ANNOUNCED))
 
 
 def own_words(text: Column) -> Column:
     """The text without quoted lines and the lines that announce them."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: (level_of(x) == 0) & ~x.rlike(r"^On .*wrote:\s*$"))
-    return F.trim(F.array_join(lines, "\n"))
+    return F.trim(F.array_join(F.filter(_lines(text), lambda x: level_of(x) == 0), "\n"))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def paragraphs(text: Column) -> Column:
+    """The runs of lines of one level, up to an empty line, as structs (level, lines); lines are normalised and none is empty."""
+    marked = F.transform(_lines(text), lambda x: F.struct(level_of(x).alias("level"), normal(F.regexp_replace(x, _MARK, "")).alias("body")))
+
+    def grouped(lines: Column) -> Column:
+        size = F.size(lines)
+        before = lambda i: F.element_at(lines, F.greatest(i - 1, F.lit(1)))
+        starts = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at(lines, i)["level"] != before(i)["level"]) | (before(i)["body"] == ""))
+
+        def run(first: Column, end: Column) -> Column:
+            bodies = F.transform(F.slice(lines, first, end - first), lambda x: x["body"])
+            return F.struct(F.element_at(lines, first)["level"].alias("level"), F.filter(bodies, lambda b: b != "").alias("lines"))
+
+        found = _with(starts, lambda s: F.transform(s, lambda first, k: run(first, F.coalesce(F.try_element_at(s, k + 2), size + 1))))
+        return F.when(size > 0, found)
+
+    return F.filter(F.coalesce(_with(marked, grouped), F.array().cast("array<struct<level:int,lines:array<string>>>")), lambda p: F.size(p["lines"]) > 0)
+
+
+def sentences(lines: Column) -> Column:
+    """The sentences of a paragraph (its end is one): a full stop, question or exclamation mark and a space are between them."""
+    return F.split(F.regexp_replace(F.array_join(lines, " "), "([.!?]) ", "$1\n"), "\n")
+
+
+def _hashed(passage: str) -> Column:
+    return F.sha2(F.col(passage).cast("binary"), 256).alias("h")
 
 
 def replies(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row for each row: ``conv_id, turn, role, text, level, n_quoted, n_linked, parent, after``.
+    """A row for each row: ``conv_id, turn, role, text, level, n_quoted, n_linked, parent, after, position``.
 
     ``text`` is without quotations, ``level`` the deepest quotation level,
     ``n_quoted`` the number of quoted passages, ``n_linked`` those found in an
-    earlier message, ``parent`` the turn replied to (null if none is quoted) and
-    ``after`` the sort key in front of turn: a conversation ordered by (after,
-    turn) has each message behind the one that it replies to. Null and empty
-    texts have no passages; a null conversation or turn links with nothing;
-    repeated rows stay, as do messages that are all quotation (with an empty text).
+    earlier message, ``parent`` the turn replied to (null if none is quoted),
+    ``after`` the sort key in front of turn and ``position`` the place, from 1, of the message in its
+    conversation ordered by (after, turn, role, text): each message is behind the one that it replies to.
+    Of several messages with a passage the first one has it; of parents with equally many passages
+    at the lowest level the last. Null and empty
+    texts have no passages; a message with a null conversation or turn links with nothing and has no position;
+    repeated rows stay, as do messages that are all quotation (with an empty text). Other columns are ignored,
+    an empty table gives no row.
     """
     base = messages.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).cast("string").alias("x"))
-    line = F.explode(F.split(F.coalesce("x", F.lit("")), r"\r?\n")).alias("line")
-    lines = base.select("c", "t", line).select("c", "t", level_of(F.col("line")).alias("level"), passage_of(F.col("line")).alias("p")).where("p <> ''")
-    quoted = lines.where("level > 0").select("c", "t", "level", F.sha2(F.col("p").cast("binary"), 256).alias("h")).groupBy("c", "t", "level", "h").agg(F.count("*").alias("n"))
+    parts = base.where("c is not null and t is not null").select("c", "t", F.explode(paragraphs(F.col("x"))).alias("p")).select("c", "t", "p.level", "p.lines")
+    quoted = parts.where("level > 0").select("c", "t", "level", F.explode(sentences(F.col("lines"))).alias("p"))
+    quoted = cut(quoted.select("c", "t", "level", _hashed("p")).groupBy("c", "t", "level", "h").agg(F.count("*").alias("n")))
     # Only passages that someone quotes are looked for.
-    own = lines.where("level = 0").select("c", "t", F.sha2(F.col("p").cast("binary"), 256).alias("h")).join(quoted.select("c", "h").distinct(), ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("source"))
+    wanted = cut(quoted.select("c", "h").distinct())
+    own = parts.where("level = 0").select("c", "t", F.explode(F.array_union(sentences(F.col("lines")), "lines")).alias("p")).select("c", "t", _hashed("p"))
+    own = cut(own.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("source")))
     met = quoted.join(own, ["c", "h"], "left").withColumn("source", F.when(F.col("source") < F.col("t"), F.col("source")))
-    votes = met.groupBy("c", "t", "level", "source").agg(F.sum("n").alias("n"))
+    votes = cut(met.groupBy("c", "t", "level", "source").agg(F.sum("n").alias("n")))
     best = F.min_by("source", F.struct("level", -F.col("n"), -F.col("source"))).alias("parent")
     link = votes.groupBy("c", "t").agg(F.max("level").alias("level"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"))
     parent = votes.where("source is not null").groupBy("c", "t").agg(best)
-    out = base.join(link, ["c", "t"], "left").join(parent, ["c", "t"], "left")
-    return out.select(F.col("c").alias(conv_id), F.col("t").alias(turn), F.col("r").alias(role), own_words(F.col("x")).alias("text"), F.coalesce("level", F.lit(0)).alias("level"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_quoted", "n_linked")), "parent", F.coalesce("parent", "t").alias("after"))
+    out = base.join(link.join(parent, ["c", "t"], "left"), ["c", "t"], "left")
+    out = out.select("c", "t", "r", own_words(F.col("x")).alias("text"), F.coalesce("level", F.lit(0)).alias("level"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_quoted", "n_linked")), "parent", F.coalesce("parent", "t").alias("after"))
+    return _placed(out).withColumnsRenamed({"c": conv_id, "t": turn, "r": role})
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with ``position``: counted in each range of the sorted rows, and from range to range by their sums."""
+    lone = F.col("c").isNull() | F.col("t").isNull()
+    ordered = rows.where(~lone).repartitionByRange("c", "after", "t", "r").sortWithinPartitions("c", "after", "t", "r", "text")
+    ordered = cut(ordered.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ranges = ordered.groupBy("c", "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("c").orderBy("_range")) - F.col("_n")
+    ranges = cut(ranges.select("c", "_range", (F.col("_first") - before - 1).alias("_zero")))
+    placed = ordered.join(ranges, ["c", "_range"]).withColumn("position", F.col("_at") - F.col("_zero")).select(*rows.columns, "position")
+    return placed.unionByName(rows.where(lone).withColumn("position", F.lit(None).cast("long")))
 
 
-def conversations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", **names) -> DataFrame:
+def conversations(messages: DataFrame, *, conv_id: str = "conv_id", **names) -> DataFrame:
     """The rows of ``replies`` in reply order, by a range sort that splits long conversations too."""
-    return replies(messages, conv_id=conv_id, turn=turn, **names).orderBy(conv_id, "after", turn)
+    return replies(messages, conv_id=conv_id, **names).orderBy(conv_id, "position")

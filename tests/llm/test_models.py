@@ -116,6 +116,60 @@ def test_quotations(spark):
     assert got[2, 0].parent is None and got[2, 0].n_linked == 0 and got[2, 1].text == ""
     order = [r.turn for r in quotations.conversations(df.where("conv_id = 1")).collect()]
     assert order == [0, 3, 1, 2, 4] and math.prod(order.index(p) < order.index(t) for t, p in ((2, 1), (3, 0), (4, 1)))
+    assert [got[1, t].position for t in order] == [1, 2, 3, 4, 5] and sorted(r.position for r in out if r.conv_id == 2) == [1, 2, 3, 4] and got[None, 5].position is None
+
+
+LONG = "The first sentence is about the weather in the north of the country. Is the second one a question about ships? The third one has no end"
+
+
+def wrapped(text, width, mark):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {word}".strip()
+    return "\n".join(mark + x for x in [*lines, line])
+
+
+def quoted_messages():
+    rows = [(1, 0, "a", LONG), (1, 1, "b", "Another message. Is the second one a question about ships?\nA line of its own\nand another")]
+    rows += [(1, 2 + k, "c", f"On Monday a wrote:\n{wrapped(LONG, width, mark)}\nYes, indeed.") for k, (width, mark) in enumerate([(72, "> "), (30, ">"), (25, "> > "), (500, ">> ")])]
+    rows += [(1, 6, "d", "> Is the second one a question about ships?\nNo."), (1, 7, "d", "> A line of its own\n\n> and another"), (1, 8, "d", "> A line of its own\n> and another"), (1, 9, "d", "> about the weather in the north")]
+    rows += [(1, 10, "e", "> yes, INDEED.\n> > The third one has\n> > no end\n\n> never said! nor this"), (2, 0, "a", None), (2, 1, "a", "On Friday b wrote:"), (2, 2, "b", "> " * 40 + "deep"), (None, 1, "a", "> x"), (3, None, "a", "> x")]
+    return rows
+
+
+def test_rewrapped_and_partial_quotations(spark):
+    df = spark.createDataFrame(quoted_messages(), "conv_id long, turn long, role string, text string").withColumn("level", F.lit("clash"))
+    got = {(r.conv_id, r.turn): r for r in quotations.replies(df).collect()}
+    assert len(got) == df.count()
+    for t, level in ((2, 1), (3, 1), (4, 2), (5, 2)):
+        assert (got[1, t].text, got[1, t].parent, got[1, t].level, got[1, t].n_quoted, got[1, t].n_linked) == ("Yes, indeed.", 0, level, 3, 3)
+    assert (got[1, 6].parent, got[1, 6].n_linked) == (0, 1)  # the first message that has it
+    assert (got[1, 7].parent, got[1, 7].n_quoted, got[1, 7].n_linked) == (1, 2, 2)
+    assert (got[1, 8].parent, got[1, 8].n_quoted, got[1, 8].n_linked) == (1, 1, 1)  # both lines make one sentence, on either side
+    assert (got[1, 9].parent, got[1, 9].n_linked) == (None, 0)
+    assert (got[1, 10].parent, got[1, 10].level, got[1, 10].n_quoted, got[1, 10].n_linked, got[1, 10].text) == (2, 2, 4, 2, "")
+    assert got[2, 1].text == "" and got[2, 2].level == 40 and got[None, 1].position is None and got[3, None].position is None
+    assert quotations.replies(df.where("false")).count() == 0
+
+
+def test_quotations_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from stallmark.llm.sql import OP8
+
+    rng = random.Random(5)
+    said = ["Yes.", "no", "Maybe so. Or not?", "a b c", "Long words! in\nlines", ""]
+    rows = quoted_messages() + [(10 + c, t, rng.choice("ab"), "\n".join(rng.choice(["", "> ", ">> ", "> "]) + rng.choice(said) for _ in range(rng.randrange(5)))) for c in range(12) for t in range(rng.randrange(9))]
+    df = spark.createDataFrame(rows + rows[:4], "conv_id long, turn long, role string, text string")
+    conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    db = duckdb.connect()
+    db.register("conversations", conversations)
+    want = db.execute(OP8)
+    names = [d[0] for d in want.description]
+    got = quotations.replies(df.repartition(5)).select(*names).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
