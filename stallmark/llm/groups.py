@@ -40,28 +40,33 @@ def _share(member: Column, parts: Column, salt: int = 17) -> Column:
     return F.pmod(F.xxhash64(member, F.lit(salt)), parts).cast("int")
 
 
-def in_blocks(df: DataFrame, key: str, member: Column, block: int = BLOCK, size: Column | None = None) -> DataFrame:
-    """df dealt by key, large keys in pairs of blocks; adds ``_i, _j`` (the pair) and ``_b`` (the row's block).
+Payload = Callable[[DataFrame], DataFrame]
 
-    Only the keys with more than ``block`` rows (or ``BLOCK_BYTES``, with a ``size`` of each row) are listed and joined.
-    """
-    large, n = _large(df, key, block, size)
-    parts = F.coalesce("_m", F.lit(1)) if n else F.lit(1)
-    out = (df.join(small(large, n), key, "left") if n else df).withColumn("_p", parts.cast("int")).withColumn("_b", _share(member, F.col("_p")))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-    out = out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_m", "_p", "_o")
-    return out.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
-
-def _large(df: DataFrame, key: str, block: int, size: Column | None = None) -> tuple[DataFrame, int]:
-    """The keys of more than a block with the number of blocks they make (``_m``), and how many keys these are."""
+def _large(df: DataFrame, key: str, block: int, size: str | None = None) -> tuple[DataFrame, int]:
+    """The keys of more than a block (or ``BLOCK_BYTES``, with a column of sizes) with the number of blocks they make (``_m``), and how many keys these are."""
     parts = F.ceil(F.count("*") / block)
     if size is not None:
-        parts = F.greatest(parts, F.ceil(F.sum(size.cast("long")) / BLOCK_BYTES))
+        parts = F.greatest(parts, F.ceil(F.sum(F.col(size).cast("long")) / BLOCK_BYTES))
     large, seen = cut_seen(df.groupBy(key).agg(parts.cast("int").alias("_m")).where("_m > 1"))
     return large, seen["n"]
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def in_blocks(df: DataFrame, key: str, member: Column, large: tuple[DataFrame, int]) -> DataFrame:
+    """df dealt by key, large keys (see ``_large``) in pairs of blocks; adds ``_i, _j`` (the pair) and ``_b`` (the row's block)."""
+    keys, n = large
+    if not n:
+        return _dealt(df.withColumns({c: F.lit(0) for c in ("_i", "_j", "_b")}), key)
+    out = df.join(small(keys, n), key, "left").withColumn("_p", F.coalesce("_m", F.lit(1))).withColumn("_b", _share(member, F.col("_p")))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    out = out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_m", "_p", "_o")
+    return _dealt(out, key, "_i", "_j")
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of sorted rows and where the groups begin (n + 1); about ``limit`` rows or one group each."""
     held: list[pa.RecordBatch] = []
@@ -172,10 +177,11 @@ def candidate_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOC
 
     ``rows`` has key, id (longs) and sketch (binary of ``width`` bytes). ``alike``
     takes two uint8 arrays (n x width) and tells whether rows may be similar: row by
-    row, or with a true third argument each with each. The same edge may come from several keys; it is emitted once.
+    row, or with a true third argument each with each. The same edge may come from several keys.
     """
-    dealt = in_blocks(rows.select("key", "id", "sketch"), "key", F.col("id"), block)
-    return map_arrow(dealt, _forests(alike, width, ["key", "_i", "_j"]), "a long, b long").distinct()
+    rows = rows.select("key", "id", "sketch")
+    dealt = in_blocks(rows, "key", F.col("id"), _large(rows, "key", block))
+    return map_arrow(dealt, _forests(alike, width, ["key", "_i", "_j"]), "a long, b long")
 
 
 def trie_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) -> DataFrame:
@@ -190,18 +196,18 @@ def trie_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) ->
     rows = rows.select("key", "tail", "id", "sketch")
     large, n = _large(rows, "key", block)
     if not n:
-        dealt = rows.withColumns({"_b": F.lit(0)}).repartition("key").sortWithinPartitions("key", "tail")
-        return map_arrow(dealt, _forests(alike, width, ["key"]), "a long, b long").distinct()
+        dealt = rows.withColumn("_b", F.lit(0)).repartition("key").sortWithinPartitions("key", "tail")
+        return map_arrow(dealt, _forests(alike, width, ["key"]), "a long, b long")
     leaves, seen = cut_seen(rows.join(small(large, n), "key").groupBy("key", "tail").agg(F.ceil(F.count("*") / block).cast("int").alias("_l")).where("_l > 1"))
     dealt = rows.join(small(large, n), "key", "left").withColumn("_up", F.col("_m").isNotNull().cast("int")).withColumn("_t", F.when(F.col("_up") == 1, F.col("tail")).otherwise(-1))
     if seen["n"]:
         dealt = dealt.join(small(leaves, seen["n"]), ["key", "tail"], "left").withColumn("_b", _share(F.col("id"), F.coalesce("_l", F.lit(1))))
     else:
         dealt = dealt.withColumn("_b", F.lit(0))
-    dealt = dealt.select("key", "_t", "_b", "_up", "id", "sketch").repartition("key", "_t", "_b").sortWithinPartitions("key", "_t", "_b")
+    dealt = _dealt(dealt.select("key", "_t", "_b", "_up", "id", "sketch"), "key", "_t", "_b")
     out = cut(map_arrow(dealt, _forests(alike, width, ["key", "_t", "_b"], "_up"), "a long, b long, key long, sketch binary"))
     tops = out.where("sketch is not null").select("key", F.col("a").alias("id"), "sketch")
-    return out.where("sketch is null").select("a", "b").unionByName(candidate_edges(tops, alike, width, block)).distinct()
+    return out.where("sketch is null").select("a", "b").unionByName(candidate_edges(tops, alike, width, block))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -209,19 +215,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes: a few rounds,
     each written to the shared checkpoint folder. The large star's minima are aggregated before
-    they are shuffled and written before they are joined back: both sides of the
-    join are then plain exchanges, and AQE can split a node of very many edges.
+    they are shuffled and written before they are joined back, so that AQE can split a node
+    of very many edges; if they are few they are broadcast. A small star is about the minima around a node,
+    which are few.
     """
     check = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
     edges, state = cut_seen(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), check)
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     while state["n"]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
+        least, seen = cut_seen(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: each larger neighbour of a node is tied to the node's minimum.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(small(least, seen["n"]), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: a node and its smaller neighbours are tied to their minimum.
-        tied = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        tied = tied.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        tied = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select(F.inline(F.array(pair("b", "m"), pair("a", "m"))))
         edges, now = cut_seen(tied.where("a <> b").distinct(), check)
         if now == state:
             break
@@ -249,37 +256,38 @@ def _verify(dealt: DataFrame, compare: Callable[[pa.Table], np.ndarray]) -> Data
     return map_arrow(dealt, run, "component long, id long, links long, root long")
 
 
-def verified_links(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: str, size: Column | None = None, block: int = BLOCK) -> DataFrame:
+def verified_links(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: Payload, size: str | None = None, block: int = BLOCK) -> DataFrame:
     """(id, links, root) for each member, from the exact comparison of all pairs of a component.
 
-    ``members`` has component, id, weight (longs) and the payload column, with ``size`` bytes.
-    ``compare`` takes a table of one group and returns its symmetric boolean
-    matrix of links. ``links`` is the weight of the linked members, ``root`` the
+    ``members`` (written before) has component, id, weight (longs) and maybe a column of sizes;
+    ``payload`` joins what is compared to such rows. ``compare`` takes a table of one group and returns its
+    symmetric boolean matrix of links. ``links`` is the weight of the linked members, ``root`` the
     smallest id that links reach inside one pair of blocks; an id has a row for each.
     """
-    dealt = in_blocks(members.select("component", "id", "weight", payload), "component", F.col("id"), block, size)
+    dealt = in_blocks(payload(members), "component", F.col("id"), _large(members, "component", block, size))
     return _verify(dealt, compare).drop("component")
 
 
-def linked_groups(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: str, size: Column | None = None, block: int = BLOCK) -> DataFrame:
+def linked_groups(members: DataFrame, compare: Callable[[pa.Table], np.ndarray], payload: Payload, size: str | None = None, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between members whose components are those of all links inside the components of ``members``.
 
-    A component of at most a block is compared whole. A larger one is dealt in blocks, and the
-    representatives of the groups found there are compared with each other. What then is
+    Arguments are those of ``verified_links``. A component of at most a block is compared whole. A larger one
+    is dealt in blocks, and the representatives of the groups found there are compared with each other. What then is
     still apart is made sure of: the rows outside of the largest group meet all rows of their
     component. Near copies of one text, however many, so cost a comparison with one block each.
     """
-    members = members.select("component", "id", F.lit(0).cast("long").alias("weight"), payload)
     large, n = _large(members, "component", block, size)
-    whole = members.join(small(large, n), "component", "left") if n else members.withColumn("_m", F.lit(None).cast("int"))
+    whole = payload(members)
+    whole = whole.join(small(large, n), "component", "left") if n else whole.withColumn("_m", F.lit(1))
     whole = whole.withColumn("_b", _share(F.col("id"), F.coalesce("_m", F.lit(1)))).withColumns({"_i": F.col("_b"), "_j": F.col("_b")}).drop("_m")
-    first = cut(_verify(whole.repartition("component", "_i").sortWithinPartitions("component", "_i"), compare).drop("links"))
+    first = cut(_verify(_dealt(whole, "component", "_i", "_j"), compare).drop("links"))
     edges = first.select(F.col("id").alias("a"), F.col("root").alias("b"))
     if not n:
         return edges
     hot = first.join(small(large.select("component"), n), "component")
-    tops = members.join(hot.where("id = root").select("component", "id"), ["component", "id"])
-    more = cut(_verify(in_blocks(tops, "component", F.col("id"), block, size), compare).select(F.col("id").alias("a"), F.col("root").alias("b")))
+    tops = cut(members.join(hot.where("id = root").select("id"), "id", "left_semi"))
+    more = verified_links(tops, compare, payload, size, block)
+    more = cut(more.select(F.col("id").alias("a"), F.col("root").alias("b")))
     labels = connected_components(hot.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("component", "label")
     known = cut(hot.select("component", "id").join(labels, "id", "left").select("component", "id", F.coalesce("label", "id").alias("label")))
     by_label = known.groupBy("component", "label").agg(F.count("*").alias("c"))
@@ -287,11 +295,10 @@ def linked_groups(members: DataFrame, compare: Callable[[pa.Table], np.ndarray],
     edges = edges.unionByName(more)
     if not seen["n"]:
         return edges
-    parts = small(large, n).join(split, "component").select("component", "top", "_m", F.least("_m", F.ceil((F.col("all") - F.col("most")) * F.col("_m") / F.col("all"))).cast("int").alias("_r"))
-    rows = members.join(known, ["component", "id"]).join(small(parts, seen["n"]), "component")
+    parts = split.join(small(large, n), "component").select("component", "top", "_m", F.least("_m", F.ceil((F.col("all") - F.col("most")) * F.col("_m") / F.col("all"))).cast("int").alias("_r"))
+    rows = payload(members.join(known.select("id", "label"), "id").join(small(parts, seen["n"]), "component"))
     # A group for each block of the rest (_i) and each block of all rows (_j, below 0 so that it differs).
     rest = rows.where("label <> top").withColumns({"_i": _share(F.col("id"), F.col("_r"), 18), "_b": F.lit(0)}).withColumn("_j", F.explode(F.sequence(-F.col("_m"), F.lit(-1))))
     all_rows = rows.withColumns({"_j": -1 - _share(F.col("id"), F.col("_m")), "_b": F.lit(1)}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
-    columns = ["component", "id", "weight", payload, "_i", "_j", "_b"]
-    dealt = rest.select(columns).unionByName(all_rows.select(columns)).repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j")
+    dealt = _dealt(rest.unionByName(all_rows.select(rest.columns)), "component", "_i", "_j")
     return edges.unionByName(_verify(dealt, compare).select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -155,8 +155,8 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
     buckets = map_arrow(classes.select("id", "v"), hashed, "id long, keys array<long>, sketch binary")
     edges = groups.candidate_edges(buckets.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "sketch"), alike, dim, block)
-    members = groups.connected_components(edges).join(classes.select("id", "weight", "v"), "id")
-    linked = cut(groups.verified_links(members, compare, "v", block=block))
+    members = cut(classes.select("id", "weight").join(groups.connected_components(edges), "id"))
+    linked = cut(groups.verified_links(members, compare, lambda df: df.join(classes.select("id", "v"), "id"), block=block))
     reached = groups.connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("k1", "k2", "id", "least", "weight").join(links, "id", "left").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))

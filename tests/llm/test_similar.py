@@ -213,13 +213,13 @@ def test_linked_groups_make_sure_of_the_rest(spark):
     """A component whose blocks' representatives do not link falls into the groups of all its links."""
     rng = random.Random(2)
     place = [(i, i % 3, rng.randrange(10**6)) for i in range(300)]  # three groups in one candidate component
-    df = spark.createDataFrame([(7, i, float(g * 1000 + k)) for k, (i, g, _) in enumerate(place)], "component long, id long, v double")
+    df = spark.createDataFrame([(7, i, 1, float(g * 1000 + k)) for k, (i, g, _) in enumerate(place)], "component long, id long, weight long, v double")
 
     def compare(table):
         v = table.column("v").to_numpy()
         return np.abs(v[:, None] - v[None]) <= 7.5
 
-    edges = groups.linked_groups(df, compare, "v", block=16)
+    edges = groups.linked_groups(df.drop("v"), compare, lambda x: x.join(df.select("id", "v"), "id"), block=16)
     got = {r.id: r.component for r in groups.connected_components(edges).collect()}
     values = [float(g * 1000 + k) for k, (_, g, _) in enumerate(place)]
     root = classes(300, [(i, j) for i in range(300) for j in range(i) if abs(values[i] - values[j]) <= 7.5])
