@@ -15,3 +15,9 @@ def money(x: Column, places: int = 2) -> Column:
 def clamp(x: Column) -> Column:
     """x within [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def fixed(x: Column, places: int = 2, *, signed: bool = False) -> Column:
+    """The number with so many places, rounded from its exact binary value as printf does (format_string rounds its shortest decimal half up)."""
+    plain = "0." + "0" * places
+    return F.call_function("format_number", x, F.lit(f"+{plain};-{plain}" if signed else plain))

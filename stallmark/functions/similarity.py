@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from .rounding import clamp, money
+from .rounding import clamp, fixed, money
 
 
 def token_set(tokens: Column) -> Column:
@@ -69,10 +69,10 @@ def explain(a: Column, b: Column, score: Column, config: MatchConfig | None = No
     empty = (F.size(a["tokens"]) == 0) | (F.size(b["tokens"]) == 0)
     full = F.array_compact(
         F.array(
-            F.format_string("token similarity %.2f (jaccard=%.2f, overlap=%.2f; %d shared)", base, j, o, F.size(F.array_intersect(a["tokens"], b["tokens"]))),
+            F.concat(F.lit("token similarity "), fixed(base), F.lit(" (jaccard="), fixed(j), F.lit(", overlap="), fixed(o), F.lit("; "), F.size(F.array_intersect(a["tokens"], b["tokens"])).cast("string"), F.lit(" shared)")),
             F.when(models, F.concat(F.lit("shared model identifier(s): "), both("models"))).when(~models, F.concat(F.lit("conflicting model identifiers: "), each("models"))),
             F.when(brands, F.concat(F.lit("shared brand: "), both("brands"))).when(~brands, F.concat(F.lit("conflicting brands: "), each("brands"))),
-            F.format_string("decision %s at score %.2f", decision(score, c), score),
+            F.concat(F.lit("decision "), decision(score, c), F.lit(" at score "), fixed(score)),
         )
     )
     return F.when(empty, F.array(F.lit("one or both listings have no comparable tokens"))).otherwise(full)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ComparisonConfig
-from ..functions.rounding import money
+from ..functions.rounding import fixed, money
 from ..functions.text import identity_key
 from ..schemas import CHANGE_ORDER, CHANGES
 from .ranking import counts_by
@@ -33,15 +33,18 @@ def compare(old: DataFrame, new: DataFrame, config: ComparisonConfig | None = No
     for m, more in METRICS:
         moved, better = F.abs(delta[m]) > c.epsilon, delta[m] > 0 if more else delta[m] < 0
         category = category.when(moved, F.when(better, "improved").otherwise("worsened"))
-        reason = reason.when(moved, F.format_string(f"{m} %.2f -> %.2f (%+.2f)", value("a", m), value("b", m), delta[m]))
+        reason = reason.when(moved, F.concat(F.lit(f"{m} "), fixed(value("a", m)), F.lit(" -> "), fixed(value("b", m)), F.lit(" ("), fixed(delta[m], signed=True), F.lit(")")))
     category, reason = category.otherwise("unchanged"), reason.otherwise("no change in key metrics")
     cells = [x for m, _ in METRICS for x in (F.col(f"a.{m}").alias(f"{m}_old"), F.col(f"b.{m}").alias(f"{m}_new"), money(delta[m], 6).alias(f"{m}_delta"))]
     return both.select(category.alias("category"), "key", F.coalesce("b.provider", "a.provider").alias("provider"), F.coalesce("b.title", "a.title").alias("title"), reason.alias("reason"), *cells)
 
 
+def display_order() -> list[Column]:
+    return [F.coalesce(*(F.when(F.col("category") == x, i) for i, x in enumerate(CHANGE_ORDER))), F.col("key")]
+
+
 def in_display_order(deltas: DataFrame) -> DataFrame:
-    place = F.coalesce(*(F.when(F.col("category") == x, i) for i, x in enumerate(CHANGE_ORDER)))
-    return deltas.orderBy(place, "key")
+    return deltas.orderBy(*display_order())
 
 
 def by_category(deltas: DataFrame, category: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Greedy grouping of listings: each joins the first group whose leader it matches.
 
 Listings are taken in the order (listing_id, provider, scan order); a leader is
-the first listing of its group. A round takes the next ``BATCH`` undecided
-listings of each query, finds the leaders among them with a fold (a bounded
+the first listing of its group. A round takes the next ``BATCH`` (and then
+twice as many each time) undecided listings of each query, finds the leaders among them with a fold (a bounded
 array), and offers these leaders to all later ones: a listing joins the
 earliest that it matches. What no leader takes stays for the next round. That
 is the sequential result, but no task ever holds a query's listings, and equal
@@ -19,7 +19,8 @@ from ..functions.similarity import decision, features, pair_score
 from ..functions.text import fingerprint
 from ..shared import cut
 
-BATCH = 64
+#: Listings of each query in the first round; twice as many in each further one, up to the most.
+BATCH, MOST = 64, 1024
 
 
 def qualifies(a: Column, b: Column, config: DeduplicationConfig) -> Column:
@@ -60,6 +61,7 @@ def assign_groups(df: DataFrame, config: DeduplicationConfig | None = None, batc
         part = step.where("leader is not null").select("query", "s", "leader")
         done = part if done is None else done.unionByName(part)
         todo = step.where("leader is null").drop("leader")
+        batch = max(batch, min(2 * batch, MOST))
     if done is None:
         return df.withColumn("leader", F.col("k")).drop("k", "s", "lone")
     out = df.join(done, ["query", "s"], "left")

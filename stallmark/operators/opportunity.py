@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import OpportunityConfig, ScoringConfig
-from ..functions.rounding import clamp, money
+from ..functions.rounding import clamp, fixed, money
 from ..schemas import RECOMMENDATIONS
 
 
@@ -55,15 +55,15 @@ def analyze(df: DataFrame, config: OpportunityConfig | None = None, *, price: st
     third = F.when(second.isin("strong_buy", "buy") & (sure < c.min_confidence), "watch").otherwise(second)
     floored = net <= c.min_net_profit
     out = out.withColumn("recommendation", F.when(~free | floored, "reject").otherwise(F.coalesce(third, F.lit("reject"))))
-    percent = lambda x: F.format_string("%.1f%%", x)
+    percent = lambda x: F.concat(fixed(x, 1), F.lit("%"))
     tiered = ~floored & tier.isNotNull()
     reasons = F.array_compact(
         F.array(
-            F.concat(F.format_string("net profit %.2f (", net), percent(F.col("roi_percentage")), F.lit(" ROI, "), percent(F.col("margin_percentage")), F.format_string(" margin); costs %.2f", F.col("costs.total"))),
+            F.concat(F.lit("net profit "), fixed(net), F.lit(" ("), percent(F.col("roi_percentage")), F.lit(" ROI, "), percent(F.col("margin_percentage")), F.lit(" margin); costs "), fixed(F.col("costs.total"))),
             F.when(floored, F.lit(f"net profit <= floor {c.min_net_profit:.2f} -> REJECT")),
             F.when(~floored & tier.isNull(), F.concat(F.lit("ROI "), percent(F.col("roi_percentage")), F.lit(" below watch threshold -> REJECT"))),
-            F.when(tiered & (tier != second), F.format_string(f"confidence %.2f < {c.strong_buy_confidence:.2f} -> capped at BUY", sure)),
-            F.when(tiered & (second != third), F.format_string(f"confidence %.2f < {c.min_confidence:.2f} -> capped at WATCH", sure)),
+            F.when(tiered & (tier != second), F.concat(F.lit("confidence "), fixed(sure), F.lit(f" < {c.strong_buy_confidence:.2f} -> capped at BUY"))),
+            F.when(tiered & (second != third), F.concat(F.lit("confidence "), fixed(sure), F.lit(f" < {c.min_confidence:.2f} -> capped at WATCH"))),
             F.when(tiered, F.concat(F.lit("ROI "), percent(F.col("roi_percentage")), F.lit(" -> "), third)),
         )
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import RECOMMENDATIONS
+from ..shared import numbered
 from .opportunity import recommendation_rank
 
 SORTS = {"score": "recommendation_score", "roi": "roi_percentage", "net_profit": "net_profit", "confidence": "confidence_score"}
@@ -20,7 +21,7 @@ def order(sort: str = "recommendation") -> list[Column]:
 
 def with_rank(df: DataFrame, partition: str = "query") -> DataFrame:
     """df with ``rank``, from 1 on inside each query."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*order())).cast("long"))
+    return numbered(df, partition, order(), "rank")
 
 
 def actionable(df: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def group_trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4, A5, V2."""
+    """A4, A5."""
     return _prices(spark, sf_dir, "weighted_average")
 
 
@@ -219,18 +219,18 @@ classed AS (SELECT *, CASE WHEN fresh THEN 'new' WHEN gone THEN 'disappeared' WH
 
 
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N2, A15, T14, D12, D13, X4, U2."""
+    """N2, A15, T14, D12, D13, U2."""
     out = compare.compare(_run(spark, sf_dir, False), _run(spark, sf_dir, True))
     return out.select("category", "key", "provider", "title", *(f"{m}_{x}" for m in ("recommendation_score", "roi_percentage", "net_profit") for x in ("old", "new", "delta")))
 
 
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11, F8."""
+    """A11."""
     return compare.counts_by_category(compare.compare(_run(spark, sf_dir, False), _run(spark, sf_dir, True)))
 
 
 def top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest orders, as runs; a top-k report."""
+    """The newest orders, as runs; a top-k report."""
     orders = _table(spark, sf_dir, "orders")
     return orders.groupBy(F.col("o_orderkey").alias("run_id")).agg(F.max("o_totalprice").alias("total")).orderBy(F.col("run_id").desc()).limit(100)
 
@@ -245,9 +245,10 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currency, condition and place of each listing, counted."""
-    found = listings(spark, sf_dir)
-    out = found.select(text.currency_code(F.col("currency")).alias("currency"), text.condition_name(F.col("condition")).alias("condition"), text.location_name(F.col("location")).alias("location"))
-    return out.groupBy("currency", "condition", "location").agg(F.count("*").alias("n"))
+    # Each distinct triple is cleaned once.
+    found = listings(spark, sf_dir).groupBy("currency", "condition", "location").agg(F.count("*").alias("n"))
+    out = found.select(text.currency_code(F.col("currency")).alias("currency"), text.condition_name(F.col("condition")).alias("condition"), text.location_name(F.col("location")).alias("location"), "n")
+    return out.groupBy("currency", "condition", "location").agg(F.sum("n").alias("n"))
 
 
 def title_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,16 +277,20 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("listing_id").alias("first_id"))
 
 
-def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each brand grouped by their names and types."""
+def parts_to_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as normalized listings, those of a brand under one query."""
     parts = _table(spark, sf_dir, "part")
-    found = parts.select(F.col("p_brand").alias("query"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("listing_id"), F.lit("parts").alias("provider"), F.lit(0).cast("long").alias("ordinal"), text.tokenize(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), F.lit("EUR").alias("n_currency"), F.lit("new").alias("n_condition"))
-    groups = deduplicate.canonical(deduplicate.assign_groups(found))
+    return parts.select(F.col("p_brand").alias("query"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("listing_id"), F.lit("parts").alias("provider"), F.lit(0).cast("long").alias("ordinal"), text.tokenize(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), F.lit("EUR").alias("n_currency"), F.lit("new").alias("n_condition"))
+
+
+def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand grouped by their names and types."""
+    groups = deduplicate.canonical(deduplicate.assign_groups(parts_to_group(spark, sf_dir)))
     return groups.select("query", F.col("leader.listing_id").alias("leader"), F.col("c.listing_id").alias("canonical"), "group_size", "fingerprint")
 
 
 def union_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic sources, as many rows of each as there are nations."""
+    """The synthetic sources, as many rows of each as there are nations."""
     n = _table(spark, sf_dir, "nation").count()
     return scan(spark, QUERY, default_sources(), n).select("provider", "listing_id", "title", "url", "price", "currency", "location", "condition")
 
@@ -303,11 +308,21 @@ def _union_scan_sql() -> str:
 
 
 def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 to T7 over whole documents: length and number of tokens of the cleaned text, and its hash."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", text.clean_text(text.remove_symbols(F.col("text"))).alias("t"))
+    """T1 to T7 over whole documents, in the normal form NFC, which SQL has too: length and number of tokens of the cleaned text, and its hash."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.clean_text(text.remove_symbols(F.col("text")), "NFC").alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.size(text.tokenize(F.col("t"))).cast("long").alias("n_tokens"), F.sha2(F.col("t").cast("binary"), 256).alias("sha256"))
 
 
+def _unicode_sql() -> str:
+    single = {k: v for k, v in text.PUNCTUATION.items() if len(v) == 1}
+    old, new = ("".join(x).replace("'", "''") for x in (single, single.values()))
+    space = r"[\s\x{0B}\x{85}\p{Z}]+"
+    return rf"""WITH s AS (SELECT doc_id, nfc_normalize(regexp_replace(text, '[\p{{So}}\p{{Sk}}]', '', 'g')) AS t FROM documents),
+        c AS (SELECT doc_id, replace(translate(regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{7F}}-\x{{9F}}\p{{Cf}}]', '', 'g'), '{old}', '{new}'), '…', '...') AS t FROM s),
+        w AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{space}', ' ', 'g'), '^ | $', '', 'g') AS t FROM c)
+        SELECT doc_id, length(t) AS n_chars, len(regexp_extract_all(lower(coalesce(t, '')), '[a-z0-9]+')) AS n_tokens, sha256(t) AS sha256 FROM w"""
+
+
 _TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _SIM = "(0.65 * (inter::DOUBLE / uni) + 0.35 * (inter::DOUBLE / least(na, nb)))"
 SQL = {
@@ -347,5 +362,6 @@ SQL = {
     "fingerprints": rf"""WITH {_LISTINGS_SQL}, f AS (SELECT listing_id, substr(sha256('tokens=' || array_to_string(list_sort(list_distinct({_TOKENS.format("title")})), ' ') || '|currency=' || n_currency || '|condition=' || n_condition), 1, 16) AS fingerprint FROM listings)
         SELECT fingerprint, count(*) AS n, min(listing_id) AS first_id FROM f GROUP BY ALL""",
     "union_scan": _union_scan_sql(),
+    "unicode_clean": _unicode_sql(),
 }
 QUERIES = {f.__name__: f for f in (group_price_stats, group_trimmed_mean, group_weighted_mean, group_quartiles, dominant_currency, opportunity_decisions, recommendation_scores, ranked_opportunities, recommendation_counts, opportunity_reasons, run_diff, change_counts, top_runs, title_tokens, normalized_fields, title_classification, pair_scores, fingerprints, dedup_groups, union_scan, unicode_clean)}

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig, ScannerConfig
@@ -49,11 +49,19 @@ for _source in BUILT_IN:
 
 def search(spark: SparkSession, source: Source, query: str, limit: int) -> DataFrame:
     """At most ``limit`` listings of one source for a query that is not blank."""
+    return numbered_search(spark, source, query, limit).drop("ordinal")
+
+
+def numbered_search(spark: SparkSession, source: Source, query: str, limit: int) -> DataFrame:
+    """``search`` with the place of each listing, from 0 on, in ``ordinal``."""
     if not query.strip():
         raise ValueError("query must not be empty")
     if limit <= 0:
         raise ValueError("limit must be positive")
-    return source.fetch(spark, query.strip(), limit).select(*LISTING.fieldNames()).limit(limit)
+    # The limit bounds what the one sorting task holds.
+    rows = source.fetch(spark, query.strip(), limit).select(*LISTING.fieldNames()).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at")) - 1
+    return rows.orderBy("_at").limit(limit).withColumn("ordinal", place.cast("long")).drop("_at")
 
 
 def scan(spark: SparkSession, query: str, sources: Iterable[Source], limit: int = 10) -> DataFrame:
@@ -67,11 +75,11 @@ def scan(spark: SparkSession, query: str, sources: Iterable[Source], limit: int
     parts = []
     for place, source in enumerate(sources):
         try:
-            part = search(spark, source, query, limit)
+            part = numbered_search(spark, source, query, limit)
         except Exception:
             log.exception("source %r failed for query %r", source.name, query)
             continue
-        parts.append(part.withColumn("ordinal", F.lit(place * 1_000_000_000).cast("long") + F.monotonically_increasing_id() % 1_000_000_000))
+        parts.append(part.withColumn("ordinal", F.lit(place * 1_000_000_000).cast("long") + F.col("ordinal")))
     if not parts:
         empty = spark.createDataFrame([], LISTING).withColumn("ordinal", F.lit(0).cast("long"))
         return empty.withColumn("query", F.lit(query))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from stallmark.config import ClassificationConfig, MatchConfig
 from stallmark.functions import similarity, terms, text
-from stallmark.functions.rounding import clamp, money
+from stallmark.functions.rounding import clamp, fixed, money
+from stallmark.shared import numbered
 
 
 def column(spark, values, function, kind="string"):
@@ -136,3 +137,19 @@ def test_bad_configurations():
     for bad in ({"same_threshold": 0.2}, {"overlap_weight": 2.0}):
         with pytest.raises(ValueError):
             MatchConfig(**bad)
+
+
+def test_fixed_places_are_those_of_printf(spark):
+    values = [12.25, 0.125, -0.375, 2.675, 1e6 + 0.005, 0.0, -3.0, 99.995, 1234567.891]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed(F.col("x")).alias("two"), fixed(F.col("x"), 1).alias("one"), fixed(F.col("x"), signed=True).alias("signed")).collect()
+    assert [(r.two, r.one, r.signed) for r in got] == [(f"{v:.2f}", f"{v:.1f}", f"{v:+.2f}") for v in values]
+
+
+def test_places_are_those_of_row_number(spark):
+    rows = [(g, i * 37 % 101) for g in ("a", None, "b") for i in range(100 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    got = {(r.g, r.v): r.place for r in numbered(df, "g", [F.col("v").desc()], "place").collect()}
+    for g in ("a", None, "b"):
+        own = sorted((v for x, v in rows if x == g), reverse=True)
+        assert [got[g, v] for v in own] == list(range(1, len(own) + 1))
+    assert numbered(df.where("false"), "g", [F.col("v")], "place").count() == 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stallmark import cli, queries, render
+from stallmark import cli, detail_queries, queries, render
 from stallmark.config import ConfigError, PipelineConfig, ScannerConfig, load_pipeline_config, load_scanner_config
 from stallmark.plans.history import History
 from stallmark.plans.pipeline import Pipeline, analyze_listings
@@ -36,6 +36,8 @@ class Broken:
 def test_scan(spark):
     out = scan.scan(spark, "x", [*BUILT_IN, Broken()], 3)
     assert out.count() == 12 and out.select("ordinal").distinct().count() == 12
+    many = scan.scan(spark, "x", BUILT_IN[:2], 25).collect()
+    assert sorted((r.ordinal, r.provider, r.extra["rank"]) for r in many) == [(k * 10**9 + i, s.name, str(i)) for k, s in enumerate(BUILT_IN[:2]) for i in range(25)]
     assert scan.scan(spark, "x", BUILT_IN, 0).count() == 0
     with pytest.raises(ValueError):
         scan.scan(spark, "  ", BUILT_IN)
@@ -301,13 +303,14 @@ def _rows(frame):
     return sorted((tuple(plain(v) for v in row) for row in frame[names].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(queries.SQL | detail_queries.SQL))
 def test_queries_equal_their_sql(spark, sf_dir, name):
+    known, sql = queries.QUERIES | detail_queries.QUERIES, queries.SQL | detail_queries.SQL
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    assert _rows(queries.QUERIES[name](spark, sf_dir).toPandas()) == _rows(con.execute(queries.SQL[name]).df())
+    assert _rows(known[name](spark, sf_dir).toPandas()) == _rows(con.execute(sql[name]).df())
 
 
 def test_entry(spark, sf_dir):
