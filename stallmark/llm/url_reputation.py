@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark import cut
+
 #: A page is blocked if its posterior rate of good pages, less Z posterior deviations, is below this share of the overall rate.
 FLOOR, Z = 0.75, 1.64
 #: Suffixes of more than one label, under which the registered domain has one label more. A deployment passes a full list.
@@ -60,7 +62,8 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, *, floor: float = FLOOR, z
     do not count. Without any outcome each rate is 1/2 and every host is good.
     """
     counts = outcomes.dropna(subset=["host", "good"]).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("s"))
-    counts = counts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    # Written, as all that follows reads it again and again: a row for each host with outcomes.
+    counts = cut(counts).withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     total = counts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     overall = (total.s + 1) / (total.n + 2) if total.n else 0.5
     k = {level: _strength(counts, level) for level in ("suffix", "domain", "host")}
@@ -78,26 +81,34 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, *, floor: float = FLOOR, z
     return out.select("host", rate.alias("rate"), bound.alias("bound"), good.alias("good"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], outcomes: DataFrame, *, page_id: str = "page_id", url: str = "url", **options) -> DataFrame:
+def rules_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, rules) of the distinct hosts that a rule is for: structs (rule, path, action), the one that wins first."""
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = rules.select(F.col("host").alias("end"), "path", "action").dropna().distinct()
+    met = hosts.select("host", F.explode(ends).alias("end")).join(listed, "end")
+    rule = F.concat("end", "path")
+    found = F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), (F.col("action") != "block").alias("allows"), "path", "action")
+    return met.groupBy("host").agg(F.sort_array(F.collect_list(found)).alias("rules"))
+
+
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], outcomes: DataFrame, *, page_id: str = "page_id", url: str = "url", **options) -> DataFrame:
     """A row for each row of pages: ``page_id, host, path, rule, verdict, rate, bound``.
 
-    ``rules`` are (action, host, path) with the action allow or block; they are a
-    literal of the plan, so at most 10,000. A rule fits its host and all
+    ``rules`` are any number of (action, host, path) with the action allow or block, as a list or
+    a DataFrame; they meet the distinct hosts by a join. A rule fits its host and all
     subdomains if the path starts with the rule's; the longest host and path
     wins, of equally long ones the smallest text, and of equal ones block.
     ``rule`` is its host and path, else null. Without a rule the verdict is the
     reputation's; a url that is null or has no ``://`` has an empty host and is
-    judged by the overall rate. Repeated rows stay.
+    judged by the overall rate. Repeated rows stay, other columns are ignored; no pages give no rows.
     """
-    if len(rules) > 10_000:
-        raise ValueError("more than 10,000 rules")
+    if isinstance(rules, list):
+        rules = pages.sparkSession.createDataFrame(rules, "action string, host string, path string")
     seen = pages.select(F.col(page_id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    fits = []
-    for action, host, path in sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0] != "block")):
-        inside = (F.col("host") == host) | F.col("host").endswith("." + host)
-        fits.append(F.when(inside & F.col("path").startswith(path), F.struct(F.lit(host + path).alias("rule"), F.lit(action).alias("action"))))
-    first = F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,action:string>")
-    known = reputation(seen.select("host").distinct(), outcomes, **options)
-    out = seen.withColumn("first", first).join(known, "host", "left")
+    hosts = cut(seen.select("host").distinct())
+    known = reputation(hosts, outcomes, **options).join(rules_of(hosts, rules), "host", "left")
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
+    out = seen.join(known, "host", "left").withColumn("first", first)
     verdict = F.coalesce(F.col("first.action"), F.when(F.col("good"), "allow").otherwise("block"))
     return out.select(page_id, "host", "path", F.col("first.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")

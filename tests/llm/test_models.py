@@ -66,6 +66,112 @@ def test_toxicity(spark, prose):
     assert toxicity.score(df, one).agg(F.max("predicted")).first()[0] == 0
 
 
+def letters_of(text):
+    """Lower-cased letters as numbers, a 0 for each run of others and in front."""
+    out = [0]
+    for c in (text or "").lower():
+        if c.isalpha():
+            out.append(ord(c))
+        elif out[-1]:
+            out.append(0)
+    return out if not out[-1] else [*out, 0]
+
+
+def plain_language(model, text):
+    """The forward pass of the language model, one subword after the other."""
+    code, total, n = letters_of(text), [0.0] * len(model.languages), 0
+    for i in range(len(code)):
+        for size in language.SIZES:
+            part = code[i : i + size]
+            if len(part) < size or any(c == 0 for c in part[1:-1]):
+                continue
+            h = 0
+            for k, c in enumerate(part):
+                h = c if k == 0 else (h * 0x9E3779B1 + c) % 2**32
+            g = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            g = (g ^ g >> 13) * 0xC2B2AE35 % 2**32
+            bucket = g >> 32 - language.BITS
+            n += 1
+            total = [t + float(x) for t, x in zip(total, model.table[bucket].astype("float32"), strict=True)]
+    z = [(t / max(n, 1) + float(b)) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_language_by_a_plain_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs)
+    rows = docs.select("doc_id", "text").collect() + [(-1, "Ab, cd--E", None), (-2, "é", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), model).collect()}
+    for r in rows:
+        if any(c.isalpha() for c in r[1] or ""):
+            p = plain_language(model, r[1])
+            assert got[r[0]].lang_pred == model.languages[p.index(max(p))] and abs(got[r[0]].score - max(p)) < 1e-4
+            assert got[r[0]].accepted == (max(p) >= model.floor) or abs(max(p) - model.floor) < 1e-4
+        else:
+            assert got[r[0]].lang_pred == "und" and got[r[0]].score == 0
+
+
+def plain_logit(model, text, vectors):
+    """The forward pass of the toxicity model, one window after the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stallmark.llm.text import Words
+    from tests.llm.test_texts import words
+
+    seen = words(text)
+    for w in seen:
+        if w not in vectors:
+            rows, _ = toxicity.word_buckets(Words(pa.array([w])))
+            vectors[w] = model.E[rows[0]].astype("float64").sum(0)
+    pooled = []
+    for k in toxicity.WIDTHS:
+        best = np.zeros(toxicity.FILTERS)
+        for i in range(len(seen)):
+            h = model.b[k].astype("float64")
+            for j in range(min(k, len(seen) - i)):  # behind the last word there is nothing
+                h = h + vectors[seen[i + j]] @ model.W[k, j].astype("float64")
+            best = np.maximum(best, h)
+        pooled.append(best)
+    return float(np.concatenate(pooled) @ model.v.astype("float64") + model.c[0])
+
+
+def test_toxicity_by_a_plain_forward_pass(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows, vectors = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, None), (-2, "--")], {}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        tongue = int(model.languages.predict([text])[0])
+        z = model.slope * (plain_logit(model, text, vectors) - model.threshold.get(tongue, model.threshold[-1]))
+        score = 1 / (1 + math.exp(-max(-500, min(500, z))))
+        assert abs(got[i].score - score) < 1e-4 and got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_models_of_odd_tables(spark, prose):
+    rows = [(i, t, g) for i, t, g, _ in prose[:60]]
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (None, "x y", "en"), (7, None, None)], "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "predicted": F.lit("x")})
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    models = language.fit(df), toxicity.fit(df, none)
+    for out in (language.identify(df, models[0]), toxicity.score(df, models[1])):
+        got = out.collect()
+        assert len(got) == 64 and len({tuple(r) for r in got if r.doc_id == rows[0][0]}) == 1
+    assert {r.predicted for r in toxicity.score(df, models[1]).collect()} == {0}
+    assert language.identify(df.where("false"), models[0]).count() == toxicity.score(df.where("false"), models[1]).count() == 0
+    assert language.identify(df, language.fit(df.where("false"))).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_many_rules_and_odd_pages(spark):
+    rules = [("block" if k % 2 else "allow", f"h{k}.net", "/") for k in range(12_000)] + [("allow", "net", "/x"), ("block", "net", "/x"), ("block", "h1.net", "/"), ("allow", "h1.net", "/")]
+    long = "https://h3.net/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, "https://a.h2.net/x", "q"), (1, "https://a.h2.net/x", "q"), (None, "https://h1.net/", "q"), (3, long, "q"), (4, "https://net/x", None), (5, None, None), (6, "https://h2.netx/", "")], "page_id long, url string, rule string")
+    none = spark.createDataFrame([], "host string, good int")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_reputation.judge(pages, rules, none).collect()}
+    assert got == {1: ("h2.net/", "allow"), None: ("h1.net/", "block"), 3: ("h3.net/", "block"), 4: ("net/x", "block"), 5: (None, "allow"), 6: (None, "allow")}
+    assert url_reputation.judge(pages, rules, none).count() == 7 and url_reputation.judge(pages.where("false"), rules, none).count() == 0 and url_reputation.judge(pages, [], none).where("rule is null").count() == 7
+
+
 def test_urls(spark):
     urls = ["https://A.Example.ORG/es/1?x#y", "http://example.org/en/12", "ftp://m.example.com/fr/", "x://example.com", "x://example.com/de/5", "nothing", None, "http://notexample.org2/de/", "a://b://c/d", "http://sub.example.org/en/2"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
