@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from . import render
 from .config import PipelineConfig, load_pipeline_config
+from .logs import configure
 from .operators import compare as C
 from .operators import ranking
 from .plans.history import History
@@ -75,6 +76,7 @@ def run_scan(args: argparse.Namespace) -> None:
         config = replace(config, scan_limit=args.limit)
     if args.provider:
         config = replace(config, scanner=replace(config.scanner, providers=tuple(args.provider)))
+    configure(config.scanner.log_level)
     result = Pipeline(_session(), config).analyze(args.query)
     result = replace(result, items=result.items.persist())
     shown = ranking.select_items(result.items, actionable_only=args.actionable_only, min_recommendation=args.min_recommendation, min_roi=args.min_roi, min_net_profit=args.min_net_profit)

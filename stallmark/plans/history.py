@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import sqlite3
 import uuid
 from datetime import UTC, datetime
+from types import TracebackType
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import OPPORTUNITY, RUN
+from ..shared import shared_folder
 from .pipeline import Result
 
 SCHEMA_VERSION = 1
@@ -19,32 +21,91 @@ class History:
     """Runs under a folder that Spark can write; without one, in a new folder
     beside the checkpoints (of our own only where no shared folder is set, as in tests).
 
-    One writer at a time: the next id is the largest so far, plus one. A run
-    whose row is missing was not finished and is not shown.
+    The folder holds the version of its layout, and one of another version is refused. An id is
+    claimed by creating a file with its name, which one of several writers can. A run
+    whose row is missing was not finished and is not shown. Usable in a ``with`` statement; nothing is held open.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.path = path or (f"{shared}/history-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stallmark-history-"))
+        self.path = path or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+        root = self._path()
+        known = [s.getPath().getName() for s in root[1].listStatus(root[0])] if root[1].exists(root[0]) else []
+        if other := [n for n in known if n.startswith("version-") and n != f"version-{SCHEMA_VERSION}"]:
+            raise ValueError(f"history {self.path} has layout {other[0]}, not version-{SCHEMA_VERSION}")
+
+    def __enter__(self) -> History:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        return None
+
+    def _path(self, *names: str) -> tuple:
+        """A path below the folder and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _claim(self, n: int) -> list[int]:
+        """The next n free ids, now taken."""
+        for parts in ((f"version-{SCHEMA_VERSION}",), ("ids",)):
+            path, fs = self._path(*parts)
+            fs.mkdirs(path)
+        path, fs = self._path("ids")
+        used = [self._read("runs", RUN).agg(F.max("run_id")).first()[0] or 0, *(int(s.getPath().getName()) for s in fs.listStatus(path))]
+        out, candidate = [], max(used)
+        while len(out) < n:
+            candidate += 1
+            path, fs = self._path("ids", str(candidate))
+            if fs.createNewFile(path):
+                out.append(candidate)
+        return out
 
     def _read(self, name: str, schema) -> DataFrame:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
+        path, fs = self._path(name)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def _append(self, items: DataFrame, runs: DataFrame) -> None:
+        items.select(*(F.col(f.name).cast(f.dataType) for f in OPPORTUNITY)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/opportunities")
+        runs.select(*(F.col(f.name).cast(f.dataType) for f in RUN)).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+
     def save(self, result: Result, *, config_summary: str = "defaults", created_at: str | None = None) -> int:
         """Append a run and its ranked items (all of them, whatever is shown); the new id."""
-        used = [x.agg(F.max("run_id")).first()[0] or 0 for x in (self._read("runs", RUN), self._read("opportunities", OPPORTUNITY))]
-        run_id = max(used) + 1
-        items = result.items.withColumn("run_id", F.lit(run_id).cast("long"))
-        items.select(*(F.col(f.name).cast(f.dataType) for f in OPPORTUNITY)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/opportunities")
+        query = F.lit(result.query)
+        return self.save_all(result.items.withColumn("query", query), result.listings.withColumn("query", query), [result.query], config_summary=config_summary, created_at=created_at)[result.query]
+
+    def save_all(self, items: DataFrame, listings: DataFrame, queries: list[str], *, config_summary: str = "defaults", created_at: str | None = None) -> dict[str, int]:
+        """Append a run for each of the queries, in one write of items and listings with a column ``query``; the new ids."""
+        ids = dict(zip(queries, self._claim(len(queries)), strict=True))
+        if not ids:
+            return ids
         stamp = created_at or datetime.now(UTC).replace(microsecond=0).isoformat()
-        total = self.list_opportunities(run_id).count()
-        row = (run_id, result.query, stamp, config_summary, result.total_listings(), total, total)
-        self.spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
-        return run_id
+        known = F.broadcast(self.spark.createDataFrame(list(ids.items()), "query string, run_id long"))
+        count = lambda df, name: df.groupBy("query").agg(F.count("*").alias(name))
+        totals = known.join(count(listings, "total_listings_scanned"), "query", "left").join(count(items, "total_groups"), "query", "left").na.fill(0)
+        runs = totals.withColumns({"created_at": F.lit(stamp), "config_summary": F.lit(config_summary), "total_opportunities": F.col("total_groups")})
+        self._append(items.drop("run_id").join(known, "query"), runs)
+        return ids
+
+    def saved_as(self, config_summary: str) -> DataFrame:
+        """The finished runs with this summary."""
+        return self._read("runs", RUN).where(F.col("config_summary") == config_summary)
+
+    def import_sqlite(self, file: str) -> int:
+        """Append all runs of an SQLite history (on the driver's disk, as only one process writes it) under new ids; how many."""
+        with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
+            if (version := db.execute("PRAGMA user_version").fetchone()[0]) != SCHEMA_VERSION:
+                raise ValueError(f"{file} has version {version}, not {SCHEMA_VERSION}")
+            names = {t: ", ".join(f.name for f in kind) for t, kind in (("runs", RUN), ("opportunities", OPPORTUNITY))}
+            runs = db.execute(f"SELECT {names['runs'].replace('run_id', 'id', 1)} FROM runs ORDER BY id").fetchall()
+            items = db.execute(f"SELECT {names['opportunities']} FROM opportunities").fetchall()
+        if not runs:
+            return 0
+        new = dict(zip((r[0] for r in runs), self._claim(len(runs)), strict=True))
+        moved = lambda rows: [(new[r[0]], *r[1:]) for r in rows if r[0] in new]
+        self._append(self.spark.createDataFrame(moved(items), OPPORTUNITY), self.spark.createDataFrame(moved(runs), RUN))
+        return len(runs)
 
     def list_runs(self, limit: int | None = None) -> DataFrame:
         """Newest first."""

@@ -243,14 +243,28 @@ def check_live_settings(tables: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     return {name: dict(table) for name, table in tables.items()}
 
 
+class Credentials:
+    """The secrets of a source from the environment (all of them, or an error that names the missing ones); never shown by repr."""
+
+    def __init__(self, source: str, names: tuple[str, ...], env: Mapping[str, str]):
+        if missing := [n for n in names if not env.get(n)]:
+            raise SourceConfigError(f"{', '.join(missing)} must be set", source=source)
+        self._values = {n: env[n] for n in names}
+
+    def __getitem__(self, name: str) -> str:
+        return self._values[name]
+
+    def __repr__(self) -> str:
+        return f"Credentials({', '.join(f'{n}=***' for n in self._values)})"
+
+
 def live_source(name: str, settings: Mapping[str, Any], *, env: Mapping[str, str] | None = None, transport: Transport = send_with_urllib, token_transport: Transport = send_with_urllib, tokens: TokenFile | None = None, **client: Any) -> LiveSource:
     """A connector with credentials from the environment; without them nothing is built."""
     if name not in LIVE:
         raise SourceConfigError(f"unknown live source {name!r}")
     kind, env = LIVE[name], os.environ if env is None else env
     config = LiveConfig.from_dict(settings, kind.defaults)
-    if not all(env.get(s) for s in kind.secrets):
-        raise SourceConfigError(f"{', '.join(kind.secrets)} must be set", source=name)
+    secret = Credentials(name, tuple(kind.secrets), env)
     headers = {"User-Agent": config.user_agent, "Accept": "application/json"} | config.extra_headers
     options = {"transport": token_transport, "timeout": config.timeout}
     if name == "stockx":
@@ -258,9 +272,9 @@ def live_source(name: str, settings: Mapping[str, Any], *, env: Mapping[str, str
         kept = tokens.load().get("refresh_token")
         if not isinstance(kept, str) or not kept:
             raise SourceConfigError(f"no refresh token in {tokens.path}; log in outside of this package and save it there", source=name)
-        auth = http.refresh_token(config.oauth_token_url, env["STOCKX_CLIENT_ID"], env["STOCKX_CLIENT_SECRET"], kept, config.oauth_scope, on_token=tokens.save, **options)
-        headers["x-api-key"] = env["STOCKX_API_KEY"]
+        auth = http.refresh_token(config.oauth_token_url, secret["STOCKX_CLIENT_ID"], secret["STOCKX_CLIENT_SECRET"], kept, config.oauth_scope, on_token=tokens.save, **options)
+        headers["x-api-key"] = secret["STOCKX_API_KEY"]
     else:
-        auth = http.client_credentials(config.oauth_token_url, env["EBAY_CLIENT_ID"], env["EBAY_CLIENT_SECRET"], config.oauth_scope, **options)
+        auth = http.client_credentials(config.oauth_token_url, secret["EBAY_CLIENT_ID"], secret["EBAY_CLIENT_SECRET"], config.oauth_scope, **options)
     limiter = TokenBucket(config.rate_limit_per_second, config.rate_limit_burst) if config.rate_limit_per_second else None
     return kind.source(config, Client(headers=headers, auth=auth, transport=transport, retry=config.retry, limiter=limiter, timeout=config.timeout, **client), name, kind.capabilities)

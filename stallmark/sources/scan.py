@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterable
 from functools import reduce
 from typing import Protocol
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig, ScannerConfig
+from ..logs import fields, logger
 from ..schemas import LISTING
 from .synthetic import BUILT_IN
 
-log = logging.getLogger("stallmark.scan")
+log = logger("scan")
 
 
 class Source(Protocol):
@@ -77,7 +77,7 @@ def scan(spark: SparkSession, query: str, sources: Iterable[Source], limit: int
         try:
             part = numbered_search(spark, source, query, limit)
         except Exception:
-            log.exception("source %r failed for query %r", source.name, query)
+            log.exception("source failed %s", fields(source=source.name, query=query, limit=limit))
             continue
         parts.append(part.withColumn("ordinal", F.lit(place * 1_000_000_000).cast("long") + F.col("ordinal")))
     if not parts:
@@ -97,7 +97,7 @@ def configured_sources(config: PipelineConfig, **live_options) -> list[Source]:
             if settings.pop("enabled", True):
                 out.append(live_source(name, settings, **live_options))
             else:
-                log.info("live source %r is disabled", name)
+                log.info("live source is disabled %s", fields(source=name))
         else:
             out.append(source_named(name))
     return out

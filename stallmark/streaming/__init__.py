@@ -1 +1,5 @@
-"""Incremental runs. The pipeline itself is a bounded batch; here it is applied to each micro-batch of new listings."""
+"""The pipeline over a stream of new listings."""
+
+from .incremental import follow
+
+__all__ = ["follow"]

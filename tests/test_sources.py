@@ -280,7 +280,55 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema(listings.schema).parquet(str(tmp_path / "in"))
     follow(spark, stream, history, str(tmp_path / "c")).awaitTermination()
     run = history.list_runs().first()
-    assert run.query == "rtx 4090" and run.total_listings_scanned == 12 and run.config_summary == "batch=0"
+    assert run.query == "rtx 4090" and run.total_listings_scanned == 12 and run.config_summary == f"stream={tmp_path / 'c'}, batch=0"
+    follow(spark, stream, history, str(tmp_path / "c")).awaitTermination()
+    assert history.list_runs().count() == 1 and history.list_opportunities(run.run_id).count() == run.total_opportunities > 0
+
+
+def test_history_is_safe_for_several_writers(spark, tmp_path):
+    result = Pipeline(spark, PipelineConfig(scan_limit=2)).analyze("rtx 4090")
+    with History(spark, str(tmp_path / "h")) as first:
+        second = History(spark, str(tmp_path / "h"))
+        assert first._claim(2) == [1, 2] and second._claim(1) == [3]  # claimed, never finished
+        assert first.save(result) == 4 and second.save_all(result.items, result.listings.withColumn("query", F.lit("x")), ["rtx 4090", "x"]) == {"rtx 4090": 5, "x": 6}
+    assert [(r.run_id, r.total_listings_scanned) for r in first.list_runs().collect()] == [(6, 8), (5, 0), (4, 8)]
+    (tmp_path / "h" / "version-9").mkdir()
+    with pytest.raises(ValueError):
+        History(spark, str(tmp_path / "h"))
+
+
+def test_import_of_a_single_file_history(spark, tmp_path):
+    import sqlite3
+
+    file = str(tmp_path / "old.db")
+    run = ["query", "created_at", "config_summary", "total_listings_scanned", "total_groups", "total_opportunities"]
+    item = ["rank", "title", "provider", "currency", "asking_price", "estimated_market_price", "roi_percentage", "net_profit", "confidence_score", "risk_score", "recommendation_score", "recommendation"]
+    with sqlite3.connect(file) as db:
+        db.execute(f"CREATE TABLE runs (id INTEGER PRIMARY KEY, {', '.join(run)})")
+        db.execute(f"CREATE TABLE opportunities (id INTEGER PRIMARY KEY, run_id INTEGER, {', '.join(item)})")
+        db.execute("PRAGMA user_version = 1")
+        db.execute("INSERT INTO runs VALUES (7, 'q', '2024-01-01T00:00:00+00:00', 'defaults', 3, 2, 2)")
+        db.executemany("INSERT INTO opportunities VALUES (?, 7, ?, ?, 'p', 'EUR', NULL, 10.0, NULL, 1.5, 0.5, 0.25, 60.0, 'buy')", [(1, 2, "b"), (2, 1, "a")])
+    history = History(spark, str(tmp_path / "h"))
+    assert history.import_sqlite(file) == 1
+    assert (history.get_run(1).query, history.get_run(1).total_opportunities) == ("q", 2)
+    assert [(r.rank, r.title, r.net_profit) for r in history.list_opportunities(1).collect()] == [(1, "a", 1.5), (2, "b", 1.5)]
+
+
+def test_logs_and_credentials(capsys):
+    from stallmark import logs
+
+    for level in ("DEBUG", "ERROR", "INFO"):
+        out = logs.configure(level)
+    own = [h for h in out.handlers if isinstance(h, logs._PackageHandler)]
+    assert len(own) == 1 and out.level == 20 and logs.logger("scan").name == "stallmark.scan"
+    assert logs.fields(a=1, b=None, c="x y", d="z") == 'a=1 c="x y" d=z'
+    out.removeHandler(own[0])
+    out.propagate = True
+    secret = live.Credentials("s", ("A", "B"), {"A": "hidden", "B": "too"})
+    assert repr(secret) == "Credentials(A=***, B=***)" and secret["A"] == "hidden"
+    with pytest.raises(http.SourceConfigError, match="B must be set"):
+        live.Credentials("s", ("A", "B"), {"A": "x", "B": ""})
 
 
 def test_many_queries_in_one_plan(spark):
