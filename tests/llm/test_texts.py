@@ -190,6 +190,19 @@ def test_unigram_counts(spark):
         assert got == {i: len(known.encode(t or "").ids) for i, t in enumerate(texts)}
 
 
+def test_unigram_counts_of_odd_tables(spark):
+    pieces = unigram.vocabulary(sentencepiece_bpe.load_model(model_path()))
+    word = "abcdefghij" * 30_000
+    df = spark.createDataFrame([(1, "Hello world", 5), (1, "Hello world", 5), (None, word, 6), (2, None, 7)], "doc_id long, text string, n_tokens int")
+    got = unigram.token_counts(df, pieces).collect()
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces], unk_id=0))
+    known.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    n = {t: len(known.encode(t).ids) for t in ("Hello world", word)}
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted([(1, n["Hello world"])] * 2 + [(None, n[word]), (2, 0)], key=str)
+    assert unigram.token_counts(df.where("false"), pieces).count() == 0
+
+
 # Personal data: the same network in plain Python.
 KEY = "k"
 
