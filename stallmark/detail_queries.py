@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries as q
-from .config import ACCESSORY_TERMS, BRANDS, EXCLUDED_TERMS, PART_TERMS, DeduplicationConfig
+from .config import ACCESSORY_TERMS, BRANDS, EXCLUDED_TERMS, PART_TERMS, DeduplicationConfig, PricingConfig
 from .functions import similarity, terms, text
 from .functions.rounding import fixed
-from .operators import compare, deduplicate, ranking
+from .operators import compare, deduplicate, pricing, ranking
 from .plans.history import History
 from .plans.pipeline import Result
 from .shared import cut, numbered
@@ -237,6 +237,12 @@ def _terms_sql() -> str:
             WHEN len(acc) > 0 THEN {listed('Accessory', 'acc')} WHEN len(prt) > 0 THEN {listed('Part', 'prt')} WHEN contains(c, 'brand1') THEN 'Strong model match' ELSE 'All required terms present' END AS reason FROM m"""
 
 
+def custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the market price of each part by a strategy given as a function, here the largest one, but 1,000 at most."""
+    capped = PricingConfig(strategy=lambda price, weight: F.least(F.max(price), F.lit(1000.0)))
+    return pricing.market_prices(q._priced(spark, sf_dir), q.KEYS, capped).select("part_id", "currency", "estimated_market_price", "comparable_count")
+
+
 def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, listings and removed duplicates of each brand's parts."""
     return deduplicate.totals(deduplicate.canonical(deduplicate.assign_groups(q.parts_to_group(spark, sf_dir))))
@@ -263,7 +269,8 @@ SQL = {
     "sorted_opportunities": _SORTED_SQL,
     "brand_pairs": _BRAND_SQL,
     "default_term_classes": _terms_sql(),
+    "custom_strategy": f"WITH {q._FENCED_SQL} SELECT part_id, currency, least(max_price, 1000.0) AS estimated_market_price, comparable_count FROM prices",
     "dedup_groups": f"WITH {_GROUPS_SQL} SELECT query, leader, c.id AS canonical, group_size, substr(sha256('tokens=' || array_to_string(c.ta, ' ') || '|currency=EUR|condition=new'), 1, 16) AS fingerprint FROM grouped",
     "dedup_totals": f"WITH {_GROUPS_SQL} SELECT query, count(*) AS total_groups, sum(group_size)::BIGINT AS total_input, (sum(group_size) - count(*))::BIGINT AS duplicates_removed FROM grouped GROUP BY query",
 }
-QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, dedup_totals)}
+QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stallmark.config import ClassificationConfig, MatchConfig
 from stallmark.functions import similarity, terms, text
-from stallmark.functions.rounding import clamp, fixed, money
+from stallmark.functions.rounding import clamp, fixed, money, money_exact
 from stallmark.shared import numbered
 
 
@@ -153,3 +153,8 @@ def test_places_are_those_of_row_number(spark):
         own = sorted((v for x, v in rows if x == g), reverse=True)
         assert [got[g, v] for v in own] == list(range(1, len(own) + 1))
     assert numbered(df.where("false"), "g", [F.col("v")], "place").count() == 0
+
+
+def test_exact_rounding_is_pythons(spark):
+    got = spark.range(200_001).select((F.col("id") / 1000.0).alias("x")).select("x", money_exact(F.col("x")).alias("y")).toPandas()
+    assert (got.y == [round(x, 2) for x in got.x]).all()
