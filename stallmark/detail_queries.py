@@ -129,9 +129,9 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for late in (False, True):
         items = cut(q._run(spark, sf_dir, late).withColumns(empty))
         history.save(Result(f"late={late}", items, items), config_summary="query", created_at="2024-01-01T00:00:00+00:00")
-    newest = history.list_runs(1).select(F.col("run_id").alias("newest_id"))
+    newest = F.lit(history.list_runs(1).first().run_id).cast("long").alias("newest_id")
     items = history.list_opportunities(1).unionByName(history.list_opportunities(2))
-    return history.list_runs().crossJoin(newest).join(items, "run_id").select("run_id", "newest_id", "query", "created_at", "config_summary", "total_listings_scanned", "total_groups", "total_opportunities", "rank", "title", "provider", "currency", "asking_price", "estimated_market_price", "roi_percentage", "net_profit", "recommendation_score", "recommendation")
+    return history.list_runs().join(items, "run_id").select("run_id", newest, "query", "created_at", "config_summary", "total_listings_scanned", "total_groups", "total_opportunities", "rank", "title", "provider", "currency", "asking_price", "estimated_market_price", "roi_percentage", "net_profit", "recommendation_score", "recommendation")
 
 
 _SAVED_SQL = f"""
