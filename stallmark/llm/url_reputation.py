@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import cut
+from .spark import cut, cut_seen, small
 
 #: A page is blocked if its posterior rate of good pages, less Z posterior deviations, is below this share of the overall rate.
 FLOOR, Z = 0.75, 1.64
@@ -107,8 +107,9 @@ def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], outco
         rules = pages.sparkSession.createDataFrame(rules, "action string, host string, path string")
     seen = pages.select(F.col(page_id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     hosts = cut(seen.select("host").distinct())
-    known = reputation(hosts, outcomes, **options).join(rules_of(hosts, rules), "host", "left")
+    # Written and counted: it is broadcast if small, else both sides of the join are plain exchanges, and AQE can split a host of very many pages.
+    known, size = cut_seen(reputation(hosts, outcomes, **options).join(rules_of(hosts, rules), "host", "left"), F.sum(F.size("rules")).alias("listed"))
     first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
-    out = seen.join(known, "host", "left").withColumn("first", first)
+    out = seen.join(small(known, size["n"] + max(size["listed"] or 0, 0)), "host", "left").withColumn("first", first)
     verdict = F.coalesce(F.col("first.action"), F.when(F.col("good"), "allow").otherwise("block"))
     return out.select(page_id, "host", "path", F.col("first.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")
