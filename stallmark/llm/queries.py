@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lattice, near_duplicates, pii, quotations, sentencepiece_bpe, sql, toxicity, unigram, url_reputation
+from . import decontaminate, fingerprints, language, lattice, near_duplicates, phrases, pii, quotations, sentencepiece_bpe, sql, toxicity, unigram, url_reputation, whitening
 from .sampling import remainder
 from .spark import sha256_of, table
 
@@ -81,5 +81,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_embedding_dedup, op5_pii, op6_jaccard_join, op7_url_filters, op8_quotations, op9_language_id, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.neighbours(table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_edited", "held_next")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_sentencepiece, op3_token_counts, op4_embedding_dedup, op5_pii, op6_jaccard_join, op7_url_filters,
+        op8_quotations, op9_language_id, op10_toxicity, op11_whitening, op12_fingerprints, op13_collocations,
+    )
+}
 ORACLE_SQL = sql.SQL

@@ -85,4 +85,20 @@ out AS (SELECT b.c AS conv_id, b.t AS turn, r AS role, trim(array_to_string(list
 SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY after, turn, role NULLS FIRST, text) END AS position FROM out
 """
 
-SQL = {"op1_decontamination": OP1, "op4_embedding_dedup": OP4, "op6_jaccard_join": OP6, "op7_url_filters": OP7, "op8_quotations": OP8}
+OP13 = r"""
+WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT d, lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM texts),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a AS f, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM cand WHERE k > 2))) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest l JOIN totals USING (lang) WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = l.lang AND i.phrase = l.phrase AND 100 * i.f >= 80 * l.a)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL = {"op1_decontamination": OP1, "op4_embedding_dedup": OP4, "op6_jaccard_join": OP6, "op7_url_filters": OP7, "op8_quotations": OP8, "op13_collocations": OP13}
