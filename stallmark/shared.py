@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` and, from the same run, the number of the rows for which ``which`` holds (of all without it)."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")))
+    return out, seen.get["n"]
+
+
 def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """df with the place, from 1, of each row in its group, as a window's row_number gives it.
 

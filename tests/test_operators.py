@@ -64,13 +64,43 @@ def test_grouping_is_the_sequential_one(spark, possible):
     config = DeduplicationConfig(include_possible_matches=possible)
     rows = [(q, f"l{rng.randrange(60):02d}", rng.choice("ab"), k, [rng.choice(words) for _ in range(rng.randrange(5))]) for q in ("q1", "q2") for k in range(80)]
     df = spark.createDataFrame(rows, "query string, listing_id string, provider string, ordinal long, tokens array<string>")
-    for batch in (5, 64):
-        got = {(r.query, r.listing_id, r.provider, r.ordinal): tuple(r.leader) for r in deduplicate.assign_groups(df, config, batch).collect()}
+    for first, growth in ((5, 2), (64, 16)):
+        got = {(r.query, r.listing_id, r.provider, r.ordinal): tuple(r.leader) for r in deduplicate.assign_groups(df, config, first, growth).collect()}
         for q in ("q1", "q2"):
             want = greedy([r[1:] for r in rows if r[0] == q], config)
             assert {k[1:]: v for k, v in got.items() if k[0] == q} == want
 
 
+def test_rounds_do_not_grow_with_the_groups(spark, monkeypatch):
+    """10,000 groups of one query, two copies of each, and a chain in which each listing matches only its neighbours."""
+    rounds, own = [], deduplicate._followers
+    monkeypatch.setattr(deduplicate, "_followers", lambda todo, config: rounds.append(1) or own(todo, config))
+    rows = [("q", f"{i:05d}", "p", 0, [f"a{i % 10_000}", f"b{i % 10_000}", f"c{i % 10_000}", *(["extra"] if i >= 10_000 else [])]) for i in range(20_000)]
+    rows += [("q", f"z{i}", "p", 0, [f"n{i}", f"n{i + 1}", f"n{i + 2}", f"n{i + 3}"]) for i in range(9)]
+    df = spark.createDataFrame(rows, "query string, listing_id string, provider string, ordinal long, tokens array<string>")
+    config = DeduplicationConfig(match_config=MatchConfig(same_threshold=0.6))
+    got = {r.listing_id: r.leader.listing_id for r in deduplicate.assign_groups(df, config).collect()}
+    assert len(rounds) <= 10 and got == {k[0]: v[0] for k, v in greedy([r[1:] for r in rows[:300] + rows[10_000:10_300] + rows[20_000:]], config).items()} | {f"{i:05d}": f"{i % 10_000:05d}" for i in range(20_000)}
+
+
+def test_least_share_loses_no_match():
+    rng = random.Random(4)
+    for c in (MatchConfig(), MatchConfig(overlap_weight=0.0), MatchConfig(overlap_weight=1.0, same_threshold=0.5), MatchConfig(shared_model_boost=0.9), MatchConfig(brand_conflict_factor=1.0, possible_threshold=0.0)):
+        for possible in (False, True):
+            config = DeduplicationConfig(include_possible_matches=possible, match_config=c)
+            share, need = deduplicate.least_share(config), c.possible_threshold if possible else c.same_threshold
+            for _ in range(2000):
+                a, b = (set(rng.choices(["nvidia", "amd", "4090", "s24", "x", "y", "z", "ti"], k=rng.randrange(1, 8))) for _ in "ab")
+                if plain_score(sorted(a), sorted(b), c) >= need:
+                    assert len(a & b) >= share * min(len(a), len(b)) - 1e-9
+
+
+def test_a_threshold_of_zero_makes_one_group(spark):
+    df = spark.createDataFrame([("q", "b", "p", 0, ["x"]), ("q", "a", "p", 1, ["y"]), ("q", "c", "p", 2, [""]), ("r", "d", "p", 3, ["x"])], "query string, listing_id string, provider string, ordinal long, tokens array<string>")
+    config = DeduplicationConfig(include_possible_matches=True, match_config=MatchConfig(possible_threshold=0.0))
+    assert {r.listing_id: r.leader.listing_id for r in deduplicate.assign_groups(df, config).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
 def normal(spark, rows):
     df = spark.createDataFrame(rows, "query string, listing_id string, provider string, ordinal long, title string, price double, currency string, condition string, location string")
     return normalize.normalize(df)
