@@ -30,6 +30,8 @@ from .text import LOWER, block_seeds, mix, run_hashes, string_buffers, text_chun
 LEAST, LONGEST, TOP, COVERED, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Bytes of text that are worked on together, and distinct keys and phrases that a task adds up before it hands them on.
 CHUNK, HELD, TEXTS = 2 << 20, 1 << 20, 1 << 17
+#: Bits of a key that leave a task: phrases that share one are only let through the filter together.
+KEY_BITS = 48
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -102,6 +104,10 @@ def lists(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order[new]], np.diff(np.append(new, len(key))), order[new]
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    return key >> np.uint64(64 - KEY_BITS)
+
+
 class _Sums:
     """Lengths of lists added up by key, with the phrase's language and text or without."""
 
@@ -163,7 +169,7 @@ def _level(k: int, filters: list[np.ndarray], longest: int):
             for j, packed in enumerate(filters, 1):
                 if j > 1:
                     at, key = extend(p, at, key, j - 1)
-                live = passing(packed, key)
+                live = passing(packed, _short(key))
                 live.sort()
                 at, key = at[live], key[live]
             if k:
@@ -175,7 +181,7 @@ def _level(k: int, filters: list[np.ndarray], longest: int):
             if k and k + 1 == longest:
                 by_text(p, at, key, k + 1)
             else:
-                hashed.add(*lists(key)[:2])
+                hashed.add(*lists(_short(key))[:2])
             for sums in (said, hashed):
                 if sums.full():
                     yield from sums.batches()
