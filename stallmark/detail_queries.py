@@ -16,7 +16,7 @@ from .operators import compare, deduplicate, pricing, ranking
 from .plans.history import History
 from .plans.pipeline import Result
 from .shared import cut, numbered
-from .sources import marketplace_json
+from .sources import marketplace_json, typed_json
 from .sources.scan import default_sources, scan
 
 
@@ -47,7 +47,7 @@ _MONEY: list[str | None] = ["", "USD", "GBP", None]
 
 
 def search_page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as JSON pages of fifty, read back as listings."""
+    """Parts as JSON pages of fifty, read back as listings."""
     key, size = F.col("p_partkey"), F.col("p_size")
     amount = lambda x, money: F.struct(fixed(x).alias("value"), money.alias("currency"))
     some = lambda every, x: F.when(key % every != 0, x)
@@ -93,6 +93,33 @@ SELECT 'v1|' || k || '|0' AS listing_id, p_name || ' ' || p_type AS title, 'ebay
 """
 
 
+#: What stands in a field of a faulty page, by part: another kind of value, and the message it gives.
+_FAULTS = [
+    ('"title":12345', "itemSummaries[].title: expected text, got number"), ('"itemWebUrl":true', "itemSummaries[].itemWebUrl: expected text, got boolean"), ('"price":{"value":9.5}', "itemSummaries[].price.value: expected text, got number"),
+    ('"price":"9.50"', "itemSummaries[].price: expected object, got text"), ('"watchCount":false', "itemSummaries[].watchCount: expected number, got boolean"), ('"seller":["u"]', "itemSummaries[].seller: expected object, got list"),
+    ('"price":{"currency":"EUR"}', "itemSummaries[].price.value: missing field"), ('"categories":[{"categoryId":5}]', "itemSummaries[].categories[0].categoryId: expected text, got number"), ('"subtitle":null,"buyingOptions":[5]', None),
+]
+
+
+def refused_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON pages of one item, most of them with a value of another type; which are refused, and for what."""
+    key = F.col("p_partkey")
+    item = F.concat(F.lit('{"itemId":"'), key.cast("string"), F.when(key % 7 != 0, '","title":"t').otherwise(""), F.lit('","itemWebUrl":"u",'), _pick([f for f, _ in _FAULTS], key), F.lit("}"))
+    # A field given twice is no JSON for Spark, so that the faulty one stands alone.
+    once = F.regexp_replace(F.regexp_replace(item, r'"title":"t",(.*"title":)', "$1"), r'"itemWebUrl":"u",(.*"itemWebUrl":)', "$1")
+    text = F.when(key % 50 == 0, '{"itemSummaries": [').when(key % 50 == 1, '{"itemSummaries": {}}').otherwise(F.concat(F.lit('{"itemSummaries": ['), once, F.lit("]}")))
+    pages = q._table(spark, sf_dir, "part").select(key.alias("part_id"), text.alias("text"))
+    return typed_json.refused(pages, "itemSummaries", marketplace_json.SEARCH_ITEM).select("part_id", F.coalesce("place", F.lit(-1)).alias("place"), F.array_join("problems", "; ").alias("problems"))
+
+
+_REFUSED_SQL = f"""
+WITH p AS (SELECT p_partkey AS k, {_picked([m for _, m in _FAULTS], 'p_partkey')} AS m, p_partkey % {len(_FAULTS)} AS f FROM part),
+told AS (SELECT k AS part_id, CASE WHEN k % 50 > 1 THEN 0 ELSE -1 END::INT AS place, CASE WHEN k % 50 = 0 THEN 'page: not JSON' WHEN k % 50 = 1 THEN 'itemSummaries: expected list, got object'
+  ELSE nullif(concat_ws('; ', CASE WHEN k % 7 = 0 AND f <> 0 THEN 'itemSummaries[].title: missing field' END, m), '') END AS problems FROM p)
+SELECT part_id, place, problems FROM told WHERE problems IS NOT NULL
+"""
+
+
 def catalog_page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as catalog pages, line items as the market data of most of them."""
     key = F.col("p_partkey")
@@ -263,6 +290,7 @@ SQL = {
     "scan_order": _scan_order_sql(),
     "search_page_listings": _SEARCH_SQL,
     "catalog_page_listings": _CATALOG_SQL,
+    "refused_pages": _REFUSED_SQL,
     "saved_runs": _SAVED_SQL,
     "changes_in_order": _CHANGES_SQL,
     "reason_texts": _REASONS_SQL,
@@ -273,4 +301,4 @@ SQL = {
     "dedup_groups": f"WITH {_GROUPS_SQL} SELECT query, leader, c.id AS canonical, group_size, substr(sha256('tokens=' || array_to_string(c.ta, ' ') || '|currency=EUR|condition=new'), 1, 16) AS fingerprint FROM grouped",
     "dedup_totals": f"WITH {_GROUPS_SQL} SELECT query, count(*) AS total_groups, sum(group_size)::BIGINT AS total_input, (sum(group_size) - count(*))::BIGINT AS duplicates_removed FROM grouped GROUP BY query",
 }
-QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}
+QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}

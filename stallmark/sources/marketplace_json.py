@@ -6,27 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import look_up, plain_number
+from .typed_json import FLAG, NUMBER, TEXT, Shape, at, checked, entries, kind_of, problems, read
 
-_AMOUNT = "struct<value:string,currency:string>"
-_IMAGES = "array<struct<imageUrl:string>>"
-SEARCH_PAGE = f"""struct<href:string,total:bigint,limit:bigint,offset:bigint,next:string,itemSummaries:array<struct<
-itemId:string,legacyItemId:string,title:string,subtitle:string,shortDescription:string,itemWebUrl:string,itemAffiliateWebUrl:string,
-itemHref:string,itemGroupType:string,epid:string,listingMarketplaceId:string,price:{_AMOUNT},
-marketingPrice:struct<originalPrice:{_AMOUNT},discountPercentage:string,discountAmount:{_AMOUNT},priceTreatment:string>,
-condition:string,conditionId:string,itemLocation:struct<city:string,stateOrProvince:string,postalCode:string,country:string>,
-image:struct<imageUrl:string>,thumbnailImages:{_IMAGES},additionalImages:{_IMAGES},buyingOptions:array<string>,
-categories:array<struct<categoryId:string,categoryName:string>>,leafCategoryIds:array<string>,
-seller:struct<username:string,feedbackPercentage:string,feedbackScore:double,sellerAccountType:string>,
-shippingOptions:array<struct<shippingCostType:string,shippingCost:{_AMOUNT},type:string,shippingCarrierCode:string,
-minEstimatedDeliveryDate:string,maxEstimatedDeliveryDate:string,guaranteedDelivery:boolean>>,
-itemCreationDate:string,itemEndDate:string,watchCount:double,adultOnly:boolean,availableCoupons:boolean,
-topRatedBuyingExperience:boolean,priorityListing:boolean,qualifiedPrograms:array<string>,unitPrice:{_AMOUNT},
-unitPricingMeasure:string,currentBidPrice:{_AMOUNT},bidCount:double>>>""".replace("\n", "")
-CATALOG_PAGE = """struct<count:bigint,pageNumber:bigint,pageSize:bigint,hasNextPage:boolean,products:array<struct<
-productId:string,urlKey:string,styleId:string,productType:string,title:string,brand:string,
-productAttributes:struct<color:string,colorway:string,gender:string,releaseDate:string,retailPrice:double,season:string>>>>""".replace("\n", "")
 MARKET_DATA = "array<struct<productId:string,variantId:string,currencyCode:string,highestBidAmount:string,lowestAskAmount:string>>"
 
+
+def _all_text(names: str, **more: str | Shape) -> dict[str, str | Shape]:
+    return dict.fromkeys(names.split(), TEXT) | more
+
+
+_AMOUNT = Shape(optional=_all_text("value currency"))
+#: Fields of an item of a search page that are read.
+SEARCH_ITEM = Shape(
+    required=("itemId", "title", "itemWebUrl"),
+    optional=_all_text(
+        "legacyItemId subtitle shortDescription itemAffiliateWebUrl itemHref itemGroupType epid listingMarketplaceId condition conditionId itemCreationDate itemEndDate unitPricingMeasure",
+        price=Shape(required=("value",), optional={"currency": TEXT}),
+        itemLocation=Shape(optional=_all_text("city stateOrProvince postalCode country")),
+        image=Shape(optional={"imageUrl": TEXT}),
+        seller=Shape(optional=_all_text("username feedbackPercentage sellerAccountType", feedbackScore=NUMBER)),
+        marketingPrice=Shape(optional=_all_text("discountPercentage priceTreatment", originalPrice=_AMOUNT, discountAmount=_AMOUNT)),
+        currentBidPrice=_AMOUNT,
+        unitPrice=_AMOUNT,
+        bidCount=NUMBER,
+        watchCount=NUMBER,
+        adultOnly=FLAG,
+        availableCoupons=FLAG,
+        topRatedBuyingExperience=FLAG,
+        priorityListing=FLAG,
+    ),
+    first={
+        "shippingOptions": Shape(optional=_all_text("shippingCostType type shippingCarrierCode minEstimatedDeliveryDate maxEstimatedDeliveryDate", shippingCost=_AMOUNT, guaranteedDelivery=FLAG)),
+        "categories": Shape(optional=_all_text("categoryId categoryName")),
+    },
+    texts=("buyingOptions", "leafCategoryIds", "qualifiedPrograms"),
+    each={"thumbnailImages": "imageUrl", "additionalImages": "imageUrl"},
+)
+#: Fields of a product of a catalog page; its retail price is read apart, as it may be a number or a text.
+CATALOG_PRODUCT = Shape(required=("productId", "title"), optional=_all_text("urlKey styleId productType brand", productAttributes=Shape(optional=_all_text("colorway gender releaseDate season"))))
+
 # Condition codes of the search pages, in natural order.
 CONDITION_CODES = {
     "1000": "new", "1500": "new", "1750": "new",
@@ -35,19 +53,6 @@ CONDITION_CODES = {
 }
 
 
-def _parsed(pages: DataFrame, schema: str) -> DataFrame:
-    return pages.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("page"))
-
-
-def has_more_results(page: Column) -> Column:
-    """Of a parsed search page: a link to the next one, else the total is not reached."""
-    return F.coalesce(F.length(page["next"]) > 0, F.lit(False)) | F.coalesce(page["offset"] + page["limit"] < page["total"], F.lit(False))
-
-
-def has_more_products(page: Column) -> Column:
-    return F.coalesce(page["hasNextPage"], page["pageNumber"] * page["pageSize"] < page["count"], F.lit(False))
-
-
 def map_condition(code: Column, text: Column) -> Column:
     """By code, else by words in the text, else unknown."""
     low = F.lower(text)
@@ -55,15 +60,11 @@ def map_condition(code: Column, text: Column) -> Column:
     return F.coalesce(look_up(CONDITION_CODES, code), by_text, F.lit("unknown"))
 
 
-def _required(value: Column, name: str) -> Column:
-    return F.when(value.isNull(), F.raise_error(F.lit(f"missing field {name}"))).otherwise(value)
-
-
 def price_of(amount: Column) -> Column:
     """The number in an amount; null without one, an error if it is none or negative."""
     number = amount["value"].try_cast("double")
-    wrong = amount.isNotNull() & (number.isNull() | (number < 0))
-    return F.when(wrong, F.raise_error(F.concat(F.lit("not a price: "), F.coalesce(amount["value"], F.lit("null"))))).otherwise(number)
+    wrong = amount["value"].isNotNull() & (number.isNull() | (number < 0))
+    return F.when(wrong, F.raise_error(F.concat(F.lit("not a price: "), amount["value"]))).otherwise(number)
 
 
 def place_of(where: Column) -> Column:
@@ -105,10 +106,10 @@ def _extra(s: Column) -> Column:
             base = base[name]
         return base
 
-    ship, category = F.get(s["shippingOptions"], F.lit(0)), F.get(s["categories"], F.lit(0))
+    ship, category = s["shippingOptions"], s["categories"]
     entries = {k: s[v] for k, v in text.items()} | {k: at(v) for k, v in nested.items()}
     entries |= {k: _listed(s[v]) for k, v in {"buying_options": "buyingOptions", "leaf_category_ids": "leafCategoryIds", "qualified_programs": "qualifiedPrograms"}.items()}
-    entries |= {k: _listed(s[v]["imageUrl"]) for k, v in {"thumbnail_image_urls": "thumbnailImages", "additional_image_urls": "additionalImages"}.items()}
+    entries |= {k: _listed(s[v]) for k, v in {"thumbnail_image_urls": "thumbnailImages", "additional_image_urls": "additionalImages"}.items()}
     entries |= {k: plain_number(at(v)) for k, v in {"seller_feedback_score": "seller.feedbackScore", "bid_count": "bidCount", "watch_count": "watchCount"}.items()}
     entries |= {k: s[v] for k, v in {"adult_only": "adultOnly", "available_coupons": "availableCoupons", "top_rated_buying_experience": "topRatedBuyingExperience", "priority_listing": "priorityListing"}.items()}
     entries |= {
@@ -126,15 +127,18 @@ def _listing(**columns: Column) -> list[Column]:
 
 
 def search_listings(pages: DataFrame, *, provider: str = "ebay_browse", default_currency: str = "EUR") -> DataFrame:
-    """Listings of search pages (a JSON document in each row's ``text``); a page without summaries has none, a malformed one is an error."""
+    """Listings of search pages (a JSON document in each row's ``text``).
+
+    A page without summaries has none; one that is malformed, or in which a field has another type than it should, is an error that names the field.
+    """
     s = F.col("s")
-    items = _parsed(pages, SEARCH_PAGE).select(F.explode("page.itemSummaries").alias("s"))
+    items = checked(pages, "itemSummaries", SEARCH_ITEM, "s")
     return items.select(
         *_listing(
-            listing_id=_required(s["itemId"], "itemId"),
-            title=_required(s["title"], "title"),
+            listing_id=s["itemId"],
+            title=s["title"],
             provider=F.lit(provider),
-            url=_required(s["itemWebUrl"], "itemWebUrl"),
+            url=s["itemWebUrl"],
             price=price_of(s["price"]),
             currency=F.coalesce(F.nullif(s["price"]["currency"], F.lit("")), F.lit(default_currency)),
             location=place_of(s["itemLocation"]),
@@ -153,19 +157,24 @@ def market_summary(market: DataFrame) -> DataFrame:
 
 def catalog_listings(pages: DataFrame, market: DataFrame, *, provider: str = "stockx", currency: str = "USD") -> DataFrame:
     """Listings of catalog pages, left-joined with their market data: a product without any stays, without a price."""
-    p = F.col("p")
-    products = _parsed(pages, CATALOG_PAGE).select(F.explode("page.products").alias("p")).withColumn("product_id", _required(p["productId"], "productId"))
+    p, entry = F.col("p"), F.col("entry")
+    rows = entries(pages, "products")
+    first = F.coalesce("problem", F.get(problems(entry, CATALOG_PRODUCT, "products[]"), F.lit(0)))
+    sound = rows.where(F.when(first.isNotNull(), F.raise_error(first).cast("boolean")).otherwise(True))
+    retail = at(entry, "productAttributes.retailPrice")
+    amount = F.when(kind_of(retail).isin(NUMBER, TEXT), F.variant_get(retail, "$", "string").try_cast("double"))
+    products = sound.select(read(entry, CATALOG_PRODUCT).alias("p"), amount.alias("retail_price")).withColumn("product_id", p["productId"])
     known = products.join(market_summary(market), "product_id", "left")
     a = p["productAttributes"]
     extra = {
         "style_id": p["styleId"], "product_type": p["productType"], "brand": p["brand"], "colorway": a["colorway"], "gender": a["gender"],
-        "release_date": a["releaseDate"], "season": a["season"], "retail_price": plain_number(a["retailPrice"]),
+        "release_date": a["releaseDate"], "season": a["season"], "retail_price": plain_number(F.col("retail_price")),
         "variant_count": F.col("variant_count"), "lowest_ask": plain_number(F.col("lowest_ask")), "highest_bid": plain_number(F.col("highest_bid")),
     }
     return known.select(
         *_listing(
             listing_id=F.col("product_id"),
-            title=_required(p["title"], "title"),
+            title=p["title"],
             provider=F.lit(provider),
             url=F.concat(F.lit("https://stockx.com/"), F.coalesce(F.nullif(p["urlKey"], F.lit("")), F.col("product_id"))),
             price=F.col("lowest_ask"),

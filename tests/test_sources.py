@@ -12,7 +12,7 @@ from stallmark.config import ConfigError, PipelineConfig, ScannerConfig, load_pi
 from stallmark.plans.history import History
 from stallmark.plans.pipeline import Pipeline, analyze_listings
 from stallmark.schemas import LISTING
-from stallmark.sources import http, live, marketplace_json, scan
+from stallmark.sources import http, live, marketplace_json, scan, typed_json
 from stallmark.sources.synthetic import BUILT_IN
 from stallmark.streaming.incremental import follow
 
@@ -76,10 +76,68 @@ def test_search_pages(spark):
     assert (second.price, second.currency, second.condition, second.location) == (None, "EUR", "unknown", "IE") and second.extra["bid_count"] == "14"
     assert (third.price, third.currency, third.condition, third.location) == (10.0, "EUR", "used", "10001")
     for wrong in ({"itemId": "1"}, ITEM | {"price": {"value": "cheap", "currency": "EUR"}}, ITEM | {"price": {"value": "-1", "currency": "EUR"}}):
-        with pytest.raises(Exception, match="missing field|not a price"):
+        with pytest.raises(Exception, match="missing field|not a price|expected"):
             parse(spark, page([wrong]))
 
 
+def faulty(item, path, value):
+    """The item with another value at a path."""
+    out = json.loads(json.dumps(item))
+    inner = out
+    for name in path[:-1]:
+        inner = inner[name]
+    inner[path[-1]] = value
+    return out
+
+
+def kinds(shape, path=()):
+    """(path, kind) of all checked fields of a shape."""
+    for name in shape.required:
+        yield (*path, name), "text"
+    for name, kind in shape.optional.items():
+        yield (*path, name), kind if isinstance(kind, str) else "object"
+        if not isinstance(kind, str):
+            yield from kinds(kind, (*path, name))
+    for name, kind in shape.first.items():
+        yield from kinds(kind, (*path, name, 0))
+
+
+def sample(shape):
+    out = {n: f"{n} x" for n in shape.required} | {n: {"text": "1", "number": 1.5, "boolean": True}[k] if isinstance(k, str) else sample(k) for n, k in shape.optional.items()}
+    return out | {n: [sample(k)] for n, k in shape.first.items()} | {n: ["a", 5, None, "b"] for n in shape.texts} | {n: [{k: "u"}, {k: 5}, "odd", {}] for n, k in shape.each.items()}
+
+
+@pytest.mark.parametrize(("shape", "listed"), [(marketplace_json.SEARCH_ITEM, "itemSummaries"), (marketplace_json.CATALOG_PRODUCT, "products")])
+def test_every_field_is_checked_by_its_json_type(spark, shape, listed):
+    good, rows, want = sample(shape), [], {}
+    for path, kind in kinds(shape):
+        for i, value in enumerate((7, True, "text", ["a"], {"a": 1}, None)):
+            name = {0: "number", 1: "boolean", 2: "text", 3: "list", 4: "object", 5: "nothing"}[i]
+            required = path[-1] in shape.required and len(path) == 1 or path[-2:] == ("price", "value")
+            if name != kind and (name != "nothing" or required):
+                key = f"{len(rows)}"
+                rows.append((key, json.dumps({listed: [good, faulty(good, path, value)]})))
+                want[key] = f"{listed}[]." + ".".join(str(x) for x in path).replace(".0", "[0]") + f": expected {kind}, got {name}"
+    got = {r.key: (r.place, r.problems) for r in typed_json.refused(spark.createDataFrame([("good", json.dumps({listed: [good]})), *rows], "key string, text string"), listed, shape).collect()}
+    assert len(rows) > 25 and got == {k: (1, [v]) for k, v in want.items()}
+
+
+def test_malformed_pages_and_loose_lists(spark):
+    texts = ["{", "[1]", '{"itemSummaries": "x"}', '{"itemSummaries": [5, null]}', '{"itemSummaries": null}', "{}", None, '{"itemSummaries": [{"itemId": "1"}]}']
+    got = sorted((r.text or "", r.place is None, *r.problems) for r in typed_json.refused(spark.createDataFrame([(t,) for t in texts], "text string"), "itemSummaries", marketplace_json.SEARCH_ITEM).collect())
+    assert got == sorted([
+        ("{", True, "page: not JSON"), ("[1]", True, "page: expected object, got list"), ('{"itemSummaries": "x"}', True, "itemSummaries: expected list, got text"),
+        ('{"itemSummaries": [5, null]}', False, "itemSummaries[]: expected object, got number"), ('{"itemSummaries": [5, null]}', False, "itemSummaries[]: expected object, got nothing"),
+        ('{"itemSummaries": [{"itemId": "1"}]}', False, "itemSummaries[].title: missing field", "itemSummaries[].itemWebUrl: missing field"),
+    ])
+    loose = ITEM | {"buyingOptions": ["A", 5, None, ["x"], "B"], "leafCategoryIds": "no list", "thumbnailImages": [{"imageUrl": "u"}, {"imageUrl": 4}, 3], "shippingOptions": ["odd", {"type": 5}], "categories": {}}
+    x = parse(spark, page([loose]))[0].extra
+    assert x["buying_options"] == "A,B" and x["thumbnail_image_urls"] == "u" and "leaf_category_ids" not in x and "shipping_type" not in x and "category_id" not in x
+    for wrong in ('{"itemSummaries": "x"}', "{", page([ITEM | {"title": 12345}]), page([ITEM | {"itemWebUrl": True}])):
+        with pytest.raises(Exception, match="expected|not JSON"):
+            marketplace_json.search_listings(spark.createDataFrame([(wrong,)], "text string")).select("price").collect()  # though the field is not read
+
+
 PRODUCTS = {"count": 3, "pageNumber": 1, "pageSize": 2, "hasNextPage": False, "products": [{"productId": "p1", "urlKey": "shoe", "title": "Shoe", "brand": "B", "productAttributes": {"colorway": "red", "retailPrice": 120}}, {"productId": "p2", "title": "Boot"}]}
 MARKET = [{"productId": "p1", "variantId": "a", "lowestAskAmount": "150", "highestBidAmount": "11"}, {"productId": "p1", "variantId": "b", "lowestAskAmount": "145", "highestBidAmount": None}, {"productId": "p1", "variantId": "c", "lowestAskAmount": "odd"}]
 
