@@ -7,9 +7,9 @@ of one kind and format get different ones, and who has the key can undo it.
 
 kind     validated by                     permuted
 card     Luhn sum, 13 to 19 digits        all digits but the last, which is the new check digit
-iban     remainder modulo 97              letters and digits of the account; new check digits
+iban     modulo 97, check digits 02-98    letters and digits of the account; new check digits
 ssn      area, group and serial ranges    over all valid numbers
-phone    7 to 15 digits in phone form     the digits behind the country code
+phone    7 to 15 digits in phone form     the digits behind the country code, written with a separator or without
 ip       four octets up to 255            over all addresses
 date     calendar date, years 1800-2199   over the days of these 400 years that are up to the 12th, or those after it
 email    form                             letters and digits of the local part and of the domain but its last label
@@ -24,6 +24,9 @@ As 3/5/2024 is read as the month first and 27/5/2024 cannot be, days up to the 1
 apart: the pseudonym is read as its value was, in every form, and no two values get one.
 Left in clear: dashes with the month first (03-25-2024), 2024-3-5, 2024.03.05, 20240305, years of two digits, names of months.
 
+Other values left in clear: IPv6 addresses, web tokens behind ``Bearer``, keys with a prefix other than AKIA and no keyword, keyed values of
+letters only, and passwords with signs beside ``+ / _ -``. One mailbox in two cases of letters gets two pseudonyms.
+
 What does not validate stays as it is, as do signs, separators and the case of letters.
 """
 
@@ -48,6 +51,8 @@ IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
 SSN = _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
 CARD = _B + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})" + _E
 PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9A-Za-z]|\.[0-9])"
+# The country codes of telephone numbers of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 KINDS = {"email": EMAIL, "access": ACCESS, "secret": SECRET, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE}
 PATTERN = "|".join(KINDS.values())
 #: The same, with a group for what stands behind a keyword.
@@ -181,7 +186,7 @@ def _iban(m: Column, key: Column) -> Column:
         other = permute_characters(account, F.concat(F.lit("iban"), country), key)
         return _with(other, lambda a: _fill(m, F.concat(country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a), "[0-9A-Z]"))
 
-    return _with(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.when(F.length(s).between(15, 34) & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1), new(s)))
+    return _with(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.when(F.length(s).between(15, 34) & F.substring(s, 3, 2).between("02", "98") & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1), new(s)))
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -198,7 +203,7 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
+    code = F.regexp_extract(m, COUNTRY, 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     d = _digits(rest)
     return F.when(F.length(_digits(m)).between(7, 15), F.concat(code, _fill(rest, permute_digits(d, F.lit("phone"), key))))
