@@ -7,8 +7,9 @@ word is encoded once. All new words of a batch are flat symbol arrays: a round
 finds the best-ranked pair of each word (a segmented minimum), merges it at its
 leftmost place, and compacts; a word without a pair is done. A rank below which
 no longer piece can form is merged at all its places in one round, with the
-same result. The few words left after ``MAX_ROUNDS`` (runs of thousands of
-characters) end by the same rule with a heap, in n log n.
+same result. Long words (runs of thousands of characters) would take a round for each rank over
+all of their symbols; after ``MAX_ROUNDS`` the symbols of the words that are left are linked instead of
+compacted, and a round visits the places of its rank alone, in all these words at once.
 """
 
 from __future__ import annotations
@@ -150,10 +151,9 @@ class BpeModel:
                 continue
             rounds += 1
             if rounds > MAX_ROUNDS:
-                for a, n in zip(first.tolist(), count.tolist(), strict=True):
-                    rest = self._heap(sym[a : a + n].tolist())
-                    done_sym.append(np.array(rest, np.int64))
-                    done_word.append(np.full(len(rest), word[a]))
+                rest = self._linked_rounds(sym, word, rank)
+                done_sym.append(rest[0])
+                done_word.append(rest[1])
                 break
             place = np.flatnonzero(rank == np.repeat(best, count))
             same = word[place]
@@ -214,36 +214,63 @@ class BpeModel:
         out[raw] = self.byte_ids[byte[raw]]
         return out, np.repeat(word, n)
 
-    def _heap(self, sym: list[int]) -> list[int]:
-        """The merges of one word, best rank and then leftmost first."""
+    def _linked_rounds(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of long words to their end, by rounds over linked symbols: each merges the leftmost places of the lowest rank."""
         n = len(sym)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        table = self.__dict__.setdefault("_table", None) or dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
-        self._table = table
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (got := table.get(sym[i] << 32 | sym[j])):
-                heapq.heappush(heap, (got[0], i, sym[i], sym[j], got[1]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            if sym[i] != a or (j := after[i]) >= n or sym[j] != b:
+        sym, after, before, alive = sym.copy(), np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(place: np.ndarray, r: np.ndarray) -> None:
+            if not len(r):
+                return
+            order = np.argsort(r, kind="stable")
+            place, r = place[order], r[order]
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            for x, s, e in zip(r[first].tolist(), first.tolist(), np.append(first[1:], len(r)).tolist(), strict=True):
+                if x not in waiting:
+                    waiting[x] = []
+                    heapq.heappush(ranks, x)
+                waiting[x].append(place[s:e])
+
+        start = np.flatnonzero(rank != _NONE)
+        wait(start, rank[start])
+        while ranks:
+            r = heapq.heappop(ranks)
+            found = waiting.pop(r)
+            place = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            place = place[alive[place]]
+            place = place[after[place] < n]
+            place = place[word[place] == word[after[place]]]
+            now, at = self.look_up(sym[place], sym[after[place]])
+            place, at = place[now == r], at[now == r]  # the others have changed since they were noted
+            if not len(place):
                 continue
-            sym[i], sym[j] = new, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return [s for s in sym if s >= 0]
+            same = word[place]
+            fresh = np.concatenate([[True], same[1:] != same[:-1]])
+            run = np.concatenate([[True], (place[1:] != after[place[:-1]]) | fresh[1:]])
+            if self.alone[r]:
+                pick = fresh
+                wait(place[~pick], np.full(int((~pick).sum()), r))
+            else:
+                pick = (np.arange(len(place)) - np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))) % 2 == 0
+            place, at = place[pick], at[pick]
+            gone = after[place]
+            sym[place] = self.merged[at]
+            alive[gone] = False
+            after[place] = after[gone]
+            before[after[place]] = place  # the last one's is the spare place at the end
+            left = before[place]
+            left = left[left >= 0]
+            touched = np.unique(np.concatenate([left, place]))
+            touched = touched[after[touched] < n]
+            touched = touched[word[touched] == word[after[touched]]]
+            new = self.look_up(sym[touched], sym[after[touched]])[0]
+            wait(touched[new != _NONE], new[new != _NONE])
+        return sym[alive], word[alive]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_symbol_table")}
+        return {k: v for k, v in self.__dict__.items() if k != "_symbol_table"}
 
     def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """A text for each id list; ``ends`` are where the lists end in ``ids``."""

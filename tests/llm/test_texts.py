@@ -386,3 +386,43 @@ def test_forms_of_dates(spark):
     assert out[1] == f"at {y}-{m}-{d}T10:00:00Z." and out[2] == f"{y}-{m}-{d}T10:00+02:00" and out[0] != texts[0]
     assert [list(map(int, re.split("[-/.]", t))) for t in out[3:9]] == [[int(y), int(m), int(d)]] * 2 + [[int(d), int(m), int(y)]] * 2 + [[int(y), int(m), int(d)]] + [[int(d), int(m), int(y)]]
     assert out[3] == f"{y}/{m}/{d}" and out[5] == f"{d}-{m}-{y}" and out[9] == f"{m}/{d}/{y}"
+
+
+def test_long_words_end_by_rounds(library):
+    import random
+
+    from stallmark.llm.queries import model_path
+
+    rng = random.Random(2)
+    words = ["the", "theme", "inter", "nation", "al", "ß", "über", "x", "aaaa", "zq", "日本", "語", "ing", "Ing", "(", ")", "0", "12", "é"]
+    texts = ["".join(rng.choice(words) for _ in range(40_000)), "a" * 30_001, "ab" * 15_000 + "a", "=" * 5000 + "-" * 5001, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(5000)), "".join(rng.choices("etaoinshrdlu", k=60_000))]
+    model = sentencepiece_bpe.load_model(model_path())
+    code, chars = np.concatenate([np.array([ord(c) for c in "▁" + t]) for t in texts]), np.array([len(t) + 1 for t in texts])
+    ids, first = model.encode_words(code, chars)
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == library.encode(t), t[:20]
+
+
+def test_one_number_in_several_written_forms(spark):
+    import random
+
+    rng = random.Random(6)
+    numbers = [("1", f"{rng.randrange(200, 999)}{rng.randrange(200, 999)}{rng.randrange(10_000):04d}") for _ in range(300)] + [(rng.choice(["44", "49", "33", "353", "61", "7"]), f"{rng.randrange(20, 99)}{rng.randrange(10_000_000):07d}") for _ in range(300)]
+    rows = []
+    for i, (code, n) in enumerate(numbers):
+        forms = [f"+{code}{n}", f"+{code} {n[:3]} {n[3:6]} {n[6:]}", f"+{code}-{n[:3]}-{n[3:6]}-{n[6:]}", f"+{code} ({n[:3]}) {n[3:6]}-{n[6:]}", f"+{code}.{n[:3]}.{n[3:6]}.{n[6:]}"]
+        rows += [(i, k, f"call {f} now", code) for k, f in enumerate(forms)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, form int, text string, code string"), key="k").collect()
+    linked = {}
+    for r in out:
+        digits = re.sub("[^0-9]", "", r.text)
+        assert digits.startswith(r.code) and r.text.startswith(f"call +{r.code}") and len(digits) == len(r.code) + len(numbers[r.doc_id][1])
+        linked.setdefault(r.doc_id, set()).add(digits)
+    assert all(len(x) == 1 for x in linked.values()) and sum(next(iter(x)) == "".join(numbers[i]) for i, x in linked.items()) < 3
+    assert len({next(iter(x)) for x in linked.values()}) == len(set(numbers))
+
+
+def test_iban_check_digits_out_of_range_stay(spark):
+    texts = ["GB98WEST12345698000008", "GB01WEST12345698000008"]
+    out = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    assert out[0].text != texts[0] and out[1].text == texts[1]
