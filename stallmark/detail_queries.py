@@ -16,7 +16,7 @@ from .operators import compare, deduplicate, pricing, ranking
 from .plans.history import History
 from .plans.pipeline import Result
 from .shared import cut, numbered
-from .sources import marketplace_json, typed_json
+from .sources import marketplace_json, spark_sources, typed_json
 from .sources.scan import default_sources, scan
 
 
@@ -32,6 +32,28 @@ def _scan_order_sql() -> str:
     return " UNION ALL ".join(one.format(k=k, q=q.QUERY, s=s.name) for k, s in enumerate(default_sources()))
 
 
+def registered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3, S3: the synthetic sources as a registered Spark format, in three partitions each, as many rows as there are parts, with the nation of each place."""
+    spark_sources.register(spark)
+    n = q._table(spark, sf_dir, "part").count()
+    found = spark.read.format("stallmark_synthetic").options(query=q.QUERY, limit=str(n), parts="3").load()
+    some = found.where(F.col("ordinal").between(1_000_000_005, 2_000_000_000 + n // 2))
+    keyed = some.withColumn("n_nationkey", (F.col("rank").cast("int") % 25).cast("int"))
+    return keyed.join(q._table(spark, sf_dir, "nation"), "n_nationkey").select("ordinal", "provider", "listing_id", "title", "url", "price", "currency", "location", "condition", "n_name")
+
+
+def _registered_sql() -> str:
+    parts = []
+    for k, s in enumerate(default_sources()):
+        places = ", ".join(f"'{x}'" for x in s.locations)
+        parts.append(
+            f"SELECT {k} * 1000000000::BIGINT + i AS ordinal, i, '{s.name}' AS provider, '{s.name}-' || h AS listing_id, '{q.QUERY.title()} - {s.name} listing #' || (i + 1) AS title, '{s.base_url}/item/' || h AS url, round(50.0::DOUBLE + (seed % 195000) / 100.0::DOUBLE, 2) AS price, "
+            f"'{s.currency}' AS currency, ([{places}])[(seed % {len(s.locations)})::INT + 1] AS location, (['new', 'used', 'refurbished'])[(seed % 3)::INT + 1] AS condition "
+            f"FROM (SELECT i, substr(sha256('{s.name}|{q.QUERY}|' || i), 1, 8) AS h, ('0x' || substr(sha256('{s.name}|{q.QUERY}|' || i), 1, 8))::BIGINT AS seed FROM range((SELECT count(*) FROM part)) t(i))"
+        )
+    return f"SELECT ordinal, provider, listing_id, title, url, price, currency, location, condition, n_name FROM ({' UNION ALL '.join(parts)}) x JOIN nation ON n_nationkey = i % 25 WHERE ordinal BETWEEN 1000000005 AND 2000000000 + (SELECT count(*) FROM part) // 2"
+
+
 def _pick(values: list[str | None], by: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (by % len(values) + 1).cast("int"))
 
@@ -291,6 +313,7 @@ SQL = {
     "search_page_listings": _SEARCH_SQL,
     "catalog_page_listings": _CATALOG_SQL,
     "refused_pages": _REFUSED_SQL,
+    "registered_sources": _registered_sql(),
     "saved_runs": _SAVED_SQL,
     "changes_in_order": _CHANGES_SQL,
     "reason_texts": _REASONS_SQL,
@@ -301,4 +324,4 @@ SQL = {
     "dedup_groups": f"WITH {_GROUPS_SQL} SELECT query, leader, c.id AS canonical, group_size, substr(sha256('tokens=' || array_to_string(c.ta, ' ') || '|currency=EUR|condition=new'), 1, 16) AS fingerprint FROM grouped",
     "dedup_totals": f"WITH {_GROUPS_SQL} SELECT query, count(*) AS total_groups, sum(group_size)::BIGINT AS total_input, (sum(group_size) - count(*))::BIGINT AS duplicates_removed FROM grouped GROUP BY query",
 }
-QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}
+QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, registered_sources, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="stallmark-")
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_stallmark_modules", False):
+        root = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="stallmark-")) / "stallmark_modules.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(out))
+        sc._stallmark_modules = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder (one of our own only where none is set, as in tests)."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ from stallmark.config import ConfigError, PipelineConfig, ScannerConfig, load_pi
 from stallmark.plans.history import History
 from stallmark.plans.pipeline import Pipeline, analyze_listings
 from stallmark.schemas import LISTING
-from stallmark.sources import http, live, marketplace_json, scan, typed_json
+from stallmark.sources import http, live, marketplace_json, scan, spark_sources, typed_json
 from stallmark.sources.synthetic import BUILT_IN
 from stallmark.streaming.incremental import follow
 
@@ -440,3 +440,109 @@ def test_grouping_of_parts(spark, sf_dir):
         for leader in want.values():
             sizes[leader[0]] = sizes.get(leader[0], 0) + 1
         assert got[brand] == sizes
+
+
+def test_synthetic_format_equals_the_sources(spark):
+    spark_sources.register(spark)
+    df = spark.read.format("stallmark_synthetic").options(query=" rtx 4090 ", limit="25", parts="4").load()
+    names = ["listing_id", "title", "provider", "url", "price", "currency", "location", "condition", "ordinal"]
+    plain = scan.scan(spark, "rtx 4090", BUILT_IN, 25).select(*names).collect()
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(map(tuple, plain))
+    assert df.rdd.getNumPartitions() == 16 and df.where("provider = 'ebay'").rdd.getNumPartitions() == 4
+    some = df.where("ordinal >= 1000000003 and ordinal < 1000000009")
+    assert some.rdd.getNumPartitions() == 2 and sorted(r.ordinal for r in some.collect()) == [10**9 + i for i in range(3, 9)]
+    assert df.where("ordinal > 5000000000").count() == 0 and df.where("ordinal = 2000000024 and provider = 'ebay'").count() == 0
+    for wrong in ({"query": " "}, {"query": "x", "limit": "-1"}, {"query": "x", "parts": "0"}):
+        with pytest.raises(Exception, match="must"):
+            spark.read.format("stallmark_synthetic").options(**wrong).load().count()
+
+
+def test_reader_prunes_by_filters():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    reader = spark_sources.SyntheticReader(None, "x", 100, 4)
+    assert len(list(reader.pushFilters([EqualTo(("provider",), BUILT_IN[2].name), GreaterThan(("ordinal",), 2 * 10**9 + 30), LessThanOrEqual(("ordinal",), 2 * 10**9 + 60)]))) == 3
+    assert [(p.source, p.start, p.stop) for p in reader.partitions()] == [(2, 31, 50), (2, 50, 61)]
+
+
+def test_a_spark_format_is_a_source(spark):
+    spark_sources.register(spark)
+    source = spark_sources.SparkSource("made", "stallmark_synthetic", (("parts", "2"),))
+    rows = scan.scan(spark, "x", [source], 5).collect()
+    assert sorted(r.ordinal for r in rows) == [0, 1, 2, 3, 4] and {r.query for r in rows} == {"x"}
+
+
+class Market:
+    """A marketplace on this machine: pages of numbered items, the moments of all requests, and failures for some of them."""
+
+    def __init__(self, total, fail=()):
+        import http.server
+        import threading
+        import time
+        from urllib.parse import parse_qs, urlsplit
+
+        market = self
+        self.seen, self.fail, self.lock, self.busy, self.most = [], set(fail), threading.Lock(), 0, 0
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+                start, size = int(asked["offset"]), int(asked["limit"])
+                with market.lock:
+                    market.seen.append((time.time(), start))
+                    market.busy += 1
+                    market.most = max(market.most, market.busy)
+                    bad = start in market.fail
+                    market.fail.discard(start)
+                time.sleep(0.3)
+                with market.lock:
+                    market.busy -= 1
+                items = [{"itemId": f"v{i}", "title": f"t {i}", "itemWebUrl": "u"} for i in range(start, min(start + size, total))]
+                body = json.dumps({"total": total, "offset": start, "limit": size, "itemSummaries": items}).encode()
+                self.send_response(503 if bad else 200)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def test_pages_are_read_in_parallel(spark):
+    spark_sources.register(spark)
+    market = Market(95, fail=(40,))
+    df = spark.read.format("stallmark_pages").options(base_url=market.url, query="x", limit="1000", page_size="10").load()
+    rows = marketplace_json.search_listings(df).select("listing_id").collect()
+    assert [r.listing_id for r in rows] == [f"v{i}" for i in range(95)]  # in the order of the pages
+    market.server.shutdown()
+    starts = [s for _, s in market.seen]
+    assert market.most > 1 and starts.count(40) == 2 and set(starts) == set(range(0, 100, 10))
+    few = Market(95)
+    df = spark.read.format("stallmark_pages").options(base_url=few.url, query="x", limit="15", page_size="10").load()
+    assert df.count() == 2
+    few.server.shutdown()
+
+
+def test_a_rate_holds_for_all_pages_together(spark):
+    spark_sources.register(spark)
+    market = Market(60, fail=(20,))
+    df = spark.read.format("stallmark_pages").options(base_url=market.url, query="x", limit="60", page_size="10", rate="4").load()
+    assert sorted(r.page for r in df.collect()) == list(range(6))
+    market.server.shutdown()
+    at = sorted(t for t, s in market.seen if s)
+    assert len(at) == 6 and all(b - a > 0.15 for a, b in zip(at, at[1:], strict=False))
+    lease = [spark_sources.Lease(100.0, 2.0, p, 5).at(k) for k in range(3) for p in range(5)]
+    assert lease == [100.0 + i / 2 for i in range(15)] and spark_sources.Lease(0, None, 3, 5).at(2) == 0
+
+
+def test_page_reader_refuses_odd_options_and_answers(spark):
+    spark_sources.register(spark)
+    for wrong in ({"query": "x"}, {"base_url": "http://127.0.0.1:1", "query": " "}, {"base_url": "http://127.0.0.1:1", "query": "x", "page_size": "0"}):
+        with pytest.raises(Exception, match="must"):
+            spark.read.format("stallmark_pages").options(**wrong).load().count()
+    with pytest.raises(Exception, match="no connection"):
+        spark.read.format("stallmark_pages").options(base_url="http://127.0.0.1:9", query="x", max_attempts="1").load().count()
