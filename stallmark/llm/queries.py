@@ -77,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    model = toxicity.fit(docs, labels.where(~held_out))
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
