@@ -12,28 +12,31 @@ from stallmark.llm.spark import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled ones of these (but a fifth)."""
-    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.keep_harmless(docs, toxicity.fit(docs, labels))
+    """Documents that the classifier rejects go; it learns from the labelled ones of these (but a fifth).
+
+    Null texts are empty, repeated rows are judged alike; without any label every document stays.
+    """
+    learnt = remainder(F.col("doc_id"), 5) != 0
+    return toxicity.keep_harmless(docs, toxicity.fit(docs.where(learnt), table(spark, sf_dir, "labels").where(learnt)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, the one with the smallest id."""
+    """One document of each group of linked ones stays, the one with the smallest id; of repeated rows one. Texts without words and null ids stay."""
     return near_duplicates.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten words in a row with a benchmark item go."""
+    """Documents that share ten words in a row with a benchmark item go; null texts stay, and all do without items."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with pseudonyms in their texts."""
+    """All documents stay, repeated rows too, with pseudonyms in their texts; null texts stay null."""
     return pii.pseudonymise(docs, key=TEST_KEY).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, with an end id, and a hash of what they decode to."""
+    """The token ids of every text, with an end id, and a hash of what they decode to; null texts are empty. An empty table gives no row, here as in all stages."""
     encoded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), sentencepiece_bpe.load_model(model_path()), eos=True, decoded="decoded")
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
