@@ -39,15 +39,21 @@ class Result:
         return ranking.actionable(self.items)
 
 
-def analyze_listings(listings: DataFrame, config: PipelineConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items, listings) of listings with ``query`` and ``ordinal``; many queries run in one plan."""
+def analyze_listings(listings: DataFrame, config: PipelineConfig | None = None, *, searched: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, listings) of listings with ``query`` and ``ordinal``; many queries run in one plan.
+
+    With ``searched``, the one query that was searched for, listings have their ``classification`` too.
+    """
     c = config or PipelineConfig()
-    grouped = deduplicate.assign_groups(normalize.normalize(listings, c.normalization), c.deduplication)
+    normal = normalize.normalize(listings, c.normalization)
+    if searched is not None:
+        normal = normal.withColumn("classification", classify_title(F.col("n_title"), searched, c.classification))
+    grouped = deduplicate.assign_groups(normal, c.deduplication)
     keys = ["query", "leader"]
     groups = deduplicate.canonical(grouped, c.deduplication)
     prices = pricing.market_prices(pricing.comparables(grouped).select(*keys, "price", "currency", "weight"), keys, c.pricing)
     priced = pricing.attach_prices(groups, prices, keys, c.pricing)
-    flat = priced.select(*keys, "group_size", "fingerprint", "is_duplicate", "providers", "market", F.col("market.comparable_count").alias("comparable_count"), *(F.col(f"c.{x}").alias(x) for x in ("listing_id", "title", "provider", "price", "currency", "classification") if x != "classification" or "classification" in grouped.columns))
+    flat = priced.select(*keys, "group_size", "fingerprint", "is_duplicate", "providers", "market", F.col("market.comparable_count").alias("comparable_count"), *(F.col(f"c.{x}").alias(x) for x in ("listing_id", "title", "provider", "price", "currency")))
     scored = opportunity.score(opportunity.analyze(flat, c.opportunity), c.scoring)
     return ranking.with_rank(scored), grouped
 
@@ -61,7 +67,4 @@ class Pipeline:
 
     def analyze(self, query: str) -> Result:
         listings = scan(self.spark, query, self.sources, scan_limit(self.config))
-        normal = normalize.normalize(listings, self.config.normalization)
-        classified = normal.select("listing_id", "provider", "ordinal", classify_title(F.col("n_title"), query, self.config.classification).alias("classification"))
-        items, grouped = analyze_listings(listings, self.config)
-        return Result(query, items, grouped.join(classified, ["listing_id", "provider", "ordinal"], "left"))
+        return Result(query, *analyze_listings(listings, self.config, searched=query))
