@@ -1,7 +1,10 @@
 """Market prices: one currency for each group, outliers removed, robust statistics.
 
 Rows are first added up by price, before the shuffle; all further steps are
-windows and aggregates over the same keys, which share one more exchange.
+windows and aggregates over the same keys, which share one more exchange. A group with
+more than ``LARGE`` prices is not brought together: its prices are sorted in ranges, running
+counts go from range to range by their sums, and quartiles, medians and trims are the
+prices at the places so known.
 """
 
 from __future__ import annotations
@@ -11,6 +14,12 @@ from pyspark.sql import functions as F
 
 from ..config import PricingConfig
 from ..functions.rounding import money
+from ..shared import cut, cut_counted
+
+#: A group with more distinct prices is ranked in ranges, by many tasks.
+LARGE = 100_000
+#: A list of at most so many large groups goes to all tasks.
+_LISTED = 10_000
 
 
 def comparables(listings: DataFrame) -> DataFrame:
@@ -81,35 +90,96 @@ def strategy_column(config: PricingConfig) -> Column:
     return F.try_divide(exact_sum(price * inside), F.sum(inside))
 
 
-def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None = None) -> DataFrame:
-    """A row for each group with a price of the chosen currency.
+def percentile_by_place(p: float) -> Column:
+    """What ``F.percentile`` gives for price, as an aggregate that holds two prices, over rows that know ``upto`` and ``kept``, the running and the whole count."""
+    place = (F.col("kept") - 1) * F.lit(p)
+    at = lambda i: F.max(F.when((F.col("upto") - F.col("c") <= i) & (i < F.col("upto")), F.col("price")))
+    low, high, whole = at(F.floor(place)), at(F.ceil(place)), F.max(place)
+    return F.when(low == high, low).otherwise((F.ceil(whole) - whole) * low + (whole - F.floor(whole)) * high)
 
-    Columns: keys, currency, estimated_market_price, min_price, max_price,
-    median_price, mean_price, comparable_count, outliers_removed,
-    confidence_score, reliable, strategy. ``df`` has keys, price, currency, weight.
+
+def in_ranges(priced: DataFrame, keys: list[str]) -> DataFrame:
+    """``by_price`` rows in ranges of (keys, currency, price), with ``_group`` (keys and currency) and the number of the range; no range has more than a task's share of a group."""
+    ranged = priced.repartitionByRange(*keys, "currency", "price").withColumn("_range", F.spark_partition_id())
+    return cut(ranged.withColumn("_group", F.struct(F.struct(*keys).alias("keys"), "currency")))
+
+
+def kept_in_ranges(priced: DataFrame, keys: list[str], config: PricingConfig) -> DataFrame:
+    """The rows of the chosen currency inside the fences, with ``n``, ``upto`` and ``kept``, for groups of any size.
+
+    What is known of a group meets its rows by (group, range), so that no join or window has all of its rows.
     """
-    c = config or PricingConfig()
+    c, group = config, Window.partitionBy("_group")
+    ranged = in_ranges(priced, keys)
+    sizes = ranged.groupBy("_group", "_range").agg(F.sum("c").alias("_n")).withColumns({"_keys": F.col("_group.keys"), "currency": F.col("_group.currency")})
+    chosen = select_currency(sizes, ["_keys"], c.currency, F.col("_n"))
+    before = F.sum("_n").over(group.orderBy("_range")) - F.col("_n")
+    chosen = cut(chosen.select("_group", "_range", before.alias("_before"), F.sum("_n").over(group).alias("n")))
+    running = F.col("_before") + F.sum("c").over(Window.partitionBy("_group", "_range").orderBy("price"))
+    inside = cut(ranged.join(chosen, ["_group", "_range"]).withColumn("upto", running).drop("_before"))
+    if c.remove_outliers:
+        fences = inside.withColumn("kept", F.col("n")).groupBy("_group").agg(percentile_by_place(0.25).alias("q1"), percentile_by_place(0.75).alias("q3"))
+        fences = chosen.select("_group", "_range").join(fences, "_group")
+        margin = c.iqr_multiplier * (F.col("q3") - F.col("q1"))
+        between = F.col("price").between(F.col("q1") - margin, F.col("q3") + margin)
+        inside = inside.join(fences, ["_group", "_range"]).where(between | (F.col("n") < 4)).drop("q1", "q3")
+    left = inside.groupBy("_group", "_range").agg(F.min(F.col("upto") - F.col("c")).alias("_first"), F.sum("c").alias("_n"))
+    left = left.select("_group", "_range", F.min("_first").over(group).alias("_below"), F.sum("_n").over(group).alias("kept"))
+    return inside.join(left, ["_group", "_range"]).withColumn("upto", F.col("upto") - F.col("_below")).drop("_below", "_group", "_range")
+
+
+def kept_together(priced: DataFrame, keys: list[str], config: PricingConfig) -> DataFrame:
+    """As ``kept_in_ranges`` for groups that fit a task; ``upto`` and ``kept`` only for a trimmed mean."""
     count = F.col("c")
-    priced = by_price(df, keys).repartition(*keys)  # serves all windows and the aggregate below
-    kept = strip_outliers(select_currency(priced, keys, c.currency, count), keys, c, count)
-    if c.strategy == "trimmed_mean":
+    priced = priced.repartition(*keys)  # serves all windows and the aggregate of the statistics
+    kept = strip_outliers(select_currency(priced, keys, config.currency, count), keys, config, count)
+    if config.strategy == "trimmed_mean":
         group = Window.partitionBy(*keys)
         kept = kept.withColumn("upto", F.sum("c").over(group.orderBy("price"))).withColumn("kept", F.sum("c").over(group))
-    price = F.col("price")
-    own = callable(c.strategy)
-    stats = kept.groupBy(*keys).agg(
+    return kept
+
+
+def _statistics(kept: DataFrame, keys: list[str], config: PricingConfig, ranked: bool) -> DataFrame:
+    """A row for each group of kept rows; ``ranked`` ones know their places."""
+    price, count = F.col("price"), F.col("c")
+    median = percentile_by_place(0.5) if ranked else F.percentile(price, F.lit(0.5), count)
+    estimate = F.lit(None).cast("double") if callable(config.strategy) else median if config.strategy == "median" else strategy_column(config)
+    return kept.groupBy(*keys).agg(
         F.first("currency").alias("currency"),
-        (F.lit(None) if own else strategy_column(c)).alias("e"),
+        estimate.alias("e"),
         F.min(price).alias("lo"),
         F.max(price).alias("hi"),
-        F.percentile(price, F.lit(0.5), count).alias("md"),
+        median.alias("md"),
         F.try_divide(exact_sum(price * count), F.sum("c")).alias("mean"),
         F.sum("c").alias("comparable_count"),
         F.first("n").alias("n"),
     )
-    if own:  # an aggregate of one's own sees the listings themselves
+
+
+def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None = None, *, large: int = LARGE) -> DataFrame:
+    """A row for each group with a price of the chosen currency.
+
+    Columns: keys, currency, estimated_market_price, min_price, max_price,
+    median_price, mean_price, comparable_count, outliers_removed,
+    confidence_score, reliable, strategy. ``df`` has keys, price, currency, weight.
+    A group with more than ``large`` distinct prices is ranked by many tasks; its figures are the same.
+    """
+    c = config or PricingConfig()
+    priced = cut(by_price(df, keys).withColumn("_keys", F.struct(*keys)))
+    crowded, n_crowded = cut_counted(priced.groupBy("_keys").agg(F.count("*").alias("m")).where(F.col("m") > large).select("_keys"))
+    rest = priced
+    if n_crowded:
+        listed = F.broadcast(crowded) if n_crowded <= _LISTED else crowded
+        rest = priced.join(listed, "_keys", "left_anti")
+    kept = kept_together(rest.drop("_keys"), keys, c)
+    stats = _statistics(kept, keys, c, ranked=False)
+    if n_crowded:
+        ranked = kept_in_ranges(priced.join(listed, "_keys", "left_semi").drop("_keys"), keys, c)
+        stats = stats.unionByName(_statistics(ranked, keys, c, ranked=True))
+        kept = kept.unionByName(ranked, allowMissingColumns=True)
+    if callable(c.strategy):  # an aggregate of one's own sees the listings themselves
         rows = df.join(kept.select(*keys, "currency", "price"), [*keys, "currency", "price"], "left_semi")
-        stats = stats.drop("e").join(rows.groupBy(*keys).agg(c.strategy(price, F.col("weight")).alias("e")), keys)
+        stats = stats.drop("e").join(rows.groupBy(*keys).agg(c.strategy(F.col("price"), F.col("weight")).alias("e")), keys)
     spread = F.when((F.col("comparable_count") > 1) & (F.col("mean") > 0), 1 / (1 + F.try_divide(F.col("hi") - F.col("lo"), F.col("mean")))).otherwise(1.0)
     confidence = money(F.least(F.lit(1.0), F.col("comparable_count") / c.confidence_full_count) * spread, 4)
     shown = {"estimated_market_price": "e", "min_price": "lo", "max_price": "hi", "median_price": "md", "mean_price": "mean"}

@@ -152,6 +152,36 @@ def test_group_without_price(spark):
     assert got["a"].estimated_market_price == 5 and got["b"].estimated_market_price is None and got["b"].comparable_count == 0 and got["b"].strategy == "median"
 
 
+@pytest.mark.parametrize("config", [PricingConfig(), PricingConfig(strategy="trimmed_mean", trim_fraction=0.15), PricingConfig(strategy="weighted_average", remove_outliers=False), PricingConfig(currency="USD"), PricingConfig(strategy=lambda p, w: F.max(p))], ids=["median", "trimmed", "weighted", "currency", "own"])
+def test_large_groups_have_the_figures_of_small_ones(spark, monkeypatch, config):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(7)
+    rows = [(g, float(round(rng.lognormvariate(4, 1), 2)), rng.choice(["EUR", "EUR", "USD"]), rng.choice([1.0, 0.5, 2.0])) for g, n in (("a", 900), ("b", 701), ("c", 5), ("d", 3), ("e", 1), (None, 300)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("f", 5.0, None, 1.0), ("c", None, "EUR", 1.0)], "g string, price double, currency string, weight double")
+    try:
+        key = lambda r: (r.g is None, r.g)
+        want = sorted(pricing.market_prices(df, ["g"], config).collect(), key=key)
+        for large, listed in ((0, 10_000), (400, 0)):
+            monkeypatch.setattr(pricing, "_LISTED", listed)
+            assert sorted(pricing.market_prices(df, ["g"], config, large=large).collect(), key=key) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_range_has_a_whole_large_group(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1_000_000).select(F.lit("g").alias("g"), (100 + F.col("id") / 1000).alias("price"), F.lit("EUR").alias("currency"), F.lit(1.0).alias("weight"))
+        sizes = [r["count"] for r in pricing.in_ranges(pricing.by_price(df, ["g"]), ["g"]).groupBy("_range").count().collect()]
+        assert sum(sizes) == 1_000_000 and max(sizes) < 150_000
+        got = pricing.market_prices(df, ["g"], PricingConfig(strategy="trimmed_mean", trim_fraction=0.25)).first()
+        assert (got.median_price, got.mean_price, got.estimated_market_price, got.comparable_count, got.outliers_removed) == (600.0, 600.0, 600.0, 1_000_000, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 FREE = OpportunityConfig(marketplace_fee_rate=0, payment_fee_rate=0, payment_fee_flat=0, shipping_cost=0, packaging_cost=0, buffer_rate=0)
 
 
