@@ -292,6 +292,13 @@ def custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.market_prices(q._priced(spark, sf_dir), q.KEYS, capped).select("part_id", "currency", "estimated_market_price", "comparable_count")
 
 
+def condition_price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trimmed means of each raw condition, whose groups hold a quarter or more of all rows: ranked by many tasks."""
+    priced = q.listings(spark, sf_dir).where("price is not null").withColumn("currency", text.currency_code(F.col("currency")))
+    priced = priced.select("condition", "price", "currency", F.col("weight").cast("double").alias("weight"))
+    return pricing.market_prices(priced, ["condition"], PricingConfig(strategy="trimmed_mean"), large=500).drop("strategy")
+
+
 def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, listings and removed duplicates of each brand's parts."""
     return deduplicate.totals(deduplicate.canonical(deduplicate.assign_groups(q.parts_to_group(spark, sf_dir))))
@@ -320,8 +327,9 @@ SQL = {
     "sorted_opportunities": _SORTED_SQL,
     "brand_pairs": _BRAND_SQL,
     "default_term_classes": _terms_sql(),
+    "condition_price_stats": f"WITH {q._FENCED_SQL.replace('l_partkey AS part_id', 'condition AS part_id')} SELECT {q._PRICE_COLUMNS.format(e='trimmed_price').replace('part_id', 'part_id AS condition', 1)} FROM prices",
     "custom_strategy": f"WITH {q._FENCED_SQL} SELECT part_id, currency, least(max_price, 1000.0) AS estimated_market_price, comparable_count FROM prices",
     "dedup_groups": f"WITH {_GROUPS_SQL} SELECT query, leader, c.id AS canonical, group_size, substr(sha256('tokens=' || array_to_string(c.ta, ' ') || '|currency=EUR|condition=new'), 1, 16) AS fingerprint FROM grouped",
     "dedup_totals": f"WITH {_GROUPS_SQL} SELECT query, count(*) AS total_groups, sum(group_size)::BIGINT AS total_input, (sum(group_size) - count(*))::BIGINT AS duplicates_removed FROM grouped GROUP BY query",
 }
-QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, registered_sources, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, dedup_totals)}
+QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, registered_sources, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, condition_price_stats, dedup_totals)}

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -355,6 +358,40 @@ def test_history_is_safe_for_several_writers(spark, tmp_path):
         History(spark, str(tmp_path / "h"))
 
 
+KILLED_WHILE_SAVING = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from stallmark.config import PipelineConfig
+from stallmark.plans.history import History
+from stallmark.plans.pipeline import Pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[3]).getOrCreate()
+History._refuse_deleted = lambda self, ids: os._exit(9)  # items are written, the row of the run is not
+History(spark, sys.argv[2]).save(Pipeline(spark, PipelineConfig(scan_limit=1)).analyze("rtx 4090"))
+"""
+
+
+def test_deleted_and_unfinished_runs_leave_nothing(spark, tmp_path):
+    root, folder = Path(__file__).resolve().parents[1], tmp_path / "h"
+    killed = subprocess.run([sys.executable, "-c", KILLED_WHILE_SAVING, str(root), str(folder), str(tmp_path / "c")], capture_output=True, timeout=600)
+    assert killed.returncode == 9 and list((folder / "opportunities" / "run_id=1").glob("*.parquet"))
+    history = History(spark, str(folder))
+    assert history.get_run(1) is None and history.list_opportunities(1).count() == 0  # no reader sees half a run
+    result = Pipeline(spark, PipelineConfig(scan_limit=1)).analyze("rtx 4090")
+    assert history.save(result) == 2 and history.clean_up(older_than=3600) == []  # the first may still be at work
+    (folder / "opportunities" / "_temporary").mkdir()
+    assert history.clean_up(older_than=0) == [1] and history.clean_up(older_than=0) == []
+    assert [p.name for p in (folder / "opportunities").iterdir() if p.is_dir()] == ["run_id=2"]
+    assert history.list_opportunities(2).count() > 0 and history.delete_run(2) and not history.delete_run(2) and not history.delete_run(1)
+    assert history.list_runs().count() == 0 and history.list_opportunities(2).count() == 0 and not (folder / "opportunities" / "run_id=2").exists()
+    late = History(spark, str(folder))
+    ids = late._claim(1)
+    assert ids == [3] and history.clean_up(older_than=0) == [3]
+    with pytest.raises(RuntimeError, match="deleted while"):
+        late._refuse_deleted(ids)
+    assert late.save(result) == 4 and late.get_run(4).total_listings_scanned == 4
+
+
 def test_import_of_a_single_file_history(spark, tmp_path):
     import sqlite3
 
