@@ -6,10 +6,12 @@ level are one paragraph, however they are wrapped (an empty line ends it), and
 each sentence of a quoted paragraph is a passage; normalised (lower case, single spaces) and
 hashed it meets the first message of the conversation that has the same sentence, or the same
 line, in its own words. A message replies to the earlier one of which it
-quotes most passages at the lowest level. Without quotation it follows the message before.
+quotes most passages at the lowest level. Without quotation it begins a thread, at its own turn; a thread is a message
+with the replies to it, each followed by its own replies.
 
 Passages are aggregated before each join: one that a million messages share is one
-row. The place of a message in its conversation is counted over ranges of the sorted rows,
+row. The order inside threads takes rounds that grow with the logarithm of their depth, over replies alone, and
+no row holds a path. The place of a message in its conversation is counted over ranges of the sorted rows,
 so that no task has a whole conversation.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import cut
+from .spark import cut, cut_seen
 
 _MARK = r"^[ \t]*(?:>[ \t]*)+"
 _ANNOUNCED = r"^On .*wrote:\s*$"
@@ -79,13 +81,13 @@ def _hashed(passage: str) -> Column:
 
 
 def replies(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row for each row: ``conv_id, turn, role, text, level, n_quoted, n_linked, parent, after, position``.
+    """A row for each row: ``conv_id, turn, role, text, level, n_quoted, n_linked, parent, thread, position``.
 
     ``text`` is without quotations, ``level`` the deepest quotation level,
     ``n_quoted`` the number of quoted passages, ``n_linked`` those found in an
     earlier message, ``parent`` the turn replied to (null if none is quoted),
-    ``after`` the sort key in front of turn and ``position`` the place, from 1, of the message in its
-    conversation ordered by (after, turn, role, text): each message is behind the one that it replies to.
+    ``thread`` the turn of the message that its thread begins with (its own without a parent) and ``position`` the place, from 1, of the message in its
+    conversation: threads by turn, in each a message before its replies, these by turn, each with all that replies to it before the next; rows of one turn by role and text.
     Of several messages with a passage the first one has it; of parents with equally many passages
     at the lowest level the last. Null and empty
     texts have no passages; a message with a null conversation or turn links with nothing and has no position;
@@ -104,16 +106,51 @@ def replies(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn"
     votes = cut(met.groupBy("c", "t", "level", "source").agg(F.sum("n").alias("n")))
     best = F.min_by("source", F.struct("level", -F.col("n"), -F.col("source"))).alias("parent")
     link = votes.groupBy("c", "t").agg(F.max("level").alias("level"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"))
-    parent = votes.where("source is not null").groupBy("c", "t").agg(best)
+    parent, seen = cut_seen(votes.where("source is not null").groupBy("c", "t").agg(best))
     out = base.join(link.join(parent, ["c", "t"], "left"), ["c", "t"], "left")
-    out = out.select("c", "t", "r", own_words(F.col("x")).alias("text"), F.coalesce("level", F.lit(0)).alias("level"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_quoted", "n_linked")), "parent", F.coalesce("parent", "t").alias("after"))
-    return _placed(out).withColumnsRenamed({"c": conv_id, "t": turn, "r": role})
+    out = out.select("c", "t", "r", own_words(F.col("x")).alias("text"), F.coalesce("level", F.lit(0)).alias("level"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_quoted", "n_linked")), "parent")
+    if seen["n"]:
+        out = out.join(_threads(parent), ["c", "t"], "left").withColumns({"thread": F.coalesce("thread", "t"), "place": F.coalesce("place", F.lit(0))})
+    else:
+        out = out.withColumns({"thread": F.col("t"), "place": F.lit(0)})
+    return _placed(out).drop("place").withColumnsRenamed({"c": conv_id, "t": turn, "r": role})
+
+
+def _threads(links: DataFrame) -> DataFrame:
+    """(c, t, thread, place) of each message with a parent: the turn that its thread begins with, and its place there, from 1, each reply before the next sibling.
+
+    The place of a reply is that of its parent, and one, and the sizes of its earlier siblings with all that replies to them. Sizes and sums along
+    ancestors are added up by pointers that jump twice as far in each round, until all are at a beginning.
+    """
+    upward = lambda df, *more: df.select("c", F.col("t").alias("up"), F.col("up").alias("next"), *more)
+    nodes = links.select("c", "t", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
+    left = 1
+    while left:
+        below = nodes.where("up is not null").groupBy("c", F.col("up").alias("t")).agg(F.sum("size").alias("more"))
+        met = nodes.join(below, ["c", "t"], "left").join(upward(nodes), ["c", "up"], "left")
+        nodes, seen = cut_seen(met.select("c", "t", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), F.count("up").alias("left"))
+        left = seen["left"]
+    # Sums over earlier siblings, in ranges: a message may have any number of replies.
+    ranged = links.join(nodes.select("c", "t", "size"), ["c", "t"]).repartitionByRange("c", "parent", "t")
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("c", "parent", "_range").agg(F.sum("size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("c", "parent").orderBy("_range")) - F.col("_sum")
+    sums = sums.select("c", "parent", "_range", before.alias("_before"))
+    own = F.sum("size").over(Window.partitionBy("c", "parent", "_range").orderBy("t")) - F.col("size")
+    placed = ranged.join(sums, ["c", "parent", "_range"]).withColumn("place", F.col("_before") + own + 1)
+    nodes, left = cut(placed.select("c", "t", F.col("parent").alias("up"), F.col("parent").alias("thread"), "place")), 1
+    while left:
+        met = nodes.join(upward(nodes, F.col("thread").alias("_thread"), F.col("place").alias("_place")), ["c", "up"], "left")
+        place, thread = F.col("place") + F.coalesce("_place", F.lit(0)), F.coalesce("_thread", "thread")
+        nodes, seen = cut_seen(met.select("c", "t", F.col("next").alias("up"), thread.alias("thread"), place.alias("place")), F.count("up").alias("left"))
+        left = seen["left"]
+    return nodes.select("c", "t", "thread", "place")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """rows with ``position``: counted in each range of the sorted rows, and from range to range by their sums."""
     lone = F.col("c").isNull() | F.col("t").isNull()
-    ordered = rows.where(~lone).repartitionByRange("c", "after", "t", "r").sortWithinPartitions("c", "after", "t", "r", "text")
+    ordered = rows.where(~lone).repartitionByRange("c", "thread", "place", "t", "r").sortWithinPartitions("c", "thread", "place", "t", "r", "text")
     ordered = cut(ordered.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     ranges = ordered.groupBy("c", "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("c").orderBy("_range")) - F.col("_n")
@@ -123,5 +160,5 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, *, conv_id: str = "conv_id", **names) -> DataFrame:
-    """The rows of ``replies`` in reply order, by a range sort that splits long conversations too."""
+    """The rows of ``replies`` thread by thread, by a range sort that splits long conversations too."""
     return replies(messages, conv_id=conv_id, **names).orderBy(conv_id, "position")

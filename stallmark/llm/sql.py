@@ -68,7 +68,7 @@ SELECT page_id, f.host, path, f.f.r AS rule, coalesce(f.f.a, CASE WHEN v.good TH
 _MARK = r"'^[ \t]*(?:>[ \t]*)+'"
 _LEVEL = f"length(regexp_replace(regexp_extract(l, {_MARK}), '[^>]', '', 'g'))"
 OP8 = rf"""
-WITH base AS (SELECT conv_id AS c, turn AS t, role AS r, list_filter(string_split_regex(coalesce(text, ''), '\r?\n'), lambda y: NOT regexp_matches(y, '^On .*wrote:\s*$')) AS x FROM conversations),
+WITH RECURSIVE base AS (SELECT conv_id AS c, turn AS t, role AS r, list_filter(string_split_regex(coalesce(text, ''), '\r?\n'), lambda y: NOT regexp_matches(y, '^On .*wrote:\s*$')) AS x FROM conversations),
 marked AS (SELECT c, t, list_transform(x, lambda l: {_LEVEL}) AS lv, list_transform(x, lambda l: trim(regexp_replace(lower(regexp_replace(l, {_MARK}, '')), '\s+', ' ', 'g'))) AS bd FROM base WHERE c IS NOT NULL AND t IS NOT NULL),
 starts AS (SELECT *, list_filter(range(1, len(lv) + 1), lambda i: i = 1 OR lv[i] <> lv[i - 1] OR bd[i - 1] = '') AS s FROM marked),
 runs AS (SELECT c, t, unnest(list_transform(range(1, len(s) + 1), lambda k: {{'level': lv[s[k]], 'lines': list_filter(bd[s[k]:coalesce(s[k + 1], len(lv) + 1) - 1], lambda y: y <> '')}})) AS p FROM starts),
@@ -79,10 +79,12 @@ met AS (SELECT q.c, q.t, level, n, CASE WHEN source < q.t THEN source END AS sou
 votes AS (SELECT c, t, level, source, sum(n) AS n FROM met GROUP BY ALL),
 link AS (SELECT c, t, max(level) AS level, sum(n) AS n_quoted, sum(CASE WHEN source IS NOT NULL THEN n ELSE 0 END) AS n_linked FROM votes GROUP BY ALL),
 parent AS (SELECT c, t, arg_min(source, (level, -n, -source)) AS parent FROM votes WHERE source IS NOT NULL GROUP BY ALL),
+paths AS (SELECT c, t, [parent, t] AS path FROM parent p WHERE NOT EXISTS (SELECT 1 FROM parent o WHERE o.c = p.c AND o.t = p.parent)
+  UNION ALL SELECT p.c, p.t, list_append(path, p.t) FROM paths w JOIN parent p ON p.c = w.c AND p.parent = w.t),
 out AS (SELECT b.c AS conv_id, b.t AS turn, r AS role, trim(array_to_string(list_filter(x, lambda l: {_LEVEL} = 0), chr(10))) AS text,
-  coalesce(l.level, 0) AS level, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, parent, coalesce(parent, b.t) AS after
-  FROM base b LEFT JOIN link l ON l.c = b.c AND l.t = b.t LEFT JOIN parent p ON p.c = b.c AND p.t = b.t)
-SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY after, turn, role NULLS FIRST, text) END AS position FROM out
+  coalesce(l.level, 0) AS level, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, parent, coalesce(path[1], b.t) AS thread, coalesce(path, [b.t]) AS path
+  FROM base b LEFT JOIN link l ON l.c = b.c AND l.t = b.t LEFT JOIN parent p ON p.c = b.c AND p.t = b.t LEFT JOIN paths w ON w.c = b.c AND w.t = b.t)
+SELECT * EXCLUDE (path), CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY path, role NULLS FIRST, text) END AS position FROM out
 """
 
 OP13 = r"""

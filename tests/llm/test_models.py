@@ -261,13 +261,36 @@ def test_rewrapped_and_partial_quotations(spark):
     assert quotations.replies(df.where("false")).count() == 0
 
 
+def threads():
+    """Conversation 50: 6 replies to 5, 5 and 7 to 1, 3 to 2; conversation 51: each of 40 messages replies to the one before; 52: each to one of the first."""
+    says = lambda t, p: f"> sentence {p}\nsentence {t}" if p is not None else f"sentence {t}"
+    small = [(50, t, "a", says(t, p)) for t, p in {1: None, 2: None, 3: 2, 4: None, 5: 1, 6: 5, 7: 1}.items()]
+    chain = [(51, t, "a", says(t, t - 1 if t else None)) for t in range(40)]
+    rng = random.Random(3)
+    return small + chain + [(52, t, "b", says(t, rng.randrange(t // 2 + 1) if t > 2 else None)) for t in range(60)]
+
+
+def test_threads_stay_together(spark):
+    df = spark.createDataFrame(threads() + threads()[:3], "conv_id long, turn long, role string, text string")
+    out = quotations.replies(df.repartition(7)).orderBy("conv_id", "position").collect()
+    small = [(r.turn, r.thread) for r in out if r.conv_id == 50]
+    assert small == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (2, 2), (2, 2), (3, 2), (3, 2), (4, 4)]
+    assert [(r.turn, r.thread, r.position) for r in out if r.conv_id == 51] == [(t, 0, t + 1) for t in range(40)]
+    parents = {r.turn: r.parent for r in out if r.conv_id == 52}
+
+    def walk(t):
+        return [t, *(x for child in sorted(c for c, p in parents.items() if p == t) for x in walk(child))]
+
+    assert [r.turn for r in out if r.conv_id == 52] == [x for t, p in sorted(parents.items()) if p is None for x in walk(t)]
+
+
 def test_quotations_by_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from stallmark.llm.sql import OP8
 
     rng = random.Random(5)
     said = ["Yes.", "no", "Maybe so. Or not?", "a b c", "Long words! in\nlines", ""]
-    rows = quoted_messages() + [(10 + c, t, rng.choice("ab"), "\n".join(rng.choice(["", "> ", ">> ", "> "]) + rng.choice(said) for _ in range(rng.randrange(5)))) for c in range(12) for t in range(rng.randrange(9))]
+    rows = quoted_messages() + threads() + [(10 + c, t, rng.choice("ab"), "\n".join(rng.choice(["", "> ", ">> ", "> "]) + rng.choice(said) for _ in range(rng.randrange(5)))) for c in range(12) for t in range(rng.randrange(9))]
     df = spark.createDataFrame(rows + rows[:4], "conv_id long, turn long, role string, text string")
     conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
     db = duckdb.connect()
