@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import cut, cut_seen
+from .spark import cut, cut_seen, small
 
 _MARK = r"^[ \t]*(?:>[ \t]*)+"
 _ANNOUNCED = r"^On .*wrote:\s*$"
@@ -99,9 +99,9 @@ def replies(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn"
     quoted = parts.where("level > 0").select("c", "t", "level", F.explode(sentences(F.col("lines"))).alias("p"))
     quoted = cut(quoted.select("c", "t", "level", _hashed("p")).groupBy("c", "t", "level", "h").agg(F.count("*").alias("n")))
     # Only passages that someone quotes are looked for.
-    wanted = cut(quoted.select("c", "h").distinct())
+    wanted, seen = cut_seen(quoted.select("c", "h").distinct())
     own = parts.where("level = 0").select("c", "t", F.explode(F.array_union(sentences(F.col("lines")), "lines")).alias("p")).select("c", "t", _hashed("p"))
-    own = cut(own.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("source")))
+    own = cut(own.join(small(wanted, seen["n"]), ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("source")))
     met = quoted.join(own, ["c", "h"], "left").withColumn("source", F.when(F.col("source") < F.col("t"), F.col("source")))
     votes = cut(met.groupBy("c", "t", "level", "source").agg(F.sum("n").alias("n")))
     best = F.min_by("source", F.struct("level", -F.col("n"), -F.col("source"))).alias("parent")
