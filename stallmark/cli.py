@@ -9,9 +9,9 @@ from collections.abc import Sequence
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from . import render
+from . import render, sinks
 from .config import PipelineConfig, load_pipeline_config
 from .logs import configure
 from .operators import compare as C
@@ -55,6 +55,9 @@ def parser() -> argparse.ArgumentParser:
     diff.add_argument("old_run_id", type=int)
     diff.add_argument("new_run_id", type=int)
     diff.add_argument("-f", "--format", choices=("table", "json", "csv", "markdown"), default="table")
+    for command in (scan, show, diff):
+        command.add_argument("--out", metavar="FOLDER", help="write all rows to a new folder (JSON lines with -f json, else CSV) and print the first ones")
+        command.add_argument("--rows", type=int, default=20, help="rows printed with --out (without it all are)")
     for command in (scan, history, show, diff):
         command.add_argument("--db", default=DEFAULT_HISTORY, help="folder of the history")
         command.add_argument("--debug", action="store_true", help="show tracebacks")
@@ -70,6 +73,15 @@ def config_summary(args: argparse.Namespace) -> str:
     return ", ".join(parts)
 
 
+def _rows(args: argparse.Namespace, ordered: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """The rows to print: all, or with ``--out`` the first ones, after the tasks have written all."""
+    if args.out:
+        sinks.write(ordered, args.format, args.out, columns)
+        print(f"wrote {args.out}", file=sys.stderr)
+        ordered = ordered.limit(args.rows)
+    return [r.asDict() for r in ordered.collect()]
+
+
 def run_scan(args: argparse.Namespace) -> None:
     config = load_pipeline_config(args.config) if args.config else PipelineConfig()
     if args.limit is not None:
@@ -80,7 +92,7 @@ def run_scan(args: argparse.Namespace) -> None:
     result = Pipeline(_session(), config).analyze(args.query)
     result = replace(result, items=result.items.persist())
     shown = ranking.select_items(result.items, actionable_only=args.actionable_only, min_recommendation=args.min_recommendation, min_roi=args.min_roi, min_net_profit=args.min_net_profit)
-    rows = [r.asDict() for r in shown.orderBy(*ranking.order(args.sort)).select(*ITEM).collect()]
+    rows = _rows(args, shown.orderBy(*ranking.order(args.sort)).select(*ITEM), render.CSV_COLUMNS)
     print(render.scan_result(args.format, args.query, rows, scanned=result.total_listings(), groups=result.total_groups(), counts=result.counts()))
     if args.save:
         run_id = History(_session(), args.db).save(result, config_summary=config_summary(args))
@@ -101,7 +113,7 @@ def _run(history: History, run_id: int) -> dict:
 def run_show(args: argparse.Namespace) -> None:
     history = History(_session(), args.db)
     run = _run(history, args.run_id)
-    print(render.stored_run(args.format, run, [r.asDict() for r in history.list_opportunities(args.run_id).collect()]))
+    print(render.stored_run(args.format, run, _rows(args, history.list_opportunities(args.run_id), list(render.SHOW_COLUMNS))))
 
 
 def run_compare(args: argparse.Namespace) -> None:
@@ -109,7 +121,7 @@ def run_compare(args: argparse.Namespace) -> None:
     old, new = _run(history, args.old_run_id), _run(history, args.new_run_id)
     deltas = C.compare(history.list_opportunities(args.old_run_id), history.list_opportunities(args.new_run_id)).persist()
     counts = {r.category: r.n for r in C.counts_by_category(deltas).collect()}
-    print(render.comparison(args.format, old, new, [r.asDict() for r in C.in_display_order(deltas).collect()], counts))
+    print(render.comparison(args.format, old, new, _rows(args, C.in_display_order(deltas), render.DELTA_COLUMNS), counts))
 
 
 def main(argv: Sequence[str] | None = None) -> int:

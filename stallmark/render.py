@@ -17,6 +17,7 @@ CSV_COLUMNS = ("recommendation", "recommendation_score", "title", "provider", "c
 RUN_COLUMNS = {"run_id": "RUN", "created_at": "CREATED", "query": "QUERY", "total_listings_scanned": "SCANNED", "total_groups": "GROUPS", "total_opportunities": "OPPS", "config_summary": "CONFIG"}
 SHOW_COLUMNS = {"rank": "RANK"} | COLUMNS | {"risk_score": "RISK"}
 METRIC_HEADS = {"recommendation_score": "SCORE", "roi_percentage": "ROI%", "net_profit": "NET", "confidence_score": "CONF", "risk_score": "RISK"}
+DELTA_COLUMNS = ["category", "key", "provider", "title", "reason", *(f"{m}_{x}" for m, _ in METRICS for x in ("old", "new", "delta"))]
 
 Record = Mapping[str, Any]
 
@@ -87,8 +88,7 @@ def comparison(form: str, old: Record, new: Record, deltas: Sequence[Record], co
         rows = [{k: d[k] for k in ("category", "key", "provider", "title", "reason")} | {"metrics": [{"name": m, "old": d[f"{m}_old"], "new": d[f"{m}_new"], "delta": d[f"{m}_delta"], "higher_is_better": up} for m, up in METRICS]} for d in deltas]
         return json.dumps({"old_run": dict(old), "new_run": dict(new), "counts": dict(counts), "deltas": rows}, indent=2)
     if form == "csv":
-        head = ["category", "key", "provider", "title", "reason", *(f"{m}_{x}" for m in metrics for x in ("old", "new", "delta"))]
-        return as_csv(head, [[d[k] for k in head] for d in deltas])
+        return as_csv(DELTA_COLUMNS, [[d[k] for k in DELTA_COLUMNS] for d in deltas])
     top = [f"compare run {old['run_id']} ({old['created_at']}) -> run {new['run_id']} ({new['created_at']})", f"old query: {old['query']!r} | new query: {new['query']!r}", "counts: " + ", ".join(f"{k}={v}" for k, v in counts.items())]
     heads = ["CATEGORY", "PROVIDER", "TITLE", *METRIC_HEADS.values()]
     rows = [[d["category"], d["provider"], d["title"], *(delta_cell(d[f"{m}_delta"]) for m in metrics)] for d in deltas]

@@ -1,5 +1,6 @@
 """Sources, history, configuration, command line, streaming and registered queries."""
 
+import csv
 import hashlib
 import json
 import subprocess
@@ -327,6 +328,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("scan", " ")[0] == 1 and run("scan", "x", "-c", "/none.toml")[0] == 1
 
 
+def test_whole_results_are_written_by_the_tasks(spark, tmp_path, capsys):
+    def run(*a):
+        assert cli.main([*a, "--db", str(tmp_path / "h")]) == 0
+        return capsys.readouterr()
+
+    def rows(folder, read):
+        return [r for p in sorted((tmp_path / folder).glob("part-*")) for r in read(p.read_text().splitlines())]
+
+    out = lambda name: ("--out", str(tmp_path / name))
+    shown = run("scan", "rtx 4090", "-l", "4", "-f", "csv", "-s", "net_profit", "--save", *out("scan"), "--rows", "2")
+    scanned = rows("scan", csv.DictReader)
+    printed = list(csv.DictReader(shown.out.splitlines()))
+    assert len(printed) == 2 and [r["title"] for r in printed] == [r["title"] for r in scanned[:2]] and len(scanned) > 2 and set(scanned[0]) == set(render.CSV_COLUMNS)
+    assert [r["reasons"] for r in printed] == [r["reasons"] for r in scanned[:2]] and f"wrote {tmp_path / 'scan'}" in shown.err
+    profits = [float(r["net_profit"]) for r in scanned if r["net_profit"]]
+    assert profits == sorted(profits, reverse=True)
+    shown = json.loads(run("show", "1", "-f", "json", *out("show"), "--rows", "1").out)
+    saved = rows("show", lambda lines: map(json.loads, lines))
+    assert len(shown["opportunities"]) == 1 and [r["rank"] for r in saved] == list(range(1, len(scanned) + 1))
+    text = run("compare", "1", "1", *out("compare"), "--rows", "1").out
+    assert f"unchanged={len(scanned)}" in text and [r["category"] for r in rows("compare", csv.DictReader)] == ["unchanged"] * len(scanned)
+    assert cli.main(["show", "1", "--db", str(tmp_path / "h"), *out("show")]) == 1 and "error" in capsys.readouterr().err  # never overwritten
+
+
 def test_rendering():
     assert render.cell(None) == "-" and render.cell(1.0) == "1.00" and render.cell(3) == "3"
     assert render.table(["A", "BB"], [["1", "2"]]).split("\n") == ["A  BB", "-  --", "1  2 "]
