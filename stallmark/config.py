@@ -144,11 +144,23 @@ class DeduplicationConfig:
     provider_priority: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class PairStrategy:
+    """A price strategy in Python: ``update(state, prices, counts)`` adds arrays of distinct prices, ascending, with their counts to a state of
+    bounded size, ``merge`` adds two states up, ``finish`` gives the price or None. States are pickled between tasks."""
+
+    name: str
+    start: Callable[[], Any]
+    update: Callable[[Any, Any, Any], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], float | None]
+
+
 @dataclass(frozen=True)
 class PricingConfig:
-    """``strategy`` is a name, or a function from the price and weight columns to an aggregate."""
+    """``strategy`` is a name, a function from the price and weight columns to an aggregate, or one in Python."""
 
-    strategy: str | Callable[[Column, Column], Column] = "median"
+    strategy: str | Callable[[Column, Column], Column] | PairStrategy = "median"
     trim_fraction: float = 0.1
     min_comparables: int = 3
     remove_outliers: bool = True
@@ -156,8 +168,14 @@ class PricingConfig:
     currency: str | None = None
     confidence_full_count: int = 5
 
+    @property
+    def strategy_name(self) -> str:
+        if isinstance(self.strategy, str):
+            return self.strategy
+        return self.strategy.name if isinstance(self.strategy, PairStrategy) else getattr(self.strategy, "__name__", "custom")
+
     def __post_init__(self) -> None:
-        _need(callable(self.strategy) or self.strategy in STRATEGIES, f"'strategy' must be one of {', '.join(STRATEGIES)}")
+        _need(callable(self.strategy) or isinstance(self.strategy, PairStrategy) or self.strategy in STRATEGIES, f"'strategy' must be one of {', '.join(STRATEGIES)}")
         _need(0 <= self.trim_fraction < 0.5, "trim_fraction must be in [0, 0.5)")
         _need(self.min_comparables >= 1, "min_comparables must be >= 1")
         _need(self.iqr_multiplier > 0, "iqr_multiplier must be positive")

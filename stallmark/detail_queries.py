@@ -13,6 +13,7 @@ from .config import ACCESSORY_TERMS, BRANDS, EXCLUDED_TERMS, PART_TERMS, Dedupli
 from .functions import similarity, terms, text
 from .functions.rounding import fixed
 from .operators import compare, deduplicate, pricing, ranking
+from .operators.pair_strategies import modal_price
 from .plans.history import History
 from .plans.pipeline import Result
 from .shared import cut, numbered
@@ -292,6 +293,11 @@ def custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.market_prices(q._priced(spark, sf_dir), q.KEYS, capped).select("part_id", "currency", "estimated_market_price", "comparable_count")
 
 
+def modal_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the most usual price band of each part, by a strategy in Python whose states are merged."""
+    return pricing.market_prices(q._priced(spark, sf_dir), q.KEYS, PricingConfig(strategy=modal_price(50))).select("part_id", "currency", "estimated_market_price", "comparable_count", "strategy")
+
+
 def condition_price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed means of each raw condition, whose groups hold a quarter or more of all rows: ranked by many tasks."""
     priced = q.listings(spark, sf_dir).where("price is not null").withColumn("currency", text.currency_code(F.col("currency")))
@@ -327,9 +333,10 @@ SQL = {
     "sorted_opportunities": _SORTED_SQL,
     "brand_pairs": _BRAND_SQL,
     "default_term_classes": _terms_sql(),
+    "modal_prices": f"WITH {q._FENCED_SQL}, bands AS (SELECT part_id, floor(price / 50) AS b, count(*) AS m FROM kept GROUP BY ALL), modes AS (SELECT part_id, arg_min(b, (-m, b)) AS b FROM bands GROUP BY part_id) SELECT part_id, currency, (b + 0.5) * 50 AS estimated_market_price, comparable_count, 'modal_price' AS strategy FROM prices JOIN modes USING (part_id)",
     "condition_price_stats": f"WITH {q._FENCED_SQL.replace('l_partkey AS part_id', 'condition AS part_id')} SELECT {q._PRICE_COLUMNS.format(e='trimmed_price').replace('part_id', 'part_id AS condition', 1)} FROM prices",
     "custom_strategy": f"WITH {q._FENCED_SQL} SELECT part_id, currency, least(max_price, 1000.0) AS estimated_market_price, comparable_count FROM prices",
     "dedup_groups": f"WITH {_GROUPS_SQL} SELECT query, leader, c.id AS canonical, group_size, substr(sha256('tokens=' || array_to_string(c.ta, ' ') || '|currency=EUR|condition=new'), 1, 16) AS fingerprint FROM grouped",
     "dedup_totals": f"WITH {_GROUPS_SQL} SELECT query, count(*) AS total_groups, sum(group_size)::BIGINT AS total_input, (sum(group_size) - count(*))::BIGINT AS duplicates_removed FROM grouped GROUP BY query",
 }
-QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, registered_sources, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, condition_price_stats, dedup_totals)}
+QUERIES = {f.__name__: f for f in (scan_order, search_page_listings, catalog_page_listings, refused_pages, registered_sources, saved_runs, changes_in_order, reason_texts, sorted_opportunities, brand_pairs, default_term_classes, custom_strategy, modal_prices, condition_price_stats, dedup_totals)}

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PricingConfig
+from ..config import PairStrategy, PricingConfig
 from ..functions.rounding import money
 from ..shared import cut, cut_counted
+from . import pair_strategies
 
 #: A group with more distinct prices is ranked in ranges, by many tasks.
 LARGE = 100_000
@@ -143,7 +144,7 @@ def _statistics(kept: DataFrame, keys: list[str], config: PricingConfig, ranked:
     """A row for each group of kept rows; ``ranked`` ones know their places."""
     price, count = F.col("price"), F.col("c")
     median = percentile_by_place(0.5) if ranked else F.percentile(price, F.lit(0.5), count)
-    estimate = F.lit(None).cast("double") if callable(config.strategy) else median if config.strategy == "median" else strategy_column(config)
+    estimate = F.lit(None).cast("double") if not isinstance(config.strategy, str) else median if config.strategy == "median" else strategy_column(config)
     return kept.groupBy(*keys).agg(
         F.first("currency").alias("currency"),
         estimate.alias("e"),
@@ -177,7 +178,9 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
         ranked = kept_in_ranges(priced.join(listed, "_keys", "left_semi").drop("_keys"), keys, c)
         stats = stats.unionByName(_statistics(ranked, keys, c, ranked=True))
         kept = kept.unionByName(ranked, allowMissingColumns=True)
-    if callable(c.strategy):  # an aggregate of one's own sees the listings themselves
+    if isinstance(c.strategy, PairStrategy):
+        stats = stats.drop("e").join(pair_strategies.estimates(kept, keys, c.strategy), keys)
+    elif callable(c.strategy):  # an aggregate of one's own sees the listings themselves
         rows = df.join(kept.select(*keys, "currency", "price"), [*keys, "currency", "price"], "left_semi")
         stats = stats.drop("e").join(rows.groupBy(*keys).agg(c.strategy(F.col("price"), F.col("weight")).alias("e")), keys)
     spread = F.when((F.col("comparable_count") > 1) & (F.col("mean") > 0), 1 / (1 + F.try_divide(F.col("hi") - F.col("lo"), F.col("mean")))).otherwise(1.0)
@@ -191,7 +194,7 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
         (F.col("n") - F.col("comparable_count")).alias("outliers_removed"),
         confidence.alias("confidence_score"),
         (F.col("comparable_count") >= c.min_comparables).alias("reliable"),
-        F.lit(c.strategy if isinstance(c.strategy, str) else getattr(c.strategy, "__name__", "custom")).alias("strategy"),
+        F.lit(c.strategy_name).alias("strategy"),
     )
 
 
@@ -202,7 +205,7 @@ def attach_prices(groups: DataFrame, prices: DataFrame, keys: list[str], config:
     empty = {"comparable_count": 0, "outliers_removed": 0, "confidence_score": 0.0, "reliable": False}
     packed = prices.select(*keys, F.struct(*cells).alias("p"), F.lit(True).alias("found"))
     out = groups.join(packed, keys, "left")
-    name = F.lit(c.strategy if isinstance(c.strategy, str) else getattr(c.strategy, "__name__", "custom"))
+    name = F.lit(c.strategy_name)
     fields = []
     for x in cells:
         value = F.col(f"p.{x}")

@@ -3,11 +3,12 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallmark.config import ComparisonConfig, DeduplicationConfig, MatchConfig, NormalizationConfig, OpportunityConfig, PricingConfig, ScoringConfig
-from stallmark.operators import compare, deduplicate, normalize, opportunity, pricing, ranking
+from stallmark.config import ComparisonConfig, DeduplicationConfig, MatchConfig, NormalizationConfig, OpportunityConfig, PairStrategy, PricingConfig, ScoringConfig
+from stallmark.operators import compare, deduplicate, normalize, opportunity, pair_strategies, pricing, ranking
 from tests.test_functions import plain_score
 
 
@@ -182,6 +183,28 @@ def test_no_range_has_a_whole_large_group(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def huber_step(reach):
+    """One step of a Huber mean from 100: deviations beyond the reach count as much as at it."""
+    add = lambda s, p, n: (s[0] + float((np.clip(p - 100, -reach, reach) * n).sum()), s[1] + int(n.sum()))
+    return PairStrategy("huber", lambda: (0.0, 0), add, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: 100 + s[0] / s[1] if s[1] else None)
+
+
+def test_strategies_in_python_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(pair_strategies, "PART", 50)
+    rng = random.Random(4)
+    rows = [(g, float(round(rng.lognormvariate(4.5, 0.6), 1)), "EUR", 1.0) for g, n in (("a", 600), ("b", 3), (None, 2)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, price double, currency string, weight double")
+    for large in (10, 10_000):
+        config = PricingConfig(strategy=huber_step(20), remove_outliers=False)
+        got = {r.g: r for r in pricing.market_prices(df, ["g"], config, large=large).collect()}
+        for g in ("a", "b"):
+            own = [r[1] for r in rows if r[0] == g]
+            want = 100 + sum(max(-20, min(20, p - 100)) for p in own) / len(own)
+            assert got[g].estimated_market_price == pytest.approx(want, abs=0.0051) and got[g].strategy == "huber" and got[g].comparable_count == len(own)
+    none = PairStrategy("none", list, lambda s, p, n: s, lambda a, b: a, lambda s: None)
+    assert {r.estimated_market_price for r in pricing.market_prices(df, ["g"], PricingConfig(strategy=none)).collect()} == {None}
+
+
 FREE = OpportunityConfig(marketplace_fee_rate=0, payment_fee_rate=0, payment_fee_flat=0, shipping_cost=0, packaging_cost=0, buffer_rate=0)
 
 
