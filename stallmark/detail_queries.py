@@ -22,7 +22,7 @@ from .sources.scan import default_sources, scan
 
 
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan's order over all sources, and what each source adds in ``extra``."""
+    """The scan's order over all sources, and what each source adds in ``extra``."""
     n = q._table(spark, sf_dir, "nation").count()
     found = scan(spark, f"  {q.QUERY}", default_sources(), n)
     return found.select("ordinal", "query", "provider", "listing_id", F.element_at("extra", "rank").alias("rank"), F.element_at("extra", "mock").alias("mock"))
@@ -173,7 +173,7 @@ FROM part LEFT JOIN m ON k = p_partkey
 
 
 def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs are saved and read back, each opportunity with its run."""
+    """Two runs are saved and read back, each opportunity with its run."""
     history = History(spark)
     empty = {"currency": F.lit("EUR"), "asking_price": F.lit(None).cast("double"), "estimated_market_price": F.col("net_profit"), "recommendation": F.lit("watch")}
     for late in (False, True):
