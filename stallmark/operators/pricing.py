@@ -178,11 +178,14 @@ def market_prices(df: DataFrame, keys: list[str], config: PricingConfig | None =
         ranked = kept_in_ranges(priced.join(listed, "_keys", "left_semi").drop("_keys"), keys, c)
         stats = stats.unionByName(_statistics(ranked, keys, c, ranked=True))
         kept = kept.unionByName(ranked, allowMissingColumns=True)
-    if isinstance(c.strategy, PairStrategy):
-        stats = stats.drop("e").join(pair_strategies.estimates(kept, keys, c.strategy), keys)
-    elif callable(c.strategy):  # an aggregate of one's own sees the listings themselves
-        rows = df.join(kept.select(*keys, "currency", "price"), [*keys, "currency", "price"], "left_semi")
-        stats = stats.drop("e").join(rows.groupBy(*keys).agg(c.strategy(F.col("price"), F.col("weight")).alias("e")), keys)
+    if not isinstance(c.strategy, str):
+        keyed = lambda x: x.withColumn("_keys", F.struct(*keys))  # noqa: E731  (a null key is a group too)
+        if isinstance(c.strategy, PairStrategy):
+            found = pair_strategies.estimates(kept, keys, c.strategy)
+        else:  # an aggregate of one's own sees the listings themselves
+            rows = keyed(df).join(keyed(kept).select("_keys", "currency", "price"), ["_keys", "currency", "price"], "left_semi")
+            found = rows.groupBy(*keys).agg(c.strategy(F.col("price"), F.col("weight")).alias("e"))
+        stats = keyed(stats.drop("e")).join(keyed(found).select("_keys", "e"), "_keys").drop("_keys")
     spread = F.when((F.col("comparable_count") > 1) & (F.col("mean") > 0), 1 / (1 + F.try_divide(F.col("hi") - F.col("lo"), F.col("mean")))).otherwise(1.0)
     confidence = money(F.least(F.lit(1.0), F.col("comparable_count") / c.confidence_full_count) * spread, 4)
     shown = {"estimated_market_price": "e", "min_price": "lo", "max_price": "hi", "median_price": "md", "mean_price": "mean"}

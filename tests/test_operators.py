@@ -162,6 +162,7 @@ def test_large_groups_have_the_figures_of_small_ones(spark, monkeypatch, config)
     try:
         key = lambda r: (r.g is None, r.g)
         want = sorted(pricing.market_prices(df, ["g"], config).collect(), key=key)
+        assert None in {r.g for r in want}
         for large, listed in ((0, 10_000), (400, 0)):
             monkeypatch.setattr(pricing, "_LISTED", listed)
             assert sorted(pricing.market_prices(df, ["g"], config, large=large).collect(), key=key) == want
@@ -197,7 +198,7 @@ def test_strategies_in_python_equal_a_loop(spark, monkeypatch):
     for large in (10, 10_000):
         config = PricingConfig(strategy=huber_step(20), remove_outliers=False)
         got = {r.g: r for r in pricing.market_prices(df, ["g"], config, large=large).collect()}
-        for g in ("a", "b"):
+        for g in ("a", "b", None):
             own = [r[1] for r in rows if r[0] == g]
             want = 100 + sum(max(-20, min(20, p - 100)) for p in own) / len(own)
             assert got[g].estimated_market_price == pytest.approx(want, abs=0.0051) and got[g].strategy == "huber" and got[g].comparable_count == len(own)
