@@ -223,6 +223,37 @@ def trie_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) ->
     return out.where("sketch is null").select("a", "b").unionByName(candidate_edges(tops, alike, width, block))
 
 
+def cell_edges(rows: DataFrame, alike: Alike, width: int, block: int = BLOCK) -> DataFrame:
+    """``candidate_edges`` for keys whose rows are mostly alike; the components are the same, whatever the rows.
+
+    Rows of a large key meet in its blocks first, and the representatives of what is found alike there with each
+    other. Where that leaves a key in several groups, counting edges of other keys too, the rows outside of the
+    largest meet all rows of the key. So n near copies cost a comparison with one block each, and no row is
+    copied for each block. ``rows`` is read several times: have it written.
+    """
+    rows = rows.select("key", "id", "sketch")
+    large, n = _large_nodes(rows, block)
+    if not n:
+        return map_arrow(in_blocks(rows, "key", F.col("id"), (large, 0)), _forests(alike, width, ["key", "_i", "_j"]), "a long, b long")
+    dealt = rows.join(small(large, n), "key", "left").withColumn("_up", F.col("_m").isNotNull().cast("int")).withColumn("_b", _share(F.col("id"), F.coalesce("_m", F.lit(1))))
+    met = cut(map_arrow(_dealt(dealt.select("key", "_b", "_up", "id", "sketch"), "key", "_b"), _forests(alike, width, ["key", "_b"], "_up"), "a long, b long, key long, sketch binary"))
+    tops = met.where("sketch is not null").select("key", F.col("a").alias("id"), "sketch")
+    edges = cut(met.where("sketch is null").select("a", "b").unionByName(candidate_edges(tops, alike, width, block)))
+    labels = connected_components(edges).withColumnRenamed("component", "label")
+    inside = cut(rows.select("key", "id").join(small(large, n), "key").join(labels, "id", "left").select("key", "_m", "id", F.coalesce("label", "id").alias("label")))
+    sizes = inside.groupBy("key", "_m", "label").agg(F.count("*").alias("c"))
+    split, seen = cut_seen(sizes.groupBy("key", "_m").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where(F.col("all") > F.col("most")))
+    if not seen["n"]:
+        return edges
+    split = split.withColumn("_r", F.least("_m", F.ceil((F.col("all") - F.col("most")) * F.col("_m") / F.col("all"))).cast("int")).drop("all", "most")
+    apart = rows.join(inside.select("key", "id", "label"), ["key", "id"]).join(small(split, seen["n"]), "key")
+    # A group for each block of the rest (_i) and each block of all rows (_j, below 0 so that it differs).
+    rest = apart.where("label <> top").withColumns({"_i": _share(F.col("id"), F.col("_r"), 18), "_b": F.lit(0)}).withColumn("_j", F.explode(F.sequence(-F.col("_m"), F.lit(-1))))
+    every = apart.withColumns({"_j": -1 - _share(F.col("id"), F.col("_m")), "_b": F.lit(1)}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
+    dealt = _dealt(rest.unionByName(every.select(rest.columns)).select("key", "_i", "_j", "_b", "id", "sketch"), "key", "_i", "_j")
+    return edges.unionByName(map_arrow(dealt, _forests(alike, width, ["key", "_i", "_j"]), "a long, b long"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of an edge; the component is the smallest id that edges reach.
 

@@ -154,7 +154,7 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         return (x @ x.T >= threshold) & (length[:, None] == length[None])
 
     buckets = map_arrow(classes.select("id", "v"), hashed, "id long, keys array<long>, sketch binary")
-    edges = groups.candidate_edges(buckets.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "sketch"), alike, dim, block)
+    edges = groups.cell_edges(cut(buckets).select(F.explode(F.array_distinct("keys")).alias("key"), "id", "sketch"), alike, dim, block)
     members = cut(classes.select("id", "weight").join(groups.connected_components(edges), "id"))
     linked = cut(groups.verified_links(members, compare, lambda df: df.join(classes.select("id", "v"), "id"), block=block))
     reached = groups.connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -111,6 +111,59 @@ def test_components(spark):
     assert groups.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_cells_of_any_mixture(spark):
+    """Whole cells of near copies, of several groups, and of rows that are not alike give the components of all pairs."""
+    rng = np.random.default_rng(4)
+    rows, ids = [], 0
+    for key, sizes in ((1, [70, 20, 9]), (2, [1] * 40), (3, [60]), (4, [5]), (5, [30, 30])):
+        for size in sizes:
+            at = rng.integers(0, 256, 8)
+            for _ in range(size):  # a walk: neighbours are alike, ends are not
+                at = at.copy()
+                at[rng.integers(0, 8)] = rng.integers(0, 256)
+                rows.append((key, ids, at.astype(np.uint8).tobytes()))
+                ids += 1
+    rows += [(6, i, r[2]) for i, r in enumerate([r for r in rows if r[0] in (2, 4)][:30], 40)]
+
+    def alike(a, b, outer):
+        return ((a[:, None] == b[None]).sum(2) if outer else (a == b).sum(1)) >= 6
+
+    links = []
+    for key in range(1, 7):
+        own = [(i, np.frombuffer(s, np.uint8)) for k, i, s in rows if k == key]
+        links += [(i, j) for i, a in own for j, b in own if j < i and (a == b).sum() >= 6]
+    root = classes(ids, links)
+    df = spark.createDataFrame([(k, i, bytearray(s)) for k, i, s in rows], "key long, id long, sketch binary").repartition(5)
+    for block in (4, 16, 512):
+        edges = groups.cell_edges(df, alike, 8, block)
+        assert all(root[r.a] == root[r.b] for r in edges.collect())
+        found = {r.id: r.component for r in groups.connected_components(edges).collect()}
+        assert [found.get(i, i) for i in range(ids)] == root
+    assert groups.cell_edges(df.where("false"), alike, 8).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_recall_within_large_nodes(spark, block):
+    """Pairs at the threshold whose texts all share a template, so that a node holds many others too."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for p in range(150):
+        own = template + [f"p{p}x{i}" for i in range(90)]
+        for side in "ab":
+            tail = [f"{side}{p}y{i}" for i in range(21)]
+            texts.append(" ".join(own + tail))
+    close = [len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    far = len(shingle_set(texts[0]) & shingle_set(texts[2])) / len(shingle_set(texts[0]) | shingle_set(texts[2]))
+    assert all(0.8 <= x < 0.85 for x in close) and 0.35 < far < 0.5
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicates(df, block=block).collect()}
+    assert sum(got[i] == got[i + 1] == (i, 1) for i in range(0, len(texts), 2)) >= 0.99 * len(close)
+    assert all(got[i][0] // 2 == i // 2 for i in got)
+
+
 def test_e8():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 8)) * 2
