@@ -1,7 +1,7 @@
 """HTTP for connectors: typed errors, retries, a rate limit, tokens. Everything that waits or sends can be injected.
 
-A connector fetches pages on the driver: quotas are for a whole account, so
-parallel readers would only share one budget. Pages go to Spark as JSON texts.
+A quota is for a whole account: one reader takes it from a ``TokenBucket``, tasks side by side
+deal it among themselves (see ``requests``). Pages go to Spark as JSON texts.
 """
 
 from __future__ import annotations
@@ -283,14 +283,18 @@ class Client:
         self.headers, self.auth, self.transport, self.retry = dict(headers or {}), auth, transport, retry or RetryPolicy()
         self.limiter, self.sleep, self.rng, self.timeout = limiter, sleep, rng, timeout
 
+    def all_headers(self, headers: Mapping[str, str] | None = None) -> dict[str, str]:
+        """What a request is sent with, the authorization of this moment included."""
+        own = self.headers | dict(headers or {})
+        if self.auth and (value := self.auth()):
+            own["Authorization"] = value
+        return own
+
     def get(self, url: str, params: Mapping[str, str] | None = None, headers: Mapping[str, str] | None = None) -> Response:
         def once() -> Response:
             if self.limiter:
                 self.limiter.acquire()
-            own = self.headers | dict(headers or {})
-            if self.auth and (value := self.auth()):
-                own["Authorization"] = value
-            answer = self.transport(Request(url, params or {}, own, timeout=self.timeout))
+            answer = self.transport(Request(url, params or {}, self.all_headers(headers), timeout=self.timeout))
             if not 200 <= answer.status < 300:
                 raise BadStatus(answer.status, retry_after=_number(answer.headers.get("retry-after")))
             return answer

@@ -9,10 +9,12 @@ from typing import Any
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import http
-from .http import Client, ResponseError, RetryPolicy, SourceConfigError, TokenBucket, TokenFile, Transport, check_url, send_with_urllib
-from .marketplace_json import catalog_listings, search_listings
+from .http import Client, RequestError, ResponseError, RetryPolicy, SourceConfigError, TokenBucket, TokenFile, Transport, check_url, send_with_urllib
+from .marketplace_json import catalog_listings, catalog_products, search_listings
+from .requests import answers
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class LiveConfig:
     default_currency: str = "EUR"
     rate_limit_per_second: float | None = None
     rate_limit_burst: int = 1
+    #: Tasks that send requests side by side, with no burst; 1 leaves all requests to the driver.
+    parallel: int = 4
     retry: RetryPolicy = RetryPolicy()
     extra_headers: dict[str, str] = field(default_factory=dict)
     oauth_token_url: str = ""
@@ -52,7 +56,7 @@ class LiveConfig:
     def __post_init__(self) -> None:
         check_url(self.base_url, "base_url")
         check_url(self.oauth_token_url, "oauth_token_url")
-        for name in ("timeout", "page_size", "max_results", "rate_limit_burst"):
+        for name in ("timeout", "page_size", "max_results", "rate_limit_burst", "parallel"):
             if getattr(self, name) <= 0:
                 raise SourceConfigError(f"{name} must be positive")
         if self.rate_limit_per_second is not None and self.rate_limit_per_second <= 0:
@@ -99,41 +103,83 @@ def _whole(*values: object) -> bool:
     return all(isinstance(v, int) and not isinstance(v, bool) for v in values)
 
 
+#: What to ask for: an address and its parameters.
+Asked = tuple[str, dict[str, str]]
+
+
 @dataclass
 class LiveSource:
-    """A connector: ``fetch`` reads all pages on the driver and parses them in Spark."""
+    """A connector. The first page is read by the driver; with ``tasks`` above 1 the further pages and the look-ups
+    are sent by that many tasks (see ``requests``), else by the driver one after the other."""
 
     config: LiveConfig
     client: Client
     name: str = ""
     capabilities: Capabilities = Capabilities()
+    tasks: int = 1
 
     #: Longest query that is sent.
     max_query = 100
+    #: The list of results in a page, and headers of its own.
+    listed = ""
 
     def sizes(self, limit: int) -> tuple[int, int]:
         """Results and page size, within the caps of the configuration and the marketplace."""
         most = min(limit, self.config.max_results, self.capabilities.max_results or limit)
         return max(1, most), min(self.config.page_size, self.capabilities.max_page_size)
 
-    def read_pages(self, query: str, limit: int) -> tuple[list[str], int]:
-        """The texts of the pages, and how many results to keep."""
+    def read_pages(self, spark: SparkSession, query: str, limit: int) -> tuple[DataFrame, int]:
+        """``page, text`` of the pages, and how many results to keep.
+
+        Pages are asked for until there are no more or enough results. Once the first tells how many results there are, the tasks get
+        the pages that they fill; if those hold fewer results than they should, the rest is read one by one.
+        """
         most, size = self.sizes(limit)
-        texts: list[str] = []
+        texts: list[tuple[int, str]] = []
 
         def one(page: int) -> dict:
-            answer = self.request(query[: self.max_query], page, size)
-            texts.append(answer.body.decode())
+            address, params = self.asked(query[: self.max_query], page, size)
+            answer = self.client.get(address, params, self.headers())
+            texts.append((page, answer.body.decode()))
             return _object(answer.json())
 
-        for _ in pages(one, self.count, self.more, most, None if self.capabilities.supports_pagination else 1):
-            pass
-        return texts, most
-
-    def request(self, query: str, page: int, size: int) -> http.Response:
+        last = one(1)
+        got, done, dealt = self.count(last), 1, None
+        total = self.total(last)
+        if self.tasks > 1 and self.capabilities.supports_pagination and got < most and total is not None and self.more(last):
+            done = max(1, -(-min(total, most) // size))
+            if done > 1:
+                dealt = self._dealt(spark, [(p, *self.asked(query[: self.max_query], p, size)) for p in range(2, done + 1)])
+                got += dealt.agg(F.sum(F.coalesce(F.expr(f"json_array_length(get_json_object(text, '$.{self.listed}'))"), F.lit(0)))).first()[0]
+                last = _object(http.Response(200, dealt.where(F.col("page") == done).first().text.encode()).json())
+        while got < most and self.capabilities.supports_pagination and self.more(last):
+            done += 1
+            last = one(done)
+            got += self.count(last)
+        frame = spark.createDataFrame(texts, "page int, text string")
+        return frame if dealt is None else frame.unionByName(dealt), most
+
+    def _dealt(self, spark: SparkSession, asked: list[tuple[int, str, dict[str, str]]]) -> DataFrame:
+        rows = spark.createDataFrame([(str(p), a, q) for p, a, q in asked], "key string, url string, params map<string,string>")
+        got = self._answers(rows)
+        if bad := got.where("text is null").orderBy("key").first():
+            raise BadPage(int(bad.key), bad.error, self.name)
+        return got.select(F.col("key").cast("int").alias("page"), "text")
+
+    def _answers(self, rows: DataFrame) -> DataFrame:
+        c = self.config
+        return answers(rows, headers=self.client.all_headers(self.headers()), tasks=self.tasks, rate=c.rate_limit_per_second, retry=c.retry, timeout=c.timeout, transport=self.client.transport)
+
+    def headers(self) -> dict[str, str]:
+        return {}
+
+    def asked(self, query: str, page: int, size: int) -> Asked:
         raise NotImplementedError
 
     def count(self, data: dict) -> int:
+        return len(data.get(self.listed) or ())
+
+    def total(self, data: dict) -> int | None:
         raise NotImplementedError
 
     def more(self, data: dict) -> bool:
@@ -142,27 +188,35 @@ class LiveSource:
     def fetch(self, spark: SparkSession, query: str, limit: int) -> DataFrame:
         raise NotImplementedError
 
-    def _frame(self, spark: SparkSession, texts: list[str]) -> DataFrame:
-        return spark.createDataFrame([(t,) for t in texts], "text string")
+
+class BadPage(RequestError):
+    """A page that a task did not get."""
+
+    def __init__(self, page: int, error: str, source: str):
+        super().__init__(f"page {page}: {error}", source=source)
 
 
 class SearchSource(LiveSource):
     """Item summaries of a marketplace's search."""
 
-    def request(self, query: str, page: int, size: int) -> http.Response:
-        params = {"q": query, "limit": str(size), "offset": str((page - 1) * size)}
-        return self.client.get(urljoin(self.config.base_url, "/buy/browse/v1/item_summary/search"), params, {"X-EBAY-C-MARKETPLACE-ID": self.config.marketplace_id})
+    listed = "itemSummaries"
 
-    def count(self, data: dict) -> int:
-        return len(data.get("itemSummaries") or ())
+    def headers(self) -> dict[str, str]:
+        return {"X-EBAY-C-MARKETPLACE-ID": self.config.marketplace_id}
+
+    def asked(self, query: str, page: int, size: int) -> Asked:
+        return urljoin(self.config.base_url, "/buy/browse/v1/item_summary/search"), {"q": query, "limit": str(size), "offset": str((page - 1) * size)}
+
+    def total(self, data: dict) -> int | None:
+        return data["total"] if _whole(data.get("total")) else None
 
     def more(self, data: dict) -> bool:
         total, offset, size = data.get("total"), data.get("offset"), data.get("limit")
         return bool(isinstance(data.get("next"), str) and data["next"]) or (_whole(total, offset, size) and offset + size < total)
 
     def fetch(self, spark: SparkSession, query: str, limit: int) -> DataFrame:
-        texts, most = self.read_pages(query, limit)
-        out = search_listings(self._frame(spark, texts), provider=self.name, default_currency=self.config.default_currency).limit(most)
+        pages, most = self.read_pages(spark, query, limit)
+        out = search_listings(pages.orderBy("page"), provider=self.name, default_currency=self.config.default_currency).limit(most)
         # Parsed here, so that a malformed page fails this source and not a later stage.
         return spark.createDataFrame(out.collect(), out.schema)
 
@@ -170,11 +224,13 @@ class SearchSource(LiveSource):
 class CatalogSource(LiveSource):
     """Products of a catalog, with the market data of each."""
 
-    def request(self, query: str, page: int, size: int) -> http.Response:
-        return self.client.get(urljoin(self.config.base_url, "/v2/catalog/search"), {"query": query, "pageNumber": str(page), "pageSize": str(size)})
+    listed = "products"
 
-    def count(self, data: dict) -> int:
-        return len(data.get("products") or ())
+    def asked(self, query: str, page: int, size: int) -> Asked:
+        return urljoin(self.config.base_url, "/v2/catalog/search"), {"query": query, "pageNumber": str(page), "pageSize": str(size)}
+
+    def total(self, data: dict) -> int | None:
+        return data["count"] if _whole(data.get("count")) else None
 
     def more(self, data: dict) -> bool:
         if isinstance(data.get("hasNextPage"), bool):
@@ -182,22 +238,32 @@ class CatalogSource(LiveSource):
         page, size, count = data.get("pageNumber"), data.get("pageSize"), data.get("count")
         return _whole(page, size, count) and page * size < count
 
-    def market_data(self, product: str) -> str | None:
-        """The market data of a product; a failure leaves the product without a price."""
-        try:
-            answer = self.client.get(urljoin(self.config.base_url, f"/v2/catalog/products/{product}/market-data"), {"currencyCode": self.config.currency_code})
-            return answer.body.decode() if isinstance(answer.json(), list) else None
-        except http.SourceError:
-            return None
+    def market_data(self, spark: SparkSession, products: DataFrame) -> DataFrame:
+        """``product_id, text`` of the market data of each product, asked for once; a failure leaves the product out."""
+        address = urljoin(self.config.base_url, "/v2/catalog/products/")
+        if self.tasks > 1:
+            params = F.create_map(F.lit("currencyCode"), F.lit(self.config.currency_code))
+            rows = products.select(F.col("product_id").alias("key"), F.concat(F.lit(address), "product_id", F.lit("/market-data")).alias("url"), params.alias("params"))
+            return self._answers(rows).where("json_array_length(text) is not null").select(F.col("key").alias("product_id"), "text")
 
-    def fetch(self, spark: SparkSession, query: str, limit: int) -> DataFrame:
-        import json
+        def one(product: str) -> str | None:
+            try:
+                answer = self.client.get(f"{address}{product}/market-data", {"currencyCode": self.config.currency_code})
+                return answer.body.decode() if isinstance(answer.json(), list) else None
+            except http.SourceError:
+                return None
 
-        texts, most = self.read_pages(query, limit)
-        products = [p["productId"] for t in texts for p in json.loads(t).get("products") or () if isinstance(p, dict) and isinstance(p.get("productId"), str)]
-        market = [(p, d) for p in dict.fromkeys(products) if (d := self.market_data(p)) is not None]
-        out = catalog_listings(self._frame(spark, texts), spark.createDataFrame(market, "product_id string, text string"), provider=self.name, currency=self.config.currency_code).limit(most)
-        return spark.createDataFrame(out.collect(), out.schema)
+        found = [(r.product_id, one(r.product_id)) for r in products.collect()]
+        return spark.createDataFrame([x for x in found if x[1] is not None], "product_id string, text string")
+
+    def fetch(self, spark: SparkSession, query: str, limit: int) -> DataFrame:
+        pages, most = self.read_pages(spark, query, limit)
+        products = catalog_products(pages).groupBy("product_id").agg(F.min(F.struct("page", "place")).alias("at"))
+        out = catalog_listings(pages, self.market_data(spark, products.orderBy("at").select("product_id")), provider=self.name, currency=self.config.currency_code)
+        at = {r.product_id: tuple(r.at) for r in products.collect()}
+        # At most a page more than ``most``; the join does not keep their order.
+        rows = sorted(out.collect(), key=lambda r: at[r.listing_id])[:most]
+        return spark.createDataFrame(rows, out.schema)
 
 
 @dataclass(frozen=True)
@@ -258,7 +324,7 @@ class Credentials:
         return f"Credentials({', '.join(f'{n}=***' for n in self._values)})"
 
 
-def live_source(name: str, settings: Mapping[str, Any], *, env: Mapping[str, str] | None = None, transport: Transport = send_with_urllib, token_transport: Transport = send_with_urllib, tokens: TokenFile | None = None, **client: Any) -> LiveSource:
+def live_source(name: str, settings: Mapping[str, Any], *, env: Mapping[str, str] | None = None, transport: Transport = send_with_urllib, token_transport: Transport = send_with_urllib, tokens: TokenFile | None = None, tasks: int | None = None, **client: Any) -> LiveSource:
     """A connector with credentials from the environment; without them nothing is built."""
     if name not in LIVE:
         raise SourceConfigError(f"unknown live source {name!r}")
@@ -276,5 +342,7 @@ def live_source(name: str, settings: Mapping[str, Any], *, env: Mapping[str, str
         headers["x-api-key"] = secret["STOCKX_API_KEY"]
     else:
         auth = http.client_credentials(config.oauth_token_url, secret["EBAY_CLIENT_ID"], secret["EBAY_CLIENT_SECRET"], config.oauth_scope, **options)
+    # What is injected stays on the driver, unless it says how many tasks may have it.
+    tasks = config.parallel if tasks is None and transport is send_with_urllib and not client else tasks or 1
     limiter = TokenBucket(config.rate_limit_per_second, config.rate_limit_burst) if config.rate_limit_per_second else None
-    return kind.source(config, Client(headers=headers, auth=auth, transport=transport, retry=config.retry, limiter=limiter, timeout=config.timeout, **client), name, kind.capabilities)
+    return kind.source(config, Client(headers=headers, auth=auth, transport=transport, retry=config.retry, limiter=limiter, timeout=config.timeout, **client), name, kind.capabilities, tasks)

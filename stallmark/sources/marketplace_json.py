@@ -155,6 +155,12 @@ def market_summary(market: DataFrame) -> DataFrame:
     return rows.groupBy("product_id").agg(F.min(amount("lowestAskAmount")).alias("lowest_ask"), F.max(amount("highestBidAmount")).alias("highest_bid"), F.count("*").alias("variant_count"))
 
 
+def catalog_products(pages: DataFrame) -> DataFrame:
+    """``page, place, product_id`` of the products of catalog pages that have an id; what else is wrong with them ``catalog_listings`` tells."""
+    rows = entries(pages, "products").where(kind_of(at(F.col("entry"), "productId")) == TEXT)
+    return rows.select("page", "place", at(F.col("entry"), "productId", "string").alias("product_id"))
+
+
 def catalog_listings(pages: DataFrame, market: DataFrame, *, provider: str = "stockx", currency: str = "USD") -> DataFrame:
     """Listings of catalog pages, left-joined with their market data: a product without any stays, without a price."""
     p, entry = F.col("p"), F.col("entry")

@@ -16,7 +16,7 @@ from stallmark.config import ConfigError, PipelineConfig, ScannerConfig, load_pi
 from stallmark.plans.history import History
 from stallmark.plans.pipeline import Pipeline, analyze_listings
 from stallmark.schemas import LISTING
-from stallmark.sources import http, live, marketplace_json, scan, spark_sources, typed_json
+from stallmark.sources import http, live, marketplace_json, requests, scan, spark_sources, typed_json
 from stallmark.sources.synthetic import BUILT_IN
 from stallmark.streaming.incremental import follow
 
@@ -537,19 +537,26 @@ def test_a_spark_format_is_a_source(spark):
 class Market:
     """A marketplace on this machine: pages of numbered items, the moments of all requests, and failures for some of them."""
 
-    def __init__(self, total, fail=()):
+    def reply(self, path, asked):
+        """What is asked for (as noted in ``seen``), and the answer."""
+        start, size = int(asked["offset"]), int(asked["limit"])
+        items = [{"itemId": f"v{i}", "title": f"t {i}", "itemWebUrl": "u"} for i in range(start, min(start + size - self.short, self.total))]
+        return start, {"total": self.total, "offset": start, "limit": size, "itemSummaries": items}
+
+    def __init__(self, total, fail=(), short=0):
         import http.server
         import threading
         import time
         from urllib.parse import parse_qs, urlsplit
 
         market = self
+        self.total, self.short = total, short
         self.seen, self.fail, self.lock, self.busy, self.most = [], set(fail), threading.Lock(), 0, 0
 
         class Handler(http.server.BaseHTTPRequestHandler):
             def do_GET(self):
                 asked = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
-                start, size = int(asked["offset"]), int(asked["limit"])
+                start, answer = market.reply(urlsplit(self.path).path, asked)
                 with market.lock:
                     market.seen.append((time.time(), start))
                     market.busy += 1
@@ -559,8 +566,7 @@ class Market:
                 time.sleep(0.3)
                 with market.lock:
                     market.busy -= 1
-                items = [{"itemId": f"v{i}", "title": f"t {i}", "itemWebUrl": "u"} for i in range(start, min(start + size, total))]
-                body = json.dumps({"total": total, "offset": start, "limit": size, "itemSummaries": items}).encode()
+                body = json.dumps(answer).encode()
                 self.send_response(503 if bad else 200)
                 self.send_header("Content-Length", str(len(body)))
                 self.end_headers()
@@ -608,3 +614,86 @@ def test_page_reader_refuses_odd_options_and_answers(spark):
             spark.read.format("stallmark_pages").options(**wrong).load().count()
     with pytest.raises(Exception, match="no connection"):
         spark.read.format("stallmark_pages").options(base_url="http://127.0.0.1:9", query="x", max_attempts="1").load().count()
+
+
+class Catalog(Market):
+    """A catalog: pages of products, p3 twice, and the market data of each but p5, which fails for good."""
+
+    def reply(self, path, asked):
+        if path.endswith("market-data"):
+            product = path.split("/")[-2]
+            self.fail |= {"p5"}
+            return product, [{"productId": product, "variantId": "a", "lowestAskAmount": product[1:] + "0"}] if product != "p7" else {"odd": 1}
+        page, size = int(asked["pageNumber"]), int(asked["pageSize"])
+        names = ["p3", *(f"p{i}" for i in range(self.total - 1))]
+        products = [{"productId": n, "title": "Shoe " + n} for n in names[(page - 1) * size : page * size]]
+        return page, {"count": self.total, "pageNumber": page, "pageSize": size, "hasNextPage": page * size < self.total, "products": products}
+
+
+def test_slots_of_all_tasks_keep_the_rate():
+    now = [100.0]
+    times = []
+    for place in range(3):
+        now[0] = 100.0 + place * 0.7  # tasks begin at different moments
+        slots = requests.Slots(100.0, 4.0, place, 3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+        for k in range(5):
+            slots.acquire()
+            times.append(round((now[0] - 100.0) * 4))
+            now[0] += 2.0 if k == 2 else 0.01  # a slow answer loses its slots, and takes no one else's
+    assert len(set(times)) == 15 and {t % 3 for t in times[:5]} == {0} and {t % 3 for t in times[10:]} == {2}
+
+
+@pytest.mark.parametrize("total, limit, short, fail", [(95, 1000, 0, (40,)), (60, 30, 3, ()), (8, 50, 0, ()), (95, 25, 0, ())])
+def test_connectors_read_pages_by_tasks(spark, total, limit, short, fail):
+    got = {}
+    for tasks in (1, None):
+        market = Market(total, fail, short)
+        source = live.live_source("ebay_browse", {"base_url": market.url, "page_size": 10, "max_results": 1000, "retry": {"backoff_base": 0.01}}, env=SECRETS, token_transport=Wire(TOKEN), tasks=tasks)
+        assert source.tasks == tasks or source.tasks == 4
+        got[tasks] = [r.listing_id for r in scan.search(spark, source, "x", limit).collect()]
+        asked = sorted(s for _, s in market.seen)
+        got[f"pages {tasks}"] = asked
+        market.server.shutdown()
+        assert tasks is not None or total < 50 or market.most > 1
+    assert got[1] == got[None] and len(got[1]) == min(total, limit) and got["pages 1"] == got["pages None"]
+
+
+def test_pages_by_tasks_keep_the_rate_and_fail_the_source(spark):
+    market = Market(60, fail=(20,))
+    settings = {"base_url": market.url, "page_size": 10, "max_results": 60, "rate_limit_per_second": 5.0, "retry": {"backoff_base": 0.01}}
+    assert live.live_source("ebay_browse", settings, env=SECRETS, token_transport=Wire(TOKEN)).fetch(spark, "x", 60).count() == 60
+    at = sorted(t for t, s in market.seen if s)
+    assert len(at) == 6 and all(b - a > 0.1 for a, b in zip(at, at[1:], strict=False))
+    market.fail |= {30}
+    source = live.live_source("ebay_browse", settings | {"retry": {"max_attempts": 1}}, env=SECRETS, token_transport=Wire(TOKEN))
+    with pytest.raises(http.RequestError, match="page 4: HTTP 503"):
+        source.fetch(spark, "x", 60)
+    market.server.shutdown()
+
+
+def test_look_ups_by_tasks(spark, tmp_path):
+    kept = http.TokenFile(tmp_path / "t.json")
+    kept.save({"refresh_token": "r"})
+    got = {}
+    for tasks in (1, 3):
+        market = Catalog(31)
+        settings = {"base_url": market.url, "page_size": 10, "max_results": 25, "retry": {"max_attempts": 1}}
+        source = live.live_source("stockx", settings, env=SECRETS, token_transport=Wire(TOKEN), tokens=kept, tasks=tasks)
+        got[tasks] = [(r.listing_id, r.price) for r in source.fetch(spark, "shoe", 25).collect()]
+        market.server.shutdown()
+        looked = [s for _, s in market.seen if isinstance(s, str)]
+        assert sorted(looked) == sorted({f"p{i}" for i in range(29)}) and (tasks == 1 or market.most > 1)
+    assert sorted(got[1]) == sorted(got[3]) and len(got[3]) == 25
+    assert [n for n, _ in got[3] if n != "p3"] == [f"p{i}" for i in range(24) if i != 3]
+    prices = dict(got[3])
+    assert prices["p5"] is None and prices["p7"] is None and prices["p3"] == 30.0 and prices["p12"] == 120.0
+
+
+def test_answers_of_odd_requests(spark):
+    rows = spark.createDataFrame([(None, "http://127.0.0.1:9/", None)], "key string, url string, params map<string,string>")
+    assert requests.answers(rows, headers={}, tasks=2).count() == 0
+    rows = spark.createDataFrame([("a", "http://127.0.0.1:9/", None)] * 3 + [("b", "http://127.0.0.1:9/", {"q": "1"})], rows.schema)
+    got = requests.answers(rows, headers={}, tasks=2, retry=http.RetryPolicy(max_attempts=2, backoff_base=0.0)).orderBy("key").collect()
+    assert [(r.key, r.text, r.status, r.sent) for r in got] == [("a", None, None, 2), ("b", None, None, 2)] and "no connection" in got[0].error
+    with pytest.raises(ValueError):
+        requests.answers(rows, headers={}, tasks=0)
