@@ -143,19 +143,26 @@ class History:
         """The finished runs with this summary."""
         return self._runs().where(F.col("config_summary") == config_summary)
 
-    def import_sqlite(self, file: str) -> int:
-        """Append all runs of an SQLite history (on the driver's disk, as only one process writes it) under new ids; how many."""
+    def import_sqlite(self, file: str, rows: int = 100_000) -> int:
+        """Append all runs of an SQLite history (on the driver's disk, as only one process writes it) under new ids; how many.
+
+        Opportunities go through the driver so many ``rows`` at a time to the shared folder, and from there to the history; of runs that are not listed none.
+        """
         with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
             if (version := db.execute("PRAGMA user_version").fetchone()[0]) != SCHEMA_VERSION:
                 raise ValueError(f"{file} has version {version}, not {SCHEMA_VERSION}")
             names = {t: ", ".join(f.name for f in kind) for t, kind in (("runs", RUN), ("opportunities", OPPORTUNITY))}
             runs = db.execute(f"SELECT {names['runs'].replace('run_id', 'id', 1)} FROM runs ORDER BY id").fetchall()
-            items = db.execute(f"SELECT {names['opportunities']} FROM opportunities").fetchall()
-        if not runs:
-            return 0
-        new = dict(zip((r[0] for r in runs), self._claim(len(runs)), strict=True))
-        moved = lambda rows: [(new[r[0]], *r[1:]) for r in rows if r[0] in new]
-        self._append(self.spark.createDataFrame(moved(items), OPPORTUNITY), self.spark.createDataFrame(moved(runs), RUN), list(new.values()))
+            if not runs:
+                return 0
+            new = dict(zip((r[0] for r in runs), self._claim(len(runs)), strict=True))
+            moved = lambda part: [(new[r[0]], *r[1:]) for r in part if r[0] in new]
+            staged = f"{shared_folder(self.spark)}/import-{uuid.uuid4().hex}"
+            items = db.execute(f"SELECT {names['opportunities']} FROM opportunities")
+            self.spark.createDataFrame([], OPPORTUNITY).write.parquet(staged)
+            while part := items.fetchmany(rows):
+                self.spark.createDataFrame(moved(part), OPPORTUNITY).write.mode("append").parquet(staged)
+        self._append(self.spark.read.schema(OPPORTUNITY).parquet(staged), self.spark.createDataFrame(moved(runs), RUN), list(new.values()))
         return len(runs)
 
     def list_runs(self, limit: int | None = None) -> DataFrame:

@@ -429,8 +429,9 @@ def test_import_of_a_single_file_history(spark, tmp_path):
         db.execute("PRAGMA user_version = 1")
         db.execute("INSERT INTO runs VALUES (7, 'q', '2024-01-01T00:00:00+00:00', 'defaults', 3, 2, 2)")
         db.executemany("INSERT INTO opportunities VALUES (?, 7, ?, ?, 'p', 'EUR', NULL, 10.0, NULL, 1.5, 0.5, 0.25, 60.0, 'buy')", [(1, 2, "b"), (2, 1, "a")])
+        db.executemany("INSERT INTO opportunities VALUES (?, 8, 1, 'lost', 'p', 'EUR', NULL, 10.0, NULL, 1.5, 0.5, 0.25, 60.0, 'buy')", [(3,)])
     history = History(spark, str(tmp_path / "h"))
-    assert history.import_sqlite(file) == 1
+    assert history.import_sqlite(file, rows=1) == 1
     assert (history.get_run(1).query, history.get_run(1).total_opportunities) == ("q", 2)
     assert [(r.rank, r.title, r.net_profit) for r in history.list_opportunities(1).collect()] == [(1, "a", 1.5), (2, "b", 1.5)]
 
