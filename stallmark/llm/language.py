@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
     without a letter is ``und`` with score 0 and not accepted, as is every text if
     the model has seen no language. ``score`` is the calibrated probability;
     ``accepted`` tells whether it reaches the calibrated floor. Equal texts get
-    equal rows.
+    equal rows, repeated rows stay, texts of any length are read whole, other columns are ignored (whatever their names) and an empty table gives no row.
     """
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["_id"].dataType.simpleString()

@@ -117,7 +117,7 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     ``component_id`` is the smallest id that links reach, ``kept`` tells whether
     it is the row's own. Vectors that are null, empty, zero, or hold null or
     non-finite numbers, and rows with a null id, link with nothing and are kept;
-    vectors of different lengths do not link with each other. Equal vectors all
+    vectors of different lengths do not link with each other. A cosine of exactly the threshold (as numpy computes it in double precision) links. Equal vectors all
     link; repeated rows count as such, and rows with one id and different vectors are told apart.
     Ids are integers. Other columns are ignored. An empty table gives no row.
     """

@@ -320,7 +320,8 @@ def pseudonymise(docs: DataFrame, *, key: str | Column, text: str = "text", foun
     With ``found``, a column of that name (it may not exist yet) lists the kind
     and the pseudonym of each replaced value in order of the text. A null text stays null
     (and has no values), an empty one empty. Texts without a digit, ``@``,
-    ``AKIA`` and the words that stand before secrets are passed over.
+    ``AKIA`` and the words that stand before secrets are passed over. Texts of any length are
+    searched whole, repeated rows get equal pseudonyms, an empty table gives no row.
     """
     if found is not None and found in docs.columns:
         raise ValueError(f"input already has a column {found}")

@@ -92,7 +92,7 @@ def replies(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn"
     at the lowest level the last. Null and empty
     texts have no passages; a message with a null conversation or turn links with nothing and has no position;
     repeated rows stay, as do messages that are all quotation (with an empty text). Other columns are ignored,
-    an empty table gives no row.
+    an empty table gives no row. Texts of any length and with any number of quoted lines are read whole.
     """
     base = messages.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).cast("string").alias("x"))
     parts = base.where("c is not null and t is not null").select("c", "t", F.explode(paragraphs(F.col("x"))).alias("p")).select("c", "t", "p.level", "p.lines")

@@ -407,6 +407,7 @@ def encode(df: DataFrame, model: BpeModel, *, text: str = "text", out: str = "id
     A null text counts as empty: it has only the ids asked for by bos and eos.
     With ``decoded``, a column of that name has what ``decode`` makes of the ids, in the same pass.
     All columns and repeated rows of df stay; df may have neither new column.
+    Words of any length are merged to the end by rounds; an empty df gives no row.
     """
     if clash := {out, decoded} & set(df.columns):
         raise ValueError(f"input already has a column {', '.join(clash)}")

@@ -86,7 +86,10 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, doc_id: str = "doc_id", text: str = "text", byte_fallback: bool = True) -> DataFrame:
-    """A row for each row of docs: ``doc_id, n_tokens``. Null and empty texts have 0 tokens; other columns are ignored."""
+    """A row for each row of docs: ``doc_id, n_tokens``. Null and empty texts have 0 tokens; other columns are ignored.
+
+    Of segmentations with equal scores the tokenizer's own is counted. Repeated rows stay, texts of any length are counted whole, an empty table gives no row.
+    """
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["_id"].dataType.simpleString()
 

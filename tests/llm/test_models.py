@@ -270,6 +270,16 @@ def threads():
     return small + chain + [(52, t, "b", says(t, rng.randrange(t // 2 + 1) if t > 2 else None)) for t in range(60)]
 
 
+def test_quotations_of_very_long_messages(spark):
+    passages = [f"Passage number {i} of the long message." for i in range(3000)]
+    quoting = "\n".join(f"> {p}\nanswer {i}" if i % 2 else f"> {p}\n> > unheard of {i}" for i, p in enumerate(passages))
+    rows = [(1, 0, "a", "\n\n".join(passages), "x"), (1, 1, "b", quoting, "x"), (1, 2, "c", "w" * 1_000_000, "x"), (1, 3, "d", "> " + "w" * 1_000_000, "x")]
+    got = {r.turn: r for r in quotations.replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parent string")).collect()}
+    assert (got[1].parent, got[1].n_linked, got[1].level) == (0, 3000, 2) and got[1].n_quoted == 4500
+    assert got[1].text.split() == " ".join(f"answer {i}" for i in range(1, 3000, 2)).split()
+    assert (got[3].parent, got[3].n_quoted, got[3].n_linked, got[3].text) == (2, 1, 1, "") and [got[t].position for t in range(4)] == [1, 2, 3, 4]
+
+
 def test_threads_stay_together(spark):
     df = spark.createDataFrame(threads() + threads()[:3], "conv_id long, turn long, role string, text string")
     out = quotations.replies(df.repartition(7)).orderBy("conv_id", "position").collect()

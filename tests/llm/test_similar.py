@@ -77,6 +77,18 @@ def test_near_duplicates_of_odd_tables(spark):
         near_duplicates.near_duplicates(df.withColumn("doc_id", F.lit("x")))
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    near, far = list(base), list(base)
+    near[1000:11000] = ["v"] * 10_000
+    far[:150_000] = [f"u{i}" for i in range(150_000)]
+    texts = [" ".join(x) for x in (base, near, far)] + ["word " * 500_000, "WORD, " * 400_000, "x" * 3_000_000]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, component string, id int")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicates(df).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
 def test_one_row_of_each_class_stays(spark):
     a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
     rows = [(4, a, 1), (4, a, 2), (4, b, 3), (2, b, 4), (4, c, 5), (None, a, 6), (None, a, 7), (9, None, 8), (9, None, 9), (7, "A b c d e, f", 10), (3, a, 11), (3, a, 12)]

@@ -122,6 +122,17 @@ def test_contamination_of_empty_tables(spark, contaminated):
     assert {r.contaminated for r in decontaminate.contamination(d, none.withColumnRenamed("doc_id", "item_id")).collect()} == {False}
 
 
+def test_contamination_of_very_long_texts(spark, contaminated):
+    rng = random.Random(3)
+    items = [(7, " ".join(f"q{i}" for i in range(40))), (8, " ".join(f"z{i}" for i in range(12))), (9, "lone")]
+    prose = [rng.choice(["alpha", "beta", "gamma", "Delta", "q3", "z1"]) for _ in range(250_000)]
+    prose[120_000:120_000] = items[0][1].upper().split()[5:25]
+    docs = [(1, " ".join(prose + items[1][1].split())), (2, "x" * 2_000_000), (3, "lone, " * 100_000)]
+    d = spark.createDataFrame([(*r, "extra", 5) for r in docs], "doc_id long, text string, items string, key int")
+    got = decontaminate.contamination(d, spark.createDataFrame([(*r, "b") for r in items], "item_id long, text string, key string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got.collect()) == brute_contamination(docs, items)
+
+
 def odd_texts():
     rng = random.Random(2)
     signs = "aab  ▁the\n\t<s>éßñ你𝄞😀0129..--==ﬁ ﷽"
