@@ -13,6 +13,11 @@ matched first, and only one representative of each group found goes on to the sh
 ``groups.trie_edges``). Candidates are told by a sketch of 32 minima from below the
 shortest prefix, kept far below the threshold, and the connected ones verified by
 their exact shingle sets.
+
+Tries, representatives and sketches miss a few pairs, so that the components of the forest are
+completed: of a set of n shingles, in one order for all sets, the first n - ceil(threshold * n) + k hold k that
+are shared with any set at the threshold whose own are as many. Texts with fewer than that among what other components
+have are left, the rest is told by sizes and parities of their sets: bounds that leave out no pair at the threshold. No link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +38,13 @@ from .text import Words, gram_hash, mix, odd_constants, text_chunks
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, MAX_DEPTH = 20, 8
 SKETCH = 32
+#: Words of 64 bits of the parities of a set, and bytes of them with the size of the set.
+PARITY = 32
+SET_BYTES = 8 * (PARITY + 1)
+#: Shingles that come last in the order of all: so many of the most frequent ones at most, found in a 32nd of the texts more often than this. They change no result.
+MAX_HOT, HOT = 100_000, 16
+#: The share of a set by which its first shingles are more than one shared one asks for.
+MORE = 0.05
 
 
 def shortest_prefix(threshold: float, recall: float, trees: int = TREES, max_depth: int = MAX_DEPTH) -> int:
@@ -70,8 +82,96 @@ def lowered_words(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts.fill_null("")))
 
 
-def _signatures(depth: int, trees: int, n: int, carried: list[str]):
-    """Arrow function: the class of each text, the nodes of its shortest prefixes, the labels below them (in one number that sorts like them) and the sketch."""
+def _frequent(source: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that many texts have, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, "text"):
+            hashes, owner = shingles(lowered_words(chunk.column("text")), n)
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[fresh].view(np.int64))], names=["h"])
+
+    some = map_arrow(source.where(F.pmod(F.col("k1"), F.lit(32)) == 0).select("text"), run, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).orderBy(F.desc("c"), "h").limit(MAX_HOT)
+    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+
+
+def _first_shingles(hashes: np.ndarray, starts: np.ndarray, threshold: float, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text (they begin at ``starts``) its first shingles, how many these are, how many at least it shares with any set at the threshold, and parities and size of its set."""
+    value = hashes >> np.uint64(1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+        value |= (hot[at] == hashes).astype(np.uint64) << np.uint64(63)
+    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])]) if len(value) else np.zeros(0, bool)
+    value, text = value[fresh], text[fresh]
+    size = np.bincount(text, minlength=len(starts))
+    sets = np.zeros((len(starts), PARITY + 1), np.uint64)
+    np.bitwise_xor.at(sets, (text, ((value >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (value & np.uint64(63)))
+    sets[:, PARITY] = size
+    room = size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1 + (MORE * size).astype(np.int64)
+    need = 1 + np.maximum(MORE * threshold * size - 1e-6, 0).astype(np.int32)  # a set at the threshold may be that much smaller
+    first = np.arange(len(value)) - (np.cumsum(size) - size)[text] < room[text]
+    return value[first].view(np.int64), np.bincount(text[first], minlength=len(starts)), need, sets
+
+
+def _may_reach(threshold: float):
+    """Bounds of the Jaccard index of sets: parities that differ are at most the elements that one set alone has."""
+    most = (1 - threshold) / (1 + threshold)
+
+    def alike(a: np.ndarray, b: np.ndarray, outer: bool) -> np.ndarray:
+        x, y = a.view(np.uint64), b.view(np.uint64)
+        if outer:
+            x, y = x[:, None], y[None]
+        differ = sum(np.bitwise_count(x[..., i] ^ y[..., i]).astype(np.int32) for i in range(PARITY))
+        m, n = x[..., PARITY].astype(np.float64), y[..., PARITY].astype(np.float64)
+        return (differ <= most * (m + n) + 1e-6) & (np.minimum(m, n) >= threshold * np.maximum(m, n) - 1e-6)
+
+    return alike
+
+
+def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the keys that several components share."""
+    for table, at in groups.runs(batches, ["key"], 100_000):
+        component = table.column("component").to_numpy()
+        mixed = np.minimum.reduceat(component, at[:-1]) != np.maximum.reduceat(component, at[:-1])
+        yield from table.filter(pa.array(np.repeat(mixed, np.diff(at)))).to_batches()
+
+
+def _completed(marked: DataFrame, classes: DataFrame, maybe: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(id, component): the components ``maybe``, joined where texts of different ones may reach the threshold."""
+    of_class = classes.select("id").join(maybe, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    first = marked.select(F.col("_key").alias("id"), "prefix", "need").join(of_class, "id")
+    rows = first.select(F.explode("prefix").alias("key"), "id", "component", "need")
+    schema = "key long, id long, component long, need int"
+    before = None
+    while True:
+        rows, seen = cut_seen(map_arrow(_dealt_by_key(rows), _of_several, schema))
+        if not seen["n"]:
+            return maybe
+        ids, many = cut_seen(rows.groupBy("id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("id"))
+        if not many["n"]:
+            return maybe
+        rows = rows.join(small(ids, many["n"]), "id", "left_semi").select("key", "id", "component", "need")
+        if before is not None and many["n"] > 0.8 * before:
+            break
+        before = many["n"]
+    sets = marked.select(F.col("_key").alias("id"), F.col("sets").alias("sketch")).join(small(ids, many["n"]), "id", "left_semi")
+    rows = rows.select("key", "id").join(small(sets, 20 * many["n"]), "id")  # a set has some 20 times the bytes of a row of numbers
+    more = groups.candidate_edges(rows, _may_reach(threshold), SET_BYTES, block)
+    return groups.connected_components(more.unionByName(maybe.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+def _dealt_by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def _signatures(depth: int, trees: int, n: int, carried: list[str], threshold: float, hot: np.ndarray):
+    """Arrow function: the class of each text, the nodes of its shortest prefixes, the labels below them (in one number that sorts like them), the sketch and what ``_first_shingles`` gives."""
     below = MAX_DEPTH - depth
     k = max(MAX_DEPTH * trees, depth * trees + SKETCH)
     factor = odd_constants(k, 11).astype(np.uint32) | np.uint32(1)
@@ -108,11 +208,14 @@ def _signatures(depth: int, trees: int, n: int, carried: list[str]):
             has = np.zeros(words.n_docs, bool)
             has[docs] = True
             take = pa.array(np.where(has, np.cumsum(has) - 1, 0), mask=~has)
+            prefix, count, need, sets = _first_shingles(hashes, starts, threshold, hot)
             offsets = np.arange(len(docs) + 1, dtype=np.int32)
             lists = [pa.ListArray.from_arrays(offsets * trees, pa.array(x.T.ravel())) for x in (keys.view(np.int64), tails)]
             sketches = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((offsets * SKETCH).tobytes()), pa.py_buffer(sketch)])
-            made = [*(pa.array(x) for x in c), *lists, sketches]
-            yield pa.RecordBatch.from_arrays([*(chunk.column(x) for x in carried), *(x.take(take) for x in made)], names=[*carried, "c1", "c2", "keys", "tails", "sketch"])
+            prefixes = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(prefix))
+            parities = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((offsets * SET_BYTES).tobytes()), pa.py_buffer(sets.tobytes())])
+            made = [*(pa.array(x) for x in c), *lists, sketches, prefixes, pa.array(need), parities]
+            yield pa.RecordBatch.from_arrays([*(chunk.column(x) for x in carried), *(x.take(take) for x in made)], names=[*carried, "c1", "c2", "keys", "tails", "sketch", "prefix", "need", "sets"])
 
     return run
 
@@ -176,15 +279,17 @@ class _Found:
     """
 
     def __init__(self, source: DataFrame, carried: list[str], threshold: float, recall: float, shingle: int, trees: int, block: int, count: bool):
-        run = _signatures(shortest_prefix(threshold, recall, trees), trees, shingle, carried)
+        run = _signatures(shortest_prefix(threshold, recall, trees), trees, shingle, carried, threshold, _frequent(source, shingle))
         kinds = dict(source.dtypes)
-        schema = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", c1 long, c2 long, keys array<long>, tails array<int>, sketch binary"
+        schema = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", c1 long, c2 long, keys array<long>, tails array<int>, sketch binary, prefix array<long>, need int, sets binary"
         marked = cut(map_arrow(source, run, schema).withColumn("_key", F.monotonically_increasing_id()))
         first = F.min(F.struct(F.col("_doc").alias("doc"), F.col("_key").alias("id"), "k1", "k2", "size")).alias("first")
-        classes = marked.where("_doc is not null and c1 is not null").groupBy("c1", "c2").agg(first, F.count("*").alias("weight"), F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.first("sketch").alias("sketch"))
-        classes = cut(classes.select("c1", "c2", "first.*", "weight", "keys", "tails", "sketch"))
+        made = ["keys", "tails", "sketch"]
+        classes = marked.where("_doc is not null and c1 is not null").groupBy("c1", "c2").agg(first, F.count("*").alias("weight"), *(F.first(c).alias(c) for c in made))
+        classes = cut(classes.select("c1", "c2", "first.*", "weight", *made))
         nodes = classes.select("id", "sketch", F.explode(F.arrays_zip("keys", "tails")).alias("x")).select("x.keys", "x.tails", "id", "sketch").toDF("key", "tail", "id", "sketch")
         maybe = groups.connected_components(groups.trie_edges(nodes, _alike(sketch_floor(threshold)), SKETCH, block))
+        maybe = _completed(marked, classes, maybe, threshold, block)
         members, seen = cut_seen(classes.select("id", "weight", "k1", "k2", "size").join(maybe, "id"))
         texts = source.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
         repeated = cut_seen(marked.select("k1", "k2").join(small(members.select("k1", "k2"), seen["n"]), ["k1", "k2"]).groupBy("k1", "k2").count().where("count > 1").limit(1))[1]["n"]
@@ -202,7 +307,7 @@ class _Found:
         else:
             edges = groups.linked_groups(members, compare, payload, "size", block)
         known = known.join(groups.connected_components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        self.rows, self.known = marked.drop("keys", "tails", "sketch"), cut(known)
+        self.rows, self.known = marked.drop(*made, "prefix", "need", "sets"), cut(known)
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -217,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """A row for each row of docs: ``doc_id, class_id, n_links, kept``.
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard index of
-    at least ``threshold`` with this one's; ``class_id`` is the smallest id that
+    at least ``threshold`` with this one's, all of them (``recall`` is that of the tries alone); ``class_id`` is the smallest id that
     links reach and ``kept`` tells whether it is the row's own. Ids are integers.
     Repeated rows count as copies of each other; rows with one id and different texts are
     compared like any others. Texts without words (null, empty, signs only) and rows with a null id

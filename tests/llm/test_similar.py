@@ -256,6 +256,21 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.99 * len(pairs), found
 
 
+@pytest.mark.parametrize(("trees", "block"), [(1, 512), (1, 3), (20, 3)])
+def test_no_link_is_lost(spark, trees, block):
+    """What one trie or large nodes miss is found all the same: pairs at the threshold, with a template and without, short texts too."""
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(60)], []
+    for p in range(120):
+        own = (template if p % 2 else []) + [f"p{p}x{i}" for i in range(rng.choice([9, 40, 120]))]
+        texts += [" ".join(own), " ".join(own + [f"y{p}z{i}" for i in range((len(own) - 4) // 4)])]  # n shingles of n + n // 4: 0.8 and just over
+    root, n = brute_jaccard(texts)
+    assert sum(n) == len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(df, trees=trees, block=block).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == root and [got[i].n_links for i in range(len(texts))] == n
+
+
 def test_large_groups_by_representatives(spark):
     """Groups of many blocks, loose and tight, with and without counting links, against brute force."""
     tight, loose = near_copies(150, 120, 1, 1), near_copies(60, 60, 2, 2)
