@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import training
 from .sampling import fitted, labelled_texts
 from .spark import map_arrow
 from .text import text_chunks
@@ -177,6 +178,54 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return fitted(got, lambda texts, langs: train(texts, [str(x) for x in langs], **options))
 
 
+def _trained(languages: list[str], weight: np.ndarray, dim: int, times: int, rate: float):
+    """Trains on one shard in one pass, see ``training.passes``; the parameters are embeddings, the layer over them and its bias."""
+    k = len(languages)
+
+    def run(flat: np.ndarray, parts: Iterator[tuple[list[str], list[str]]], turn: int) -> np.ndarray:
+        E, W, bias = (x.reshape(s) for x, s in zip(np.split(flat, [BUCKETS * dim, (BUCKETS + k) * dim]), ((BUCKETS, dim), (dim, k), (k,)), strict=True))
+        lr = rate * (1 - turn / times)
+        for texts, langs in parts:
+            y = np.searchsorted(languages, langs)
+            bucket, first, _ = subwords(texts)
+            bags = [np.unique(b[b < BUCKETS], return_counts=True) for b in (bucket[:, lo:hi].ravel() for lo, hi in zip(first[:-1], first[1:], strict=True))]
+            full = np.flatnonzero([len(u) > 0 for u, _ in bags])
+            for i in range(0, len(full), 32):
+                rows = full[i : i + 32]
+                used, back = np.unique(np.concatenate([bags[r][0] for r in rows]), return_inverse=True)
+                x = np.zeros((len(rows), len(used)), np.float32)
+                owner = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
+                x[owner, back] = np.concatenate([bags[r][1] / bags[r][1].sum() for r in rows])
+                hidden = x @ E[used]
+                z = hidden @ W + bias
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(rows)), y[rows]] -= 1
+                g = (p * weight[y[rows], None] / len(rows)).astype(np.float32)
+                dW, dE = hidden.T @ g, x.T @ (g @ W.T)
+                W -= lr * dW
+                E[used] -= lr * BUCKETS**0.5 / 8 * dE
+                bias -= lr * 0.1 * g.sum(0)
+        return np.concatenate([E.ravel(), W.ravel(), bias])
+
+    return run
+
+
+def fit_all(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dim: int = 16, rate: float = 4.0, seed: int = 0, shard_bytes: int = training.SHARD_BYTES) -> LanguageModel:
+    """Train on all texts of docs whose lang is known, shard by shard; not calibrated (``predict`` does not depend on it)."""
+    rows, counts, _ = training.learnt(docs, None, doc_id=doc_id, text=text, label=lang, shard_bytes=shard_bytes)
+    languages, n = sorted(counts), sum(counts.values())
+    if not languages:
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+    rng, k = np.random.default_rng(seed), len(languages)
+    start = np.concatenate([(rng.normal(size=BUCKETS * dim) / dim), rng.normal(size=dim * k) * 0.1, np.zeros(k)]).astype(np.float32)
+    weight = n / np.array([counts[x] for x in languages]) / k
+    times = int(min(12, max(1, -(-6_000 // n))))
+    flat = training.passes(rows, start, _trained(languages, weight, dim, times, rate), times)
+    E, W, bias = np.split(flat, [BUCKETS * dim, (BUCKETS + k) * dim])
+    return LanguageModel(languages, (E.reshape(BUCKETS, dim) @ W.reshape(dim, k)).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
+
+
 def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: ``doc_id, lang_pred, score, accepted``.
 

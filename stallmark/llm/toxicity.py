@@ -3,9 +3,9 @@
 A word is the sum of the hashed embeddings of itself and of two of its prefixes.
 Filters over one, two and three words are pooled by their maximum over the whole text and
 feed a logistic layer. Training (Adagrad; only the places of the maxima get
-gradients) takes a bounded, balanced sample in one task. A threshold for each
-language, told from the text alone, is calibrated on rows held back; scores are
-shifted so that it lies at 0.5.
+gradients) goes over all labelled texts, whole: tasks train on shards and their changes are averaged
+after each pass. A threshold for each language, told from the text alone, is calibrated on every
+fifth of them, all of which are held back; scores are shifted so that it lies at 0.5.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language
-from .sampling import fitted, labelled_texts
+from . import language, training
 from .spark import map_arrow, with_text
 from .text import Words, mix, text_chunks
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 PREFIXES = (4, 6)
-#: Bounds of the sample that the model is fitted on: texts of each label, bytes of all.
-PER_LABEL, MAX_BYTES = 1500, 16 << 20
+#: Passes over all texts: so many texts are seen in all, and each at least twice.
+TEXTS_SEEN, MIN_PASSES, MAX_PASSES = 12_000, 2, 40
+#: Steps of a logit by which thresholds are counted.
+GRID = 256
 #: Words that are convolved at once.
 BLOCK = 1 << 15
 BATCH_WORDS = 30_000
@@ -177,63 +178,104 @@ def _word_rows(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(buckets)[at], [same[x] for x in split]
 
 
-def train(texts: list[str], labels: list[int], languages: language.LanguageModel | None = None, *, epochs: int = 6, rate: float = 0.05, seed: int = 0) -> ToxicityModel:
-    """Fit on texts labelled 0 or 1; every fifth is held back for the thresholds.
+def _flat(model: ToxicityModel, seen: dict) -> np.ndarray:
+    """All parameters and the sums of squares of Adagrad, one behind the other."""
+    named = _named(model)
+    return np.concatenate([x.ravel() for _, x in named] + [seen.get(name, np.full_like(x, 1e-6)).ravel() for name, x in named]).astype(np.float32)
+
+
+def _named(model: ToxicityModel) -> list[tuple[object, np.ndarray]]:
+    return [("E", model.E), *((t, model.W[t]) for t in _TAPS), *((k, model.b[k]) for k in WIDTHS), ("v", model.v), ("c", model.c)]
+
+
+def _filled(flat: np.ndarray, seed: int) -> tuple[ToxicityModel, dict]:
+    model, seen, at = ToxicityModel(seed), {}, 0
+    for _, x in _named(model):
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    for name, x in _named(model):
+        seen[name] = flat[at : at + x.size].reshape(x.shape).copy()
+        at += x.size
+    return model, seen
 
-    Without both labels every score is 0.5 shifted to 0 (all rows harmless).
-    """
-    model = ToxicityModel(seed)
-    model.languages = languages
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        model.v[:] = 0
-        model.threshold = {-1: 0.0 if len(y) and y.min() == 1 else 1.0}
-        return model
-    rows, split = _word_rows(texts)
-    sizes = [len(x) for x in split]
-    rng = np.random.default_rng(seed)
-    order = np.concatenate([rng.permutation(np.flatnonzero(y == v)) for v in (0, 1)])
-    held = order[::5] if len(order) >= 100 else order
-    fit = np.setdiff1d(order, held) if len(order) >= 100 else order.copy()
-    share = y[fit].mean()
-    weight = np.where(y == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
-    seen: dict = {}
-    passes = epochs if len(fit) >= 1000 else min(40, int(epochs * 1000 / len(fit)) + 1)
-    for epoch in range(passes):
-        rng.shuffle(fit)
-        turn = np.cumsum([sizes[d] for d in fit]) // BATCH_WORDS * len(fit) + np.arange(len(fit)) // 32
-        for batch in np.split(fit, np.flatnonzero(turn[1:] != turn[:-1]) + 1):
-            _step(model, seen, rows, [split[d] for d in batch], y[batch], weight[batch], rate * (1 - 0.8 * epoch / passes))
-    parts = list(_pieces([texts[i] for i in held]))
-    z = np.concatenate([model.logits(Words(p)) for p in parts])
-    lang = np.concatenate([languages.predict(p.to_pylist()) for p in parts]) if languages is not None and languages.languages else np.full(len(held), -1)
-    model.threshold = {-1: _cut(z, y[held])}
-    for one in np.unique(lang):
-        own = lang == one
-        if one >= 0 and min(y[held][own].sum(), (1 - y[held][own]).sum()) >= 20:
-            model.threshold[int(one)] = _cut(z[own], y[held][own])
-    return model
 
+def _trained(share: float, times: int, rate: float, seed: int):
+    """Trains on one shard in one pass, see ``training.passes``; ``share`` is that of label 1 in all texts."""
 
-def _cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best balanced accuracy; of equal ones the middle."""
-    at = np.unique(z)
-    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-    good = np.array([((z >= c) & (y == 1)).sum() / max(y.sum(), 1) + ((z < c) & (y == 0)).sum() / max((1 - y).sum(), 1) for c in cuts])
+    def run(flat: np.ndarray, parts: Iterator[tuple[list[str], list[str]]], turn: int) -> np.ndarray:
+        model, seen = _filled(flat, seed)
+        rng = np.random.default_rng([seed, turn])
+        for texts, labels in parts:
+            y = np.array([int(v) for v in labels], np.float32)
+            weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+            rows, split = _word_rows(texts)
+            order = rng.permutation(len(texts))
+            turns = np.cumsum([len(split[d]) for d in order]) // BATCH_WORDS * len(order) + np.arange(len(order)) // 32
+            for batch in np.split(order, np.flatnonzero(turns[1:] != turns[:-1]) + 1):
+                _step(model, seen, rows, [split[d] for d in batch], y[batch], weight[batch], rate * (1 - 0.8 * turn / times))
+        return _flat(model, seen)
+
+    return run
+
+
+def _thresholds(rows: DataFrame, model: ToxicityModel) -> dict[int, float]:
+    """The best cut for all texts (-1), and for each language with 20 texts of both labels; counted on a grid of logits by the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, labels in training.chunks(batches):
+            z = model.logits(Words(pa.array(texts, pa.string())))
+            lang = model.languages.predict(texts) if model.languages is not None and model.languages.languages else np.full(len(z), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(z), pa.array(np.array([int(v) for v in labels], np.int64))], names=["lang", "z", "y"])
+
+    seen = map_arrow(rows, run, "lang int, z double, y long").groupBy("lang", F.floor(F.col("z") * GRID).alias("at")).agg(F.min("z").alias("low"), F.max("z").alias("high"), F.sum("y").alias("ones"), F.count("*").alias("n"))
+    got = np.array([(r.lang, r["at"], r.low, r.high, r.ones, r.n - r.ones) for r in seen.collect()]).reshape(-1, 6)
+    out = {-1: _cut(got)}
+    for one in np.unique(got[:, 0]):
+        own = got[got[:, 0] == one]
+        if one >= 0 and min(own[:, 4].sum(), own[:, 5].sum()) >= 20:
+            out[int(one)] = _cut(own)
+    return out
+
+
+def _cut(counted: np.ndarray) -> float:
+    """The threshold with the best balanced accuracy; of equal ones the middle. Rows: language, place on the grid, least and largest logit, texts of label 1 and 0."""
+    places, back = np.unique(counted[:, 1], return_inverse=True)
+    low, high = np.full(len(places), np.inf), np.full(len(places), -np.inf)
+    np.minimum.at(low, back, counted[:, 2])
+    np.maximum.at(high, back, counted[:, 3])
+    ones, zeros = (np.bincount(back, counted[:, c], len(places)) for c in (4, 5))
+    cuts = np.concatenate([[low[0] - 1], (low[1:] + high[:-1]) / 2, [high[-1] + 1]])
+    below1, below0 = (np.concatenate([[0], np.cumsum(x)]) for x in (ones, zeros))
+    good = (ones.sum() - below1) / max(ones.sum(), 1) + below0 / max(zeros.sum(), 1)
     best = np.flatnonzero(good >= good.max() - 1e-12)
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", per_label: int = PER_LABEL, max_bytes: int = MAX_BYTES, **options) -> ToxicityModel:
-    """Train on a bounded sample; ``labels`` holds only rows that may be learnt from.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", rate: float = 0.05, seed: int = 0, shard_bytes: int = training.SHARD_BYTES) -> ToxicityModel:
+    """Train on all texts with a label; ``labels`` holds only rows that may be learnt from.
 
-    ``lang`` (if any) teaches the recognition of languages from text; it is no input of a score.
+    Every fifth text is held back for the thresholds (with under 100 the texts learnt from are used). Without both labels every score is 0.5 shifted to 0 (all rows harmless).
+    ``lang`` (if any) teaches the recognition of languages from all texts of docs; it is no input of a score.
     """
-    got = labelled_texts(docs, labels, doc_id=doc_id, text=text, label=label, per_label=per_label, max_bytes=max_bytes)
-    tongues = None
+    labels = labels.select(doc_id, F.col(label).cast("int").alias(label))
+    rows, counts, _ = training.learnt(docs, labels, doc_id=doc_id, text=text, label=label, shard_bytes=shard_bytes)
+    ones = sum(n for v, n in counts.items() if int(v) == 1)
+    n = sum(counts.values())
+    model = ToxicityModel(seed)
+    if not 0 < ones < n:
+        model.v[:] = 0
+        model.threshold = {-1: 0.0 if ones else 1.0}
+    else:
+        few = n < 100
+        times = int(min(MAX_PASSES, max(MIN_PASSES, -(-TEXTS_SEEN // n))))
+        flat = training.passes(rows if few else rows.where(~training.held_back()), _flat(model, {}), _trained(ones / n, times, rate, seed), times)
+        model, _ = _filled(flat, seed)
     if lang is not None:
-        tongues = language.fit(docs, doc_id=doc_id, text=text, lang=lang, per_language=300, max_bytes=max_bytes)
-    return fitted(got, lambda texts, labels: train(texts, [int(v) for v in labels], tongues, **options))
+        model.languages = language.fit_all(docs, doc_id=doc_id, text=text, lang=lang, shard_bytes=shard_bytes)
+    if 0 < ones < n:
+        held = rows if few else rows.where(training.held_back())
+        model.threshold = _thresholds(held, model)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stallmark.llm import language, quotations, toxicity, url_reputation
+from stallmark.llm import language, quotations, toxicity, training, url_reputation
 from stallmark.llm.queries import QUERIES, URL_RULES
 
 
@@ -66,6 +66,23 @@ def test_toxicity(spark, prose):
     assert toxicity.score(df, one).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_learns_from_all_texts(spark):
+    """A word that only one text in a hundred has, among more texts than a sample took, and one behind 256 KB are learnt; shards do not depend on partitions."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(8)) + (" idiot" if i % 2 else ""), i % 2) for i in range(4000)]
+    rows += [(5000 + i, "zz " * 90_000 + ("vermin" if i % 2 else "fine"), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("lang", F.lit("en"))
+    parts, counts, n = training.learnt(df, df.select("doc_id", "toxic"), doc_id="doc_id", text="text", label="toxic", shard_bytes=2 << 20)
+    assert counts == {"0": 2020, "1": 2020} and n > 3
+    again, _, _ = training.learnt(df.repartition(7), df.select("doc_id", "toxic"), doc_id="doc_id", text="text", label="toxic", shard_bytes=2 << 20)
+    assert {(r.shard, r.h) for r in parts.select("shard", "h").collect()} == {(r.shard, r.h) for r in again.select("shard", "h").collect()}
+    model = toxicity.fit(df, df.select("doc_id", "toxic"), shard_bytes=2 << 20)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 0.97 * len(rows)
+    assert sum(got[i] == y for i, _, y in rows[4000:]) >= 36
+
+
 def letters_of(text):
     """Lower-cased letters as numbers, a 0 for each run of others and in front."""
     out = [0]
